@@ -5,12 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import quality_rules, url_filters
+from tracewell.llm import exact_topk, pii, quality_rules, secret_scan, url_filters
 from tracewell.llm.common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda k: F.filter("secrets", lambda s: s["kind"] == k)
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])],
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda name: F.filter("pii", lambda s: s["kind"] == name)
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(
+        "doc_id",
+        *[F.size(of(name)).cast("long").alias(f"n_{name}") for name in pii.BASE],
+        F.sha2(pii.joined(base), 256).alias("base_sha256"),
+        pii.joined(F.col("pii")).alias("spans"),
+    )
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     out = url_filters.judge(pages, url_filters.rule_frame(spark, URL_RULES))
@@ -22,7 +50,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op8_url_filters": op8_url_filters, "op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op3_exact_topk": op3_exact_topk,
+    "op5_pii": op5_pii,
+    "op8_url_filters": op8_url_filters,
+    "op10_quality_rules": op10_quality_rules,
+}
 
 OP8_SQL = r"""
 WITH u AS (
