@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import byte_bpe, exact_topk, packing, pii, quality_rules, secret_scan, toxicity, url_filters
+from tracewell.llm import byte_bpe, exact_topk, packing, pii, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
 from tracewell.llm.common import stored, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -35,6 +35,11 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), size=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda name: F.filter("pii", lambda s: s["kind"] == name)
@@ -78,6 +83,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_topk": op3_exact_topk,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_pii": op5_pii,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_url_filters": op8_url_filters,
