@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import byte_bpe, exact_topk, packing, pii, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
+from tracewell.llm import byte_bpe, exact_topk, ngram_join, packing, pii, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
 from tracewell.llm.common import stored, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -52,6 +52,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op3_exact_topk": op3_exact_topk,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_pii": op5_pii,
+    "op6_ngram_join": op6_ngram_join,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_url_filters": op8_url_filters,
     "op9_toxicity": op9_toxicity,
