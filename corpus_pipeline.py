@@ -1,11 +1,73 @@
-"""Training-corpus pipeline (to come: stages are added as their operators land)."""
+"""Training-corpus pipeline: toxicity, near duplicates, repeats, secrets, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes
+its result as Parquet to the shared folder and hands what it reads back to the
+next stage.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.llm import ngram_join, packing, secret_scan, suffix_dedup, toxicity
+from tracewell.llm.common import stored, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine calls toxic go."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out("doc_id"))
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs, model, out="__score").where("__score < 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link (5-word shingles, similarity 0.8) the least id stays."""
+    found = ngram_join.components(docs, n=5, percent=80)
+    gone = found.where("component_id != doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller id holds too are cut out of the text.
+
+    A document of which only white space is left goes.
+    """
+    out = suffix_dedup.remove(docs, size=50, characters=True)
+    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
+    left = out.withColumn("text", text).where((F.col("n_removed") == 0) | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; no document goes."""
+    found = secret_scan.scan(docs, out="__secrets")
+    text = F.when(F.size("__secrets") > 0, secret_scan.mask(F.col("text"), F.col("__secrets"))).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenised pieces of the documents and their places in sequences of 2048."""
+    import public_tokenizers
+
+    pieces = stored(packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False))
+    return packing.pack(pieces)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", drop_repeats),
+    ("secrets", mask_secrets),
+    ("packing", pack),
+]
+
+#: A trained model, set joins and packing are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = stored(stage(spark, docs, sf_dir))
     return docs

@@ -245,7 +245,14 @@ def _classes(size: int, buckets: int):
     return fn
 
 
-def _remove(size: int, rest: list[str]):
+def _whole_characters(raw: np.ndarray, cover: np.ndarray) -> np.ndarray:
+    """Cover without the UTF-8 characters of which only a part is covered."""
+    first = (raw & 0xC0) != 0x80
+    at = np.nonzero(first)[0]
+    return np.repeat(np.logical_and.reduceat(cover, at), np.diff(np.append(at, len(raw))))
+
+
+def _remove(size: int, rest: list[str], characters: bool):
     def fn(docs: pa.Table, marks: pa.Table) -> pa.Table:
         gone = _by_doc(marks, WHOLE)
         n_bytes, n_removed, n_spans, kept, spans = [], [], [], [], []
@@ -259,6 +266,8 @@ def _remove(size: int, rest: list[str]):
                 np.add.at(edge, own[0], 1)
                 np.add.at(edge, np.minimum(own[0] + own[1] + size - 1, len(raw)), -1)
                 cover = np.cumsum(edge)[: len(raw)] > 0
+            if characters and cover.any():
+                cover = _whole_characters(raw, cover)
             step = np.diff(np.concatenate([[0], cover.view(np.int8), [0]]))
             n_bytes.append(len(raw))
             n_removed.append(int(cover.sum()))
@@ -303,8 +312,12 @@ def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str =
     return met.where(F.col("kind") == WHOLE).unionByName(found), buckets
 
 
-def remove(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Add n_bytes, n_removed, n_spans, kept (binary) and removed (byte offsets, start and end in turn)."""
+def remove(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str = "doc_id", characters: bool = False) -> DataFrame:
+    """Add n_bytes, n_removed, n_spans, kept (binary) and removed (byte offsets, start and end in turn).
+
+    characters: leave characters whole of which only some bytes are repeated,
+    so that kept is UTF-8 again.
+    """
     marks, buckets = repeated(docs, size, text, doc_id)
     made = ["n_bytes", "n_removed", "n_spans", "kept", "removed"]
     rest = [c for c in docs.columns if c not in made]
@@ -314,4 +327,4 @@ def remove(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str = "d
     schema = schema.add("kept", "binary").add("removed", T.ArrayType(T.LongType()))
     own = docs.select(*rest, F.col(doc_id).cast("long").alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     own = own.withColumn("dbucket", _bucket_column("__id", "__text", buckets))
-    return own.groupBy("dbucket").cogroup(marks.groupBy("dbucket")).applyInArrow(_remove(size, rest), schema)
+    return own.groupBy("dbucket").cogroup(marks.groupBy("dbucket")).applyInArrow(_remove(size, rest, characters), schema)
