@@ -15,9 +15,10 @@ A document's set holds the hashes (64 bits) of its distinct `n`-word shingles.
    pivots until its members that have not been pivots are all in one component.
    So every pair is compared or known to be connected, but a group of g copies
    costs about g comparisons, not g * g.
-4. Overlap.  The order is cut into `fragments` by the hash's leading bits; each
-   set is stored as that many segments.  A pair's overlap is counted in every
-   fragment on its own (rows of one fragment of one pair) and summed per pair.
+4. Overlap.  The shared prefix shingles bound a pair's overlap; pairs that may
+   still reach the similarity go on.  The order is cut into `fragments` by the
+   hash's leading bits, each set into that many segments.  A pair's overlap is
+   counted in every fragment on its own (a row for each) and summed per pair.
 5. Components come from contracting links to the least neighbour, round by
    round, as DataFrames.
 
@@ -35,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm import hashing
 from tracewell.llm.bpe import LOWER
@@ -44,6 +46,8 @@ CELL_BITS = 20
 #: At most so many heavy cells are shipped to the tasks; they change the order only.
 HEAVY_MAX = 65_536
 SMALL = 12
+#: Pairs that may be broadcast: 32 bytes each.
+FEW = 200_000
 BATCH_BYTES = 4 << 20
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -113,9 +117,10 @@ def _sets(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame
     return docs.mapInArrow(fn, "doc_id long, n_shingles long, k1 long, k2 long, prefix array<long>")
 
 
-def _segments(docs: DataFrame, n: int, fragments: int) -> DataFrame:
-    """doc_id, fragment, segment: the sorted hashes of the set in each fragment that has some."""
+def _segments(docs: DataFrame, n: int, fragments: int, also: str | None = None) -> DataFrame:
+    """doc_id, fragment, segment (the sorted hashes of the set in that fragment), and the column `also`."""
     shift = hashing.U(64 - (fragments - 1).bit_length())
+    kept = ["doc_id"] + [also] * (also is not None)
 
     def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -123,17 +128,39 @@ def _segments(docs: DataFrame, n: int, fragments: int) -> DataFrame:
             part = (h >> shift).astype(np.int64) if fragments > 1 else np.zeros(len(h), np.int64)
             new = np.nonzero(np.append(True, (own[1:] != own[:-1]) | (part[1:] != part[:-1])))[0] if len(h) else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(own[new])), pa.array(part[new].astype(np.int32)), lists], ["doc_id", "fragment", "segment"])
-
-    return docs.select("doc_id", "text").mapInArrow(fn, "doc_id long, fragment int, segment array<long>")
-
-
-def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, an, bn) whose summed overlap reaches the similarity."""
-    own = pairs.join(segments.select(F.col("doc_id").alias("b"), "fragment", F.col("segment").alias("sb")), "b")
-    both = own.join(segments.select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("sa")), ["a", "fragment"])
-    partial = both.select("a", "b", "an", "bn", F.size(F.array_intersect("sa", "sb")).cast("long").alias("part"))
-    total = partial.groupBy("a", "b", "an", "bn").agg(F.sum("part").alias("both"))
+            at = pa.array(own[new])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in kept), pa.array(part[new].astype(np.int32)), lists], [*kept, "fragment", "segment"])
+
+    schema = docs.select(*kept).schema.add("fragment", "integer").add("segment", T.ArrayType(T.LongType()))
+    return docs.select(*kept, "text").mapInArrow(fn, schema)
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for a broadcast if its counted rows are few, else left to shuffles."""
+    return F.broadcast(df) if rows <= FEW else df
+
+
+def _links(pairs: DataFrame, sets: DataFrame, own: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
+    """Pairs (a, b) of (a, b, an, bn) whose summed overlap reaches the similarity.
+
+    The prefixes are counted first.  What two sets share beyond them is at
+    most the rest of one of them, so most pairs that met by chance end here.
+    """
+    rest = lambda x: F.floor((percent * F.col(x) + 99) / 100) - 1  # noqa: E731  a set less its prefix
+    prefix = lambda side: sets.select(F.col("doc_id").alias(side), F.col("prefix").alias(f"p{side}"))
+    met = pairs.join(prefix("b"), "b").join(prefix("a"), "a").withColumn("most", F.size(F.array_intersect("pa", "pb")) + F.greatest(rest("an"), rest("bn")))
+    close = stored(met.where((100 + percent) * F.col("most") >= percent * (F.col("an") + F.col("bn"))).select("a", "b", "an", "bn").distinct())
+    rows = close.count()
+    if not rows:
+        return close.select("a", "b")
+    targets = close.groupBy("b").agg(F.collect_list(F.struct("a", "an", "bn")).alias("to")).withColumnRenamed("b", "doc_id")
+    right = _segments(own.join(_few(targets, rows), "doc_id"), n, fragments, "to").select(F.col("doc_id").alias("b"), F.explode("to").alias("t"), "fragment", F.col("segment").alias("sb"))
+    firsts = close.select(F.col("a").alias("doc_id")).distinct()
+    left = _segments(own.join(_few(firsts, rows), "doc_id", "left_semi"), n, fragments).select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("sa"))
+    both = right.select("b", "t.a", "t.an", "t.bn", "fragment", "sb").join(left, ["a", "fragment"])
+    partial = both.select("a", "b", "an", "bn", "fragment", F.size(F.array_intersect("sa", "sb")).cast("long").alias("part"))
+    one = partial.groupBy("a", "b", "an", "bn", "fragment").agg(F.max("part").alias("part"))  # repeated rows of an id count once
+    total = one.groupBy("a", "b", "an", "bn").agg(F.sum("part").alias("both"))
     return total.where(100 * F.col("both") >= percent * (F.col("an") + F.col("bn") - F.col("both"))).select("a", "b")
 
 
@@ -168,20 +195,22 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, fragments: int =
     sets = stored(_sets(own, n, percent, heavy))
     key = ["k1", "k2", "n_shingles"]
     classes = stored(sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    entries = (
+    entries = stored(
         sets.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi")
         .select(F.explode("prefix").alias("h"), F.struct(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")).alias("m"))
     )
+    dealt = entries.repartition("h")  # one shuffle for the tally and for the join back to it
     hashed = F.xxhash64("m.doc")
-    buckets = entries.groupBy("h").agg(F.count("*").alias("size"), F.min("m").alias("least"), F.max("m.doc").alias("most"), F.bit_xor(hashed).alias("x1"), F.bit_xor(F.xxhash64(hashed)).alias("x2"))
-    buckets = buckets.where("size > 1 and least.doc != most").groupBy("size", "least", "most", "x1", "x2").agg(F.min("h").alias("h"))
-    members = stored(entries.join(buckets.select("h", "size", "least"), "h").where("m.doc != least.doc").select("h", "size", "least", "m"))
+    tally = dealt.groupBy("h").agg(F.count("*").alias("size"), F.min("m").alias("least"), F.max("m.doc").alias("most"), F.bit_xor(hashed).alias("x1"), F.bit_xor(F.xxhash64(hashed)).alias("x2"))
+    shared = stored(dealt.join(tally.where("size > 1 and least.doc != most"), "h"))
+    kept = shared.where("m.doc = least.doc").groupBy("size", "least", "most", "x1", "x2").agg(F.min("h").alias("h"))
+    members = stored(shared.where("m.doc != least.doc").select("h", "m").join(kept.select("h", "size", "least"), "h"))
     pairs = members.where(_near(F.col("least.n"), F.col("m.n"), percent)).select(F.col("least.doc").alias("a"), F.col("m.doc").alias("b"), F.col("least.n").alias("an"), F.col("m.n").alias("bn")).distinct()
     pairs = stored(pairs)
     involved = members.select(F.explode(F.array("least.doc", "m.doc")).alias("doc_id")).distinct()
-    segments = stored(_segments(own.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n, fragments))
+    prefixes = sets.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi").select("doc_id", "prefix")
     labels = involved.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp"))
-    labels = contract(stored(labels), stored(_links(pairs, segments, percent)))
+    labels = contract(stored(labels), stored(_links(pairs, prefixes, own, n, percent, fragments)))
     tested = pairs.select("a", "b")
     left = members.where("size > 2").select("h", "m")
     turn = 0
@@ -200,7 +229,7 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, fragments: int =
         lo, hi = F.least(F.struct("p.doc", "p.n"), F.struct("m.doc", "m.n")), F.greatest(F.struct("p.doc", "p.n"), F.struct("m.doc", "m.n"))
         pairs = cand.select(lo.alias("lo"), hi.alias("hi")).distinct().select(F.col("lo.doc").alias("a"), F.col("hi.doc").alias("b"), F.col("lo.n").alias("an"), F.col("hi.n").alias("bn"))
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
-        labels = contract(labels, stored(_links(pairs, segments, percent)))
+        labels = contract(labels, stored(_links(pairs, prefixes, own, n, percent, fragments)))
         tested = tested.unionByName(pairs.select("a", "b"))
         left = marked.where("not pivot").select("h", "m")
     named = sets.join(classes, key, "left").join(labels.select(F.col("doc").alias("rep"), "comp"), "rep", "left")

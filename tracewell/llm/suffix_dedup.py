@@ -99,7 +99,7 @@ def _dbucket(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (d ^ (d >> 7) ^ (d >> 15) ^ (d >> 31)) % buckets
 
 
-def _parse(size: int, buckets: int):
+def _parse(size: int, buckets: int, deal: int):
     def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             data, ends = hashing.flat(b.column("text"))
@@ -118,7 +118,7 @@ def _parse(size: int, buckets: int):
             rows = []
             for k, cols in _split((trigger[keep] % np.uint64(buckets)).astype(np.int64), [trigger[keep], phrase[keep], doc[keep].astype(np.int64), start[keep].astype("<u4"), count[keep].astype("<u2")]):
                 rows.append((MEETS, k, *cols))
-            for k, cols in _split(_dbucket(doc[gone], buckets), [doc[gone].astype(np.int64), start[gone].astype("<u4"), count[gone].astype("<u2")]):
+            for k, cols in _split(_dbucket(doc[gone], deal), [doc[gone].astype(np.int64), start[gone].astype("<u4"), count[gone].astype("<u2")]):
                 rows.append((SETTLED, k, b"", b"", *cols))
             parts = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int32()), pa.array(parts[1], pa.int32()), *(pa.array(c, pa.binary()) for c in parts[2:])], ["sort", "bucket", "trigger", "phrase", "docs", "starts", "wins"])
@@ -138,7 +138,7 @@ def _marks(rows: list) -> pa.Table:
     return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:4]), pa.array(cols[4], pa.int32())], ["dbucket", "docs", "starts", "wins", "kind"])
 
 
-def _meet(buckets: int):
+def _meet(deal: int):
     """Phrases of a bucket: repeated as a whole, to go on, or unique."""
 
     def fn(t: pa.Table) -> pa.Table:
@@ -158,7 +158,7 @@ def _meet(buckets: int):
         rows = []
         for own, kind in ((whole, WHOLE), (goes_on, OPEN)):
             o = order[own]
-            rows += [(k, *cols, kind) for k, cols in _split(_dbucket(doc[o], buckets), [doc[o], start[o], wins[o]])]
+            rows += [(k, *cols, kind) for k, cols in _split(_dbucket(doc[o], deal), [doc[o], start[o], wins[o]])]
         return _marks(rows)
 
     return fn
@@ -225,7 +225,7 @@ def suffix_ranks(data: np.ndarray, size: int) -> np.ndarray:
     return rank[: len(data)]
 
 
-def _classes(size: int, buckets: int):
+def _classes(size: int, deal: int):
     """Windows of a bucket's dictionary that a smaller document holds too."""
 
     def fn(t: pa.Table) -> pa.Table:
@@ -240,7 +240,7 @@ def _classes(size: int, buckets: int):
         np.minimum.at(least, rank, doc[who])
         gone = doc[who] > least[rank]
         d, s = doc[who[gone]], (start[who[gone]] + nth[gone]).astype("<u4")
-        return _marks([(k, *cols, WHOLE) for k, cols in _split(_dbucket(d, buckets), [d, s, np.ones(len(d), "<u2")])])
+        return _marks([(k, *cols, WHOLE) for k, cols in _split(_dbucket(d, deal), [d, s, np.ones(len(d), "<u2")])])
 
     return fn
 
@@ -280,8 +280,8 @@ def _remove(size: int, rest: list[str], characters: bool):
     return fn
 
 
-def _meet_or_pass(buckets: int):
-    meet = _meet(buckets)
+def _meet_or_pass(deal: int):
+    meet = _meet(deal)
 
     def fn(t: pa.Table) -> pa.Table:
         if t.column("sort")[0].as_py() == SETTLED:
@@ -302,14 +302,15 @@ def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str =
     """Marks of the repeated windows of each document, dealt to buckets, and their number."""
     spark = docs.sparkSession
     bounded_batches(spark, size=BATCH_BYTES)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))  # buckets of documents, and of phrases that meet
+    buckets = 4 * deal + 1  # of dictionaries, whose suffixes take more room
     own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    met = stored(own.mapInArrow(_parse(size, buckets), PARSED).groupBy("sort", "bucket").applyInArrow(_meet_or_pass(buckets), MARKS))
-    dealt = own.withColumn("dbucket", _bucket_column("doc_id", "text", buckets))
+    met = stored(own.mapInArrow(_parse(size, deal, deal), PARSED).groupBy("sort", "bucket").applyInArrow(_meet_or_pass(deal), MARKS))
+    dealt = own.withColumn("dbucket", _bucket_column("doc_id", "text", deal))
     open_marks = met.where(F.col("kind") == OPEN)
     texts = dealt.groupBy("dbucket").cogroup(open_marks.groupBy("dbucket")).applyInArrow(_texts(size, buckets), "bucket int, docs binary, starts binary, wins binary, content binary")
-    found = stored(texts.groupBy("bucket").applyInArrow(_classes(size, buckets), MARKS))
-    return met.where(F.col("kind") == WHOLE).unionByName(found), buckets
+    found = stored(texts.groupBy("bucket").applyInArrow(_classes(size, deal), MARKS))
+    return met.where(F.col("kind") == WHOLE).unionByName(found), deal
 
 
 def remove(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str = "doc_id", characters: bool = False) -> DataFrame:
