@@ -1,6 +1,272 @@
-"""Registry of the queries and of their DuckDB equivalents."""
+"""Registry of the queries and of their DuckDB equivalents.
+
+The reference operators act on records about software; here each runs on a
+stand-in relation of the test tables, which its docstring or SQL names.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tracewell.functions import scalar
+from tracewell.operators import diff, graph, match, search, trace
+from tracewell.sources import table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+CUT = "2024-01-16"
+
+
+def _halves(spark, d):
+    e = table(spark, d, "events")
+    per = lambda x: x.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    cut = F.to_timestamp_ntz(F.lit(CUT))
+    return per(e.where(F.col("ts") < cut)), per(e.where(F.col("ts") >= cut))
+
+
+HALVES = f"""a AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '{CUT}' GROUP BY ALL),
+b AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{CUT}' GROUP BY ALL)"""
+DIFF = """SELECT user_id, event_type, a.n AS left_n, b.n AS right_n,
+  CASE WHEN a.n IS NOT NULL AND b.n IS NOT NULL AND a.n <> b.n THEN 'n' ELSE '' END AS changed,
+  CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.n <> b.n THEN 'changed' ELSE 'unchanged' END AS status
+FROM a FULL JOIN b USING (user_id, event_type)"""
+
+
+@query(f"WITH {HALVES} {DIFF}")
+def events_keyed_diff(spark, d):
+    return diff.keyed_diff(*_halves(spark, d), ["user_id", "event_type"], ["n"])
+
+
+@query(f"WITH {HALVES}, x AS ({DIFF}) SELECT event_type, replace(status, 'removed', 'unknown') AS status, count(*) AS n FROM x GROUP BY ALL")
+def artifact_status_summary(spark, d):
+    a, b = _halves(spark, d)
+    return diff.status_summary(diff.keyed_diff(a, b, ["user_id", "event_type"], ["n"], right_complete=False), ["event_type"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS status,
+  concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'o_orderstatus' END, CASE WHEN o_orderkey % 5 = 0 THEN 'o_totalprice' END) AS changed FROM orders""")
+def orders_dimension_diff(spark, d):
+    a = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    b = a.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return diff.keyed_diff(a, b, ["o_orderkey"], ["o_orderstatus", "o_totalprice"]).select("o_orderkey", "status", "changed")
+
+
+@query(f"""WITH {HALVES}, x AS ({DIFF}), r AS (SELECT event_type, user_id, status, row_number() OVER (ORDER BY event_type, user_id) AS position FROM x WHERE status <> 'unchanged')
+SELECT event_type, user_id, status, position, position <= 50 AS kept FROM r""")
+def web_dimension_budget(spark, d):
+    x = diff.keyed_diff(*_halves(spark, d), ["user_id", "event_type"], ["n"]).where("status <> 'unchanged'")
+    return diff.budgeted(x, ["event_type", "user_id"], 50).select("event_type", "user_id", "status", "position", "kept")
+
+
+@query("""WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT l_partkey, l_suppkey, CASE WHEN a.x IS NULL THEN 'right_only' WHEN b.y IS NULL THEN 'left_only' ELSE 'both' END AS side
+FROM (SELECT *, 1 AS x FROM a) a FULL JOIN (SELECT *, 1 AS y FROM b) b USING (l_partkey, l_suppkey)""")
+def bundle_membership(spark, d):
+    li = table(spark, d, "lineitem")
+    return diff.membership(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), ["l_partkey", "l_suppkey"])
+
+
+@query("""WITH h AS (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) AS b, list(o_orderstatus ORDER BY o_orderkey) FILTER (o_orderdate < TIMESTAMP '1997-01-01') AS a FROM orders GROUP BY o_custkey)
+SELECT o_custkey, len(a)::INT AS left_size, len(b)::INT AS right_size, CASE WHEN a = b THEN 'identical' WHEN b[1:len(a)] = a THEN 'advanced' WHEN a[1:len(b)] = b THEN 'behind' ELSE 'diverged' END AS relation FROM h WHERE a IS NOT NULL""")
+def history_prefix(spark, d):
+    o = table(spark, d, "orders")
+    return diff.history_relation(o.where("o_orderdate < timestamp_ntz'1997-01-01'"), o, "o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand || '/' || p_type || '/' || p_size AS k1, p_brand || '/' || p_type AS k2 FROM part),
+a AS (SELECT * FROM p WHERE p_partkey % 2 = 0), b AS (SELECT * FROM p WHERE p_partkey % 2 = 1),
+ua AS (SELECT k1, min(p_partkey) AS l FROM a GROUP BY k1 HAVING count(*) = 1), ub AS (SELECT k1, min(p_partkey) AS r FROM b GROUP BY k1 HAVING count(*) = 1),
+t1 AS (SELECT l, r FROM ua JOIN ub USING (k1)),
+va AS (SELECT k2, min(p_partkey) AS l FROM a WHERE p_partkey NOT IN (SELECT l FROM t1) GROUP BY k2 HAVING count(*) = 1),
+vb AS (SELECT k2, min(p_partkey) AS r FROM b WHERE p_partkey NOT IN (SELECT r FROM t1) GROUP BY k2 HAVING count(*) = 1)
+SELECT l AS left_id, r AS right_id, 'exact' AS tier FROM t1 UNION ALL SELECT l, r, 'kind' FROM va JOIN vb USING (k2)""")
+def version_match_tiers(spark, d):
+    p = table(spark, d, "part")
+    tiers = [("exact", F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string"))), ("kind", F.concat_ws("/", "p_brand", "p_type"))]
+    return match.tiered_unique(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "p_partkey", "p_partkey", tiers)
+
+
+@query("""WITH a AS (SELECT * FROM part WHERE p_partkey % 2 = 0), b AS (SELECT * FROM part WHERE p_partkey % 2 = 1),
+x AS (SELECT a.p_partkey AS left_id, count(*) AS c, min(b.p_partkey) AS r FROM a JOIN b USING (p_brand, p_type, p_size) GROUP BY 1),
+y AS (SELECT a.p_partkey AS left_id, count(*) AS c, min(b.p_partkey) AS r FROM a JOIN b USING (p_brand, p_size) WHERE a.p_partkey NOT IN (SELECT left_id FROM x) GROUP BY 1),
+z AS (SELECT 'full' AS tier, * FROM x UNION ALL SELECT 'partial', * FROM y)
+SELECT left_id, tier, CASE WHEN c = 1 THEN 'matched' ELSE 'ambiguous' END AS status, c AS candidates, CASE WHEN c = 1 THEN r END AS right_id FROM z
+UNION ALL SELECT p_partkey, 'none', 'unmatched', 0, NULL FROM a WHERE p_partkey NOT IN (SELECT left_id FROM z)""")
+def member_match_consuming(spark, d):
+    p = table(spark, d, "part")
+    tiers = [("full", F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string"))), ("partial", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")))]
+    return match.consuming(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "p_partkey", "p_partkey", tiers)
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice, rank::INT AS rank, greatest(n - 3, 0) AS omitted FROM (
+SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE rank <= 3""")
+def topk_candidates(spark, d):
+    return match.top_candidates(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_totalprice", "o_orderkey", 3)
+
+
+@query("""WITH need AS (SELECT DISTINCT p_brand FROM part) SELECT l_suppkey, count(DISTINCT p_brand) AS have FROM lineitem JOIN part ON l_partkey = p_partkey
+GROUP BY 1 HAVING count(DISTINCT p_brand) = (SELECT count(*) FROM need)""")
+def relational_division(spark, d):
+    part = table(spark, d, "part")
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    return match.relational_division(rows, "l_suppkey", "p_brand", part)
+
+
+@query("""SELECT e.event_id, e.user_id, (SELECT max(s.ts) FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'signup' AND s.ts <= e.ts) AS last_time FROM events e WHERE e.event_type = 'purchase'""")
+def asof_frontier(spark, d):
+    e = table(spark, d, "events")
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = e.where("event_type = 'signup'").select("user_id", F.col("ts").alias("rts"), F.col("event_id").alias("rid"))
+    return match.asof(left, right, "user_id", "ts", "rts", "rid").select("event_id", "user_id", "last_time")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_orphans(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def semi_select(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("SELECT n_nationkey, count(s_suppkey) AS owners, CASE count(s_suppkey) WHEN 0 THEN 'missing' WHEN 1 THEN 'ok' ELSE 'ambiguous' END AS status FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def ownership_diagnostics(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey").agg(F.count("s_suppkey").alias("owners"))
+    return n.withColumn("status", F.when(F.col("owners") == 0, "missing").when(F.col("owners") == 1, "ok").otherwise("ambiguous"))
+
+
+@query("SELECT c_custkey, sha256(concat_ws('|', c_custkey::VARCHAR, c_name, c_mktsegment)) AS evidence_id FROM customer")
+def evidence_ids(spark, d):
+    return table(spark, d, "customer").select("c_custkey", scalar.digest("c_custkey", "c_name", "c_mktsegment").alias("evidence_id"))
+
+
+@query("SELECT l_orderkey, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT l_orderkey, sha256(concat_ws('|', l_partkey::VARCHAR, l_suppkey::VARCHAR)) AS h FROM lineitem) GROUP BY 1")
+def multiset_digest(spark, d):
+    h = table(spark, d, "lineitem").select("l_orderkey", scalar.digest("l_partkey", "l_suppkey").alias("h"))
+    return h.groupBy("l_orderkey").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("digest"))
+
+
+@query("SELECT r_name, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT n_regionkey, sha256(concat_ws('|', n_nationkey::VARCHAR, n_name)) AS h FROM nation) JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def tree_digest(spark, d):
+    h = table(spark, d, "nation").select("n_regionkey", scalar.digest("n_nationkey", "n_name").alias("h"))
+    return h.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("digest"))
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS hits FROM documents WHERE contains(text, 'the')")
+def search_literal(spark, d):
+    return search.literal(table(spark, d, "documents").select("doc_id", "text"), "text", "the").select("doc_id", "hits")
+
+
+@query("SELECT doc_id, hits FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+ion')) AS hits FROM documents) WHERE hits > 0")
+def search_regex(spark, d):
+    return search.regex(table(spark, d, "documents").select("doc_id", "text"), "text", "[A-Z][a-z]+ion").select("doc_id", "hits")
+
+
+@query("""SELECT p_partkey, p_name, position, total, CASE WHEN total > 40 THEN 40 END AS next_offset FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS position, count(*) OVER () AS total FROM part) WHERE position > 20 AND position <= 40""")
+def search_page(spark, d):
+    return search.page(table(spark, d, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"], 20, 20)
+
+
+KINDS = ("signup", "purchase")
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events), k(event_type) AS (VALUES ('signup'), ('purchase')), n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, event_type, coalesce(n, 0) AS n, CASE event_type WHEN 'signup' THEN coalesce(n, 0) BETWEEN 1 AND 20 ELSE coalesce(n, 0) >= 5 END AS ok FROM u CROSS JOIN k LEFT JOIN n USING (user_id, event_type)""")
+def trace_cardinality(spark, d):
+    return trace.cardinality(table(spark, d, "events"), "user_id", "event_type", {"signup": (1, 20), "purchase": (5, None)})
+
+
+@query("""WITH x AS (SELECT user_id, max(event_id) FILTER (event_type = 'signup') AS b, min(event_id) FILTER (event_type = 'purchase') AS a FROM events GROUP BY 1)
+SELECT user_id, 'signup' AS before, 'purchase' AS after, CASE WHEN a IS NULL THEN 'ok' WHEN b IS NULL THEN 'missing_before' WHEN b < a THEN 'ok' ELSE 'violated' END AS status FROM x""")
+def trace_partial_order(spark, d):
+    return trace.happens_before(table(spark, d, "events"), "user_id", "event_type", "event_id", [KINDS])
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS position FROM events")
+def global_order(spark, d):
+    return trace.ordered(table(spark, d, "events"), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "position")
+
+
+_SEQ = "SELECT row_number() OVER (ORDER BY ts, event_id)::INT AS position, event_type FROM events WHERE user_id = {}"
+
+
+@query(f"""WITH a AS ({_SEQ.format(1)}), b AS ({_SEQ.format(2)}) SELECT position, a.event_type AS left_value, b.event_type AS right_value FROM a FULL JOIN b USING (position)
+WHERE a.event_type IS DISTINCT FROM b.event_type ORDER BY position LIMIT 1""")
+def first_divergence(spark, d):
+    seq = trace.ordered(table(spark, d, "events").where("user_id IN (1, 2)"), "user_id", ["ts", "event_id"])
+    return trace.first_divergence(seq.where("user_id = 1"), seq.where("user_id = 2"), "position", "event_type")
+
+
+@query()
+def fsm_replay(spark, d):
+    """Per-user event fold over a small automaton; a fold has no plain SQL form, tests replay it."""
+    moves = {("new", "signup"): "member", ("member", "purchase"): "buyer", ("buyer", "signup"): "member"}
+    return trace.run_automaton(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type", "new", moves)
+
+
+def _moves(spark, d):
+    """Edges between regions and nations: nation k leads to nations k + 1 and 2k of the same table."""
+    n = table(spark, d, "nation")
+    return n.select(F.col("n_nationkey").alias("src"), F.explode(F.array((F.col("n_nationkey") + 1) % 25, (F.col("n_nationkey") * 2) % 25)).alias("dst"))
+
+
+_EDGES = "e AS (SELECT DISTINCT src, dst FROM (SELECT n_nationkey AS src, (n_nationkey + 1) % 25 AS dst FROM nation UNION ALL SELECT n_nationkey, (n_nationkey * 2) % 25 FROM nation))"
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, p AS (SELECT [src::VARCHAR] AS p, src AS at, 0 AS depth FROM (SELECT 1 AS src) UNION ALL
+SELECT list_append(p.p, e.dst::VARCHAR), e.dst, p.depth + 1 FROM p JOIN e ON p.at = e.src WHERE p.depth < 4 AND NOT list_contains(p.p, e.dst::VARCHAR))
+SELECT array_to_string(p, ',') AS path, depth::INT AS depth FROM p WHERE depth > 0""")
+def call_paths(spark, d):
+    return graph.simple_paths(_moves(spark, d), spark.range(1, 2).select(F.col("id").cast("int").alias("src")), 4)
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, p AS (SELECT 1 AS node, 0 AS level UNION SELECT e.dst, p.level + 1 FROM p JOIN e ON p.node = e.src WHERE p.level < 6)
+SELECT node::INT AS node, min(level)::INT AS level FROM p GROUP BY 1""")
+def bfs_levels(spark, d):
+    return graph.levels(_moves(spark, d), spark.range(1, 2).select(F.col("id").cast("int").alias("src")), 6)
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def json_path(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT page_id, regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*/[^/]*)$', 1) AS suffix FROM pages")
+def path_suffixes(spark, d):
+    return table(spark, d, "pages").select("page_id", scalar.path_suffix(scalar.url_path(F.col("url")), 2).alias("suffix"))
+
+
+@query("SELECT p_partkey, concat_ws(',', CASE WHEN p_size & 1 <> 0 THEN 'read' END, CASE WHEN p_size & 2 <> 0 THEN 'write' END, CASE WHEN p_size & 4 <> 0 THEN 'exec' END) AS flags FROM part")
+def flags_decode(spark, d):
+    return table(spark, d, "part").select("p_partkey", scalar.flags(F.col("p_size"), ["read", "write", "exec"]).alias("flags"))
+
+
+@query("""SELECT r_regionkey, n_nationkey, omitted FROM (SELECT r_regionkey, n_nationkey, row_number() OVER (ORDER BY r_regionkey, n_nationkey) AS k, greatest(count(*) OVER () - 40, 0) AS omitted FROM region, nation) WHERE k <= 40""")
+def bounded_cartesian(spark, d):
+    """All pairs of two tables of fixed size (5 and 25 rows), 40 of them at most."""
+    pairs = table(spark, d, "region").select("r_regionkey").crossJoin(F.broadcast(table(spark, d, "nation").select("n_nationkey")))
+    found = search.page(pairs, ["r_regionkey", "n_nationkey"], 0, 40)
+    return found.select("r_regionkey", "n_nationkey", F.greatest(F.col("total") - 40, F.lit(0).cast("long")).alias("omitted"))
+
+
+@query("SELECT user_id, date_trunc('day', ts)::DATE::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling(spark, d):
+    return table(spark, d, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_cube(spark, d):
+    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))

@@ -1,0 +1,14 @@
+"""Readers for the source formats."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a folder, recursively: path, modificationTime, length, content."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
