@@ -1,5 +1,6 @@
 """Every registered query of the reference's operators against DuckDB, on the smallest tables."""
 
+import numbers
 import os
 
 import duckdb
@@ -19,9 +20,14 @@ def duck():
     return con
 
 
+def plain(x):
+    if pd.isna(x):
+        return "null"
+    return str(float(x)) if isinstance(x, numbers.Number) and not isinstance(x, bool) else str(x)
+
+
 def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    return sorted(tuple("null" if pd.isna(x) else str(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in frame.itertuples(index=False))
+    return sorted(tuple(map(plain, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
