@@ -26,7 +26,7 @@ import pyarrow as pa
 MATRIX_MAX = 128
 NONE = np.iinfo(np.int32).max
 #: Bound on the units that a worker remembers between batches.
-CACHE_MAX = 400_000
+CACHE_MAX = 250_000
 
 
 class PairTable:

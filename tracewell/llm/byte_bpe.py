@@ -29,7 +29,7 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def _adds(docs: DataFrame, out: str, fn) -> DataFrame:
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, size=4 << 20)
     rest = [c for c in docs.columns if c != out]
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(out, T.BinaryType())])
 

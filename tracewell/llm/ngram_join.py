@@ -48,7 +48,7 @@ HEAVY_MAX = 65_536
 SMALL = 12
 #: Pairs that may be broadcast: 32 bytes each.
 FEW = 200_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -40,7 +40,7 @@ CLOSE = 0
 
 def tokenise(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", doc_id: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and (with_ids) the ids of each piece."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, size=4 << 20)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

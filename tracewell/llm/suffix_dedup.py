@@ -43,7 +43,7 @@ from tracewell.llm import hashing
 from tracewell.llm.common import bounded_batches, stored
 
 TRIGGER = 16
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 MARKS = "dbucket int, docs binary, starts binary, wins binary, kind int"
 WHOLE, OPEN = 0, 1
 MEETS, SETTLED = 0, 1
