@@ -62,3 +62,72 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
     w = Window.partitionBy(key).orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("last_value", F.last("__v", True).over(w)).withColumn("last_time", F.last("__vt", True).over(w))
     return seen.where("__side = 1").select("__row.*", "last_value", "last_time")
+
+
+def contained(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width: int) -> DataFrame:
+    """Every point with the range [start, end) that holds it, or nulls.
+
+    Ranges are dealt to buckets of `width`, so the join is an equi-join; give a
+    width near the usual length of a range.
+    """
+    cells = F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))
+    dealt = ranges.where(F.col(end) > F.col(start)).withColumn("__cell", F.explode(cells))
+    own = points.withColumn("__cell", F.floor(F.col(at) / width))
+    inside = (own["__cell"] == dealt["__cell"]) & (own[at] >= dealt[start]) & (own[at] < dealt[end])
+    return own.join(dealt, inside, "left").drop("__cell")
+
+
+def unique_target(left: DataFrame, right: DataFrame, key: str, target: str) -> DataFrame:
+    """left rows with status and target: paired if exactly one right row has the key."""
+    have = right.groupBy(key).agg(F.count("*").alias("candidates"), F.min(target).alias("__t"))
+    n = F.coalesce("candidates", F.lit(0).cast("long"))
+    status = F.when(n == 0, "unpaired").when(n == 1, "paired").otherwise("ambiguous")
+    return left.join(have, key, "left").withColumn("candidates", n).withColumn("status", status).withColumn("target", F.when(n == 1, F.col("__t"))).drop("__t")
+
+
+def reciprocal(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[Column]) -> DataFrame:
+    """left_id, right_id: pairs that keys unique on each side point at, where both sides have this one partner."""
+    named = [F.concat(F.lit(f"{i}:"), k) for i, k in enumerate(keys)]
+
+    def unique(df: DataFrame, id_col: str, out: str) -> DataFrame:
+        every = df.select(F.explode(F.array(*named)).alias("__k"), F.col(id_col).alias("__id")).where("__k IS NOT NULL")
+        return every.groupBy("__k").agg(F.count("*").alias("__n"), F.min("__id").alias(out)).where("__n = 1").drop("__n")
+
+    pairs = unique(left, left_id, "left_id").join(unique(right, right_id, "right_id"), "__k").select("left_id", "right_id").distinct()
+    one = pairs.groupBy("left_id").agg(F.count("*").alias("__n"), F.min("right_id").alias("right_id")).where("__n = 1")
+    back = pairs.groupBy("right_id").agg(F.count("*").alias("__m"), F.min("left_id").alias("left_id")).where("__m = 1")
+    return one.join(back, ["left_id", "right_id"]).select("left_id", "right_id")
+
+
+def reconcile(entities: DataFrame, candidates: DataFrame, entity: str, candidate: str, digest: str, place: str) -> DataFrame:
+    """entity, status, candidate.
+
+    Content and place together win, then unique content; a place alone counts
+    only for an entity whose content was not captured (null digest).  Candidates
+    are counted by key before the joins, so no key fans out.
+    """
+    told = lambda *by: candidates.groupBy(*by).agg(F.count("*").alias(f"__n{len(by)}{by[0]}"), F.min(candidate).alias(f"__c{len(by)}{by[0]}"))
+    found = entities.join(told(digest, place), [digest, place], "left").join(told(digest), digest, "left").join(told(place), place, "left")
+    both, content, at = (F.coalesce(F.col(c), F.lit(0).cast("long")) for c in (f"__n2{digest}", f"__n1{digest}", f"__n1{place}"))
+    bare = F.col(digest).isNull()
+    status = (
+        F.when(both == 1, "content_and_location").when(content == 1, "content").when(content > 1, "ambiguous")
+        .when(bare & (at == 1), "location").when(bare & (at > 1), "ambiguous").otherwise("unmatched")
+    )
+    chosen = F.when(status == "content_and_location", F.col(f"__c2{digest}")).when(status == "content", F.col(f"__c1{digest}")).when(status == "location", F.col(f"__c1{place}"))
+    return found.select(entity, status.alias("status"), chosen.alias("candidate"))
+
+
+def scored(sources: DataFrame, nodes: DataFrame, source: str, node: str, block: str, signals: list[tuple[str, int]], least: int) -> DataFrame:
+    """source, node, score, rank of node classes that share the blocking key.
+
+    Rows alike in all signals are one class on each side, represented by its
+    least id, so copies do not multiply.  A signal adds its points if equal.
+    """
+    cols = [block, *[c for c, _ in signals if c != block]]
+    a = sources.groupBy(*cols).agg(F.min(source).alias("source"))
+    b = nodes.groupBy(*cols).agg(F.min(node).alias("node"))
+    b = b.select("node", F.col(block), *[F.col(c).alias(f"__{c}") for c in cols if c != block])
+    points = sum((F.when(F.lit(True) if c == block else F.col(c) == F.col(f"__{c}"), w).otherwise(0) for c, w in signals), F.lit(0))
+    found = a.join(b, block).withColumn("score", points).where(F.col("score") >= least)
+    return found.select("source", "node", "score", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "node")).alias("rank"))

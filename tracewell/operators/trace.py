@@ -52,3 +52,42 @@ def run_automaton(events: DataFrame, key: str, order: list[str], kind: str, star
 
     run = F.aggregate(seq, F.struct(F.lit(start).alias("state"), F.lit(0).alias("matched")), step)
     return events.groupBy(key).agg(run.alias("r")).select(key, "r.state", "r.matched")
+
+
+def not_before(events: DataFrame, key: str, kind: str, order: str, anchor: str, event: str) -> DataFrame:
+    """key, status: the first `event` may not come before the first `anchor`, which it requires."""
+    first = lambda k: F.min(F.when(F.col(kind) == k, F.col(order)))
+    found = events.groupBy(key).agg(first(event).alias("e"), first(anchor).alias("a"))
+    return found.select(key, F.when(F.col("e").isNull(), "ok").when(F.col("a").isNull(), "missing_anchor").when(F.col("e") < F.col("a"), "violated").otherwise("ok").alias("status"))
+
+
+def boundary(events: DataFrame, key: str, order: list[str], kind: str, prefix: list[str], suffix: list[str]) -> DataFrame:
+    """key, prefix_ok, suffix_ok.  Only the first and last positions of a key are kept, not its whole sequence."""
+    n, m = len(prefix), len(suffix)
+    w = Window.partitionBy(key)
+    up = [F.asc(c) for c in order]
+    down = [F.desc(c) for c in order]
+    placed = events.select(key, kind, F.row_number().over(w.orderBy(*up)).alias("__i"), F.row_number().over(w.orderBy(*down)).alias("__j"))
+    near = placed.where((F.col("__i") <= n) | (F.col("__j") <= m))
+    hits = lambda at, want: sum((F.max(F.when((F.col(at) == i + 1) & (F.col(kind) == v), 1).otherwise(0)) for i, v in enumerate(want)), F.lit(0))
+    return near.groupBy(key).agg((hits("__i", prefix) == n).alias("prefix_ok"), (hits("__j", suffix[::-1]) == m).alias("suffix_ok"))
+
+
+def sequence(events: DataFrame, key: str, order: list[str], kind: str, steps: list[str]) -> DataFrame:
+    """key, reached: how many of the steps occur in this order, each after the one before."""
+
+    def step(acc: Column, k: Column) -> Column:
+        want: Column = F.lit(None).cast("string")
+        for i, s in enumerate(steps):
+            want = F.when(acc == i, F.lit(s)).otherwise(want)
+        return F.when(want == k, acc + 1).otherwise(acc)
+
+    seq = F.transform(F.sort_array(F.collect_list(F.struct(*order, kind))), lambda x: x[kind])
+    return events.where(F.col(kind).isin(*steps)).groupBy(key).agg(F.aggregate(seq, F.lit(0), step).alias("reached"))
+
+
+def sessions(events: DataFrame, key: str, time: str, tie: str, gap: str) -> DataFrame:
+    """events with session (from 1): a new one starts after a pause longer than the gap."""
+    w = Window.partitionBy(key).orderBy(time, tie)
+    starts = F.coalesce(F.col(time) > F.lag(time).over(w) + F.expr(f"INTERVAL {gap}"), F.lit(True)).cast("int")
+    return events.withColumn("__new", starts).withColumn("session", F.sum("__new").over(w)).drop("__new")

@@ -1,0 +1 @@
+from tracewell.plans import catalog, evidence  # noqa: F401  both register their queries
