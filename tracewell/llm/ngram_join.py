@@ -11,11 +11,15 @@ A document's set holds the hashes (64 bits) of its distinct `n`-word shingles.
    members one stays.
 3. Candidates, in rounds.  A bucket's least member is its first pivot; it is
    compared with every other member.  Members that are linked by now, in this
-   or another bucket, need no comparison; the bucket goes on with further
+   or another bucket, need no comparison: a document first meets the pivot
+   that it shares most keys with, then those pivots that are still in other
+   components.  The bucket goes on with further
    pivots until its members that have not been pivots are all in one component.
    So every pair is compared or known to be connected, but a group of g copies
    costs about g comparisons, not g * g.
-4. Overlap.  The shared prefix shingles bound a pair's overlap; pairs that may
+4. Overlap.  A sketch of a set, the parities of its hashes in 512 cells, bounds
+   from below in how many shingles two sets differ; pairs that differ in too
+   many are no candidates.  The shared prefix shingles bound a pair's overlap; pairs that may
    still reach the similarity go on.  The order is cut into `fragments` by the
    hash's leading bits, each set into that many segments.  A pair's overlap is
    counted in every fragment on its own (a row for each) and summed per pair.
@@ -45,7 +49,10 @@ from tracewell.llm.common import bounded_batches, stored
 CELL_BITS = 20
 #: At most so many heavy cells are shipped to the tasks; they change the order only.
 HEAVY_MAX = 65_536
-SMALL = 12
+SMALL = 32
+#: A set's sketch: the parities of its hashes in 64 * WORDS cells.
+WORDS = 8
+SKETCH = "struct<" + ", ".join(f"s{i}:long" for i in range(WORDS)) + ">"
 #: Pairs that may be broadcast: 32 bytes each.
 FEW = 200_000
 BATCH_BYTES = 2 << 20
@@ -91,7 +98,7 @@ def _heavy(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, digests k1 and k2, and the prefix of each document."""
+    """doc_id, n_shingles, digests k1 and k2, the prefix and the sketch of each document."""
 
     def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_heavy = np.zeros(1 << CELL_BITS, np.uint8)
@@ -112,9 +119,18 @@ def _sets(docs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame
             prefix = h[order][take].view(np.int64)
             ends = np.append(0, np.cumsum(np.where(size > 0, np.minimum(long, size), 0))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists], ["doc_id", "n_shingles", "k1", "k2", "prefix"])
+            odd = np.bincount(own * (64 * WORDS) + (h % hashing.U(64 * WORDS)).astype(np.int64), minlength=64 * WORDS * b.num_rows) % 2
+            bits = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, WORDS)
+            sketch = pa.StructArray.from_arrays([pa.array(bits[:, i].copy()) for i in range(WORDS)], [f"s{i}" for i in range(WORDS)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists, sketch], ["doc_id", "n_shingles", "k1", "k2", "prefix", "sketch"])
 
-    return docs.mapInArrow(fn, "doc_id long, n_shingles long, k1 long, k2 long, prefix array<long>")
+    return docs.mapInArrow(fn, f"doc_id long, n_shingles long, k1 long, k2 long, prefix array<long>, sketch {SKETCH}")
+
+
+def _alike(x: str, y: str, xn: str, yn: str, percent: int) -> Column:
+    """Whether two sketches leave room for the similarity: each cell whose parities differ holds a shingle that one set lacks."""
+    differ = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(WORDS)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col(xn) + F.col(yn))
 
 
 def _segments(docs: DataFrame, n: int, fragments: int, also: str | None = None) -> DataFrame:
@@ -143,12 +159,12 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 def _links(pairs: DataFrame, sets: DataFrame, own: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
     """Pairs (a, b) of (a, b, an, bn) whose summed overlap reaches the similarity.
 
-    The prefixes are counted first.  What two sets share beyond them is at
+    The sketches are compared and the prefixes counted first.  What two sets share beyond them is at
     most the rest of one of them, so most pairs that met by chance end here.
     """
     rest = lambda x: F.floor((percent * F.col(x) + 99) / 100) - 1  # noqa: E731  a set less its prefix
-    prefix = lambda side: sets.select(F.col("doc_id").alias(side), F.col("prefix").alias(f"p{side}"))
-    met = pairs.join(prefix("b"), "b").join(prefix("a"), "a").withColumn("most", F.size(F.array_intersect("pa", "pb")) + F.greatest(rest("an"), rest("bn")))
+    prefix = lambda side: sets.select(F.col("doc_id").alias(side), F.col("prefix").alias(f"p{side}"), F.col("sketch").alias(f"k{side}"))
+    met = pairs.join(prefix("b"), "b").join(prefix("a"), "a").where(_alike("ka", "kb", "an", "bn", percent)).withColumn("most", F.size(F.array_intersect("pa", "pb")) + F.greatest(rest("an"), rest("bn")))
     close = stored(met.where((100 + percent) * F.col("most") >= percent * (F.col("an") + F.col("bn"))).select("a", "b", "an", "bn").distinct())
     rows = close.count()
     if not rows:
@@ -159,6 +175,7 @@ def _links(pairs: DataFrame, sets: DataFrame, own: DataFrame, n: int, percent: i
     left = _segments(own.join(_few(firsts, rows), "doc_id", "left_semi"), n, fragments).select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("sa"))
     both = right.select("b", "t.a", "t.an", "t.bn", "fragment", "sb").join(left, ["a", "fragment"])
     partial = both.select("a", "b", "an", "bn", "fragment", F.size(F.array_intersect("sa", "sb")).cast("long").alias("part"))
+    partial = partial.repartition("a", "b")  # else a pivot's many partners are summed in the one task that joined them
     one = partial.groupBy("a", "b", "an", "bn", "fragment").agg(F.max("part").alias("part"))  # repeated rows of an id count once
     total = one.groupBy("a", "b", "an", "bn").agg(F.sum("part").alias("both"))
     return total.where(100 * F.col("both") >= percent * (F.col("an") + F.col("bn") - F.col("both"))).select("a", "b")
@@ -195,37 +212,41 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, fragments: int =
     sets = stored(_sets(own, n, percent, heavy))
     key = ["k1", "k2", "n_shingles"]
     classes = stored(sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    entries = stored(
-        sets.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi")
-        .select(F.explode("prefix").alias("h"), F.struct(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")).alias("m"))
-    )
+    reps = stored(sets.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").select("doc_id", "n_shingles", "prefix", "sketch"))
+    entries = reps.select(F.explode("prefix").alias("h"), F.struct(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")).alias("m"))
     dealt = entries.repartition("h")  # one shuffle for the tally and for the join back to it
     hashed = F.xxhash64("m.doc")
     tally = dealt.groupBy("h").agg(F.count("*").alias("size"), F.min("m").alias("least"), F.max("m.doc").alias("most"), F.bit_xor(hashed).alias("x1"), F.bit_xor(F.xxhash64(hashed)).alias("x2"))
     shared = stored(dealt.join(tally.where("size > 1 and least.doc != most"), "h"))
     kept = shared.where("m.doc = least.doc").groupBy("size", "least", "most", "x1", "x2").agg(F.min("h").alias("h"))
     members = stored(shared.where("m.doc != least.doc").select("h", "m").join(kept.select("h", "size", "least"), "h"))
-    pairs = members.where(_near(F.col("least.n"), F.col("m.n"), percent)).select(F.col("least.doc").alias("a"), F.col("m.doc").alias("b"), F.col("least.n").alias("an"), F.col("m.n").alias("bn")).distinct()
-    pairs = stored(pairs)
+    met = members.where(_near(F.col("least.n"), F.col("m.n"), percent)).groupBy(F.col("least.doc").alias("a"), F.col("m.doc").alias("b"), F.col("least.n").alias("an"), F.col("m.n").alias("bn"))
+    met = stored(met.agg(F.count("*").alias("shared")))
     involved = members.select(F.explode(F.array("least.doc", "m.doc")).alias("doc_id")).distinct()
-    prefixes = sets.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi").select("doc_id", "prefix")
-    labels = involved.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp"))
-    labels = contract(stored(labels), stored(_links(pairs, prefixes, own, n, percent, fragments)))
-    tested = pairs.select("a", "b")
+    labels = stored(involved.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp")))
+    prefixes = stored(reps.join(labels.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "prefix", "sketch"))
+    # the pivot that a document shares most with comes first; of its others, those that this has not connected to it
+    first = met.groupBy("b").agg(F.max(F.struct("shared", "a", "an", "bn")).alias("x")).select("x.a", "b", "x.an", "x.bn")
+    labels = contract(labels, stored(_links(first, prefixes, own, n, percent, fragments)))
+    at = lambda side: labels.select(F.col("doc").alias(side), F.col("comp").alias(f"c{side}"))
+    others = met.join(first.select("a", "b"), ["a", "b"], "left_anti").join(at("b"), "b").join(at("a"), "a").where("ca != cb")
+    labels = contract(labels, stored(_links(stored(others.select("a", "b", "an", "bn")), prefixes, own, n, percent, fragments)))
+    tested = met.select("a", "b")
     left = members.where("size > 2").select("h", "m")
     turn = 0
     while True:
         turn += 1
         told = left.join(labels.withColumnRenamed("doc", "__d"), F.col("m.doc") == F.col("__d")).select("h", "m", "comp")
         of = told.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("m.doc", F.xxhash64("m.doc", F.lit(turn))).alias("first"))
-        active = stored(told.join(of.where("c0 != c1").select("h", "size", "first"), "h"))
+        open_ = told.join(of.where("c0 != c1").select("h", "size", "first"), "h")
+        active = stored(open_.join(prefixes.select(F.col("doc_id").alias("__d"), "sketch"), F.col("m.doc") == F.col("__d")).drop("__d"))
         if active.isEmpty():
             break
-        pivot = (F.col("size") <= SMALL) | (F.col("m.doc") == F.col("first")) | (F.pmod(F.xxhash64("m.doc", F.lit(turn)), F.col("size")) < F.lit(2**turn - 1))
+        pivot = (F.col("size") <= SMALL) | (F.col("m.doc") == F.col("first")) | (F.pmod(F.xxhash64("m.doc", F.lit(turn)), F.col("size")) < F.lit(8 ** (turn - 1)))
         marked = active.withColumn("pivot", pivot)
-        one = marked.where("pivot").select("h", F.col("m").alias("p"), F.col("comp").alias("pc"))
+        one = marked.where("pivot").select("h", F.col("m").alias("p"), F.col("comp").alias("pc"), F.col("sketch").alias("ps"))
         other = F.col("m.doc") != F.col("p.doc")
-        cand = marked.join(one, "h").where(other & (F.col("comp") != F.col("pc")) & _near(F.col("m.n"), F.col("p.n"), percent) & (~F.col("pivot") | (F.col("m.doc") > F.col("p.doc"))))
+        cand = marked.join(one, "h").where(other & (F.col("comp") != F.col("pc")) & _near(F.col("m.n"), F.col("p.n"), percent) & _alike("sketch", "ps", "m.n", "p.n", percent) & (~F.col("pivot") | (F.col("m.doc") > F.col("p.doc"))))
         lo, hi = F.least(F.struct("p.doc", "p.n"), F.struct("m.doc", "m.n")), F.greatest(F.struct("p.doc", "p.n"), F.struct("m.doc", "m.n"))
         pairs = cand.select(lo.alias("lo"), hi.alias("hi")).distinct().select(F.col("lo.doc").alias("a"), F.col("hi.doc").alias("b"), F.col("lo.n").alias("an"), F.col("hi.n").alias("bn"))
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
