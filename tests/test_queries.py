@@ -6,7 +6,9 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tracewell.operators import match, trace
 from tracewell.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -45,3 +47,21 @@ def test_automaton(spark):
         to = moves.get((state, r.event_type))
         want[r.user_id] = (to or state, n + (to is not None))
     assert {r.user_id: (r.state, r.matched) for r in catalog.fsm_replay(spark, FOLDER).collect()} == want
+
+
+def test_first_divergence_of_every_key(spark):
+    rows = [(u, t, i, k) for u, order in ((1, "ab"), (2, "aba"), (7, "abcab"), (8, "aab")) for i, (t, k) in enumerate(zip([0, 2, 1, 3, 4], order))]
+    e = spark.createDataFrame(rows, "user_id int, ts int, event_id int, event_type string")
+    left = trace.numbered(e, "user_id", ["ts", "event_id"], F.floor(F.col("ts") / 2))
+    right = trace.numbered(e, "user_id", ["event_id"], F.floor(F.col("event_id") / 3))
+    got = {tuple(r) for r in trace.divergence_by_key(left, right, "user_id", "position", "event_type").collect()}
+    assert got == {(2, 2, "a", "b"), (7, 2, "c", "b"), (8, 2, "b", "a")}
+    short = trace.divergence_by_key(left, left.where("user_id != 7 OR position < 3"), "user_id", "position", "event_type")
+    assert [tuple(r) for r in short.collect()] == [(7, 3, "b", None)]
+
+
+def test_first_divergence_reads_every_user(spark, tmp_path):
+    rows = [(0, 5, 900, "a"), (1, 4, 900, "b"), (2, 1, 901, "b"), (3, 2, 901, "b"), (4, 1, 5000, "b"), (5, 7, 5000, "b")]
+    e = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string")
+    e.withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["first_divergence_by_user"](spark, str(tmp_path)).collect()] == [(900, 901, 2, "a", "b")]

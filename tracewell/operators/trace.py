@@ -40,6 +40,52 @@ def first_divergence(left: DataFrame, right: DataFrame, position: str, value: st
     return both.where(~F.col("left_value").eqNullSafe(F.col("right_value"))).orderBy(position).limit(1)
 
 
+def numbered(events: DataFrame, key: str, order: list[str], cell: Column) -> DataFrame:
+    """events with position, from 1, in each key's order.
+
+    `cell` may not decrease in the order; counts of a key's cells give the offsets,
+    so that a task sorts one cell of a key and not all of its events.
+    """
+    dealt = events.withColumn("__cell", cell)
+    cells = dealt.groupBy(key, "__cell").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select(F.col(key).alias("__k"), F.col("__cell").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    nth = dealt.withColumn("__i", F.row_number().over(Window.partitionBy(key, "__cell").orderBy(*order)))
+    same = F.col(key).eqNullSafe(F.col("__k")) & F.col("__cell").eqNullSafe(F.col("__c"))
+    return nth.join(offsets, same).withColumn("position", F.col("__before") + F.col("__i")).drop("__cell", "__c", "__k", "__i", "__before")
+
+
+def following(keys: DataFrame, key: str, width: int = 1024) -> DataFrame:
+    """key, next: each whole-number key with the next greater one; the last has none.
+
+    Keys are dealt to cells of `width`, so only one row for each cell meets in one task.
+    """
+    dealt = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__cell", F.floor(F.col(key) / width))
+    heads = dealt.groupBy("__cell").agg(F.min(key).alias("__head"))
+    heads = heads.select("__cell", F.lead("__head").over(Window.orderBy("__cell")).alias("__then"))
+    inner = dealt.withColumn("__in", F.lead(key).over(Window.partitionBy("__cell").orderBy(key)))
+    return inner.join(heads, "__cell").select(key, F.coalesce("__in", "__then").alias("next")).where("next IS NOT NULL")
+
+
+def divergence_by_key(left: DataFrame, right: DataFrame, key: str, position: str, value: str) -> DataFrame:
+    """key, position, left_value, right_value: each key's first position at which its two sequences differ; no row for equal ones."""
+    side = lambda df, i: df.select(F.col(key).alias(f"__k{i}"), F.col(position).alias(f"__p{i}"), F.col(value).alias(f"__v{i}"))
+    both = side(left, 0).join(side(right, 1), F.col("__k0").eqNullSafe(F.col("__k1")) & (F.col("__p0") == F.col("__p1")), "full_outer")
+    odd = both.where(F.col("__p0").isNull() | F.col("__p1").isNull() | ~F.col("__v0").eqNullSafe(F.col("__v1")))
+    first = F.min(F.struct(F.coalesce("__p0", "__p1").alias("p"), F.col("__v0").alias("l"), F.col("__v1").alias("r"))).alias("x")
+    found = odd.groupBy(F.when(F.col("__p0").isNull(), F.col("__k1")).otherwise(F.col("__k0")).alias(key)).agg(first)
+    return found.select(key, F.col("x.p").alias(position), F.col("x.l").alias("left_value"), F.col("x.r").alias("right_value"))
+
+
+def variants(events: DataFrame, by: list[str], kind: str) -> DataFrame:
+    """variant, n: groups of `by` with the same kinds equally often; a variant lists kind:count of all of a group's events."""
+    n = events.groupBy(*by, kind).agg(F.count("*").alias("__n"))
+    pair = F.struct(F.coalesce(kind, F.lit("null")).alias("k"), F.col("__n").alias("n"))
+    seen = n.groupBy(*by).agg(F.sort_array(F.collect_list(pair)).alias("__s"))
+    text = F.array_join(F.transform("__s", lambda x: F.concat_ws(":", x["k"], x["n"].cast("string"))), ",")
+    return seen.groupBy(text.alias("variant")).agg(F.count("*").alias("n"))
+
+
 def run_automaton(events: DataFrame, key: str, order: list[str], kind: str, start: str, moves: dict[tuple[str, str], str]) -> DataFrame:
     """key, state, matched: a fold over each key's events; events without a move are skipped."""
     seq = F.transform(F.sort_array(F.collect_list(F.struct(*order, kind))), lambda x: x[kind])

@@ -210,6 +210,21 @@ def first_divergence(spark, d):
     return trace.first_divergence(seq.where("user_id = 1"), seq.where("user_id = 2"), "position", "event_type")
 
 
+@query("""WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events),
+u AS (SELECT user_id, lead(user_id) OVER (ORDER BY user_id) AS next_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)),
+a AS (SELECT user_id, position, event_type AS left_value FROM s JOIN u USING (user_id) WHERE next_id IS NOT NULL), b AS (SELECT u.user_id, position, event_type AS right_value FROM s JOIN u ON s.user_id = next_id),
+x AS (SELECT user_id, position, left_value, right_value, min(position) OVER (PARTITION BY user_id) AS first FROM a FULL JOIN b USING (user_id, position) WHERE left_value IS DISTINCT FROM right_value)
+SELECT user_id, next_id, position, left_value, right_value FROM x JOIN u USING (user_id) WHERE position = first""")
+def first_divergence_by_user(spark, d):
+    """Every user's sequence against that of the next user; first_divergence is the row of user 1."""
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    seq = trace.numbered(e, "user_id", ["ts", "event_id"], F.to_date("ts"))
+    pairs = trace.following(e, "user_id").withColumnRenamed("next", "next_id")
+    left = seq.join(pairs.select("user_id"), "user_id", "left_semi")
+    right = seq.withColumnRenamed("user_id", "next_id").join(pairs, "next_id")
+    return trace.divergence_by_key(left, right, "user_id", "position", "event_type").join(pairs, "user_id").select("user_id", "next_id", "position", "left_value", "right_value")
+
+
 @query()
 def fsm_replay(spark, d):
     """Per-user event fold over a small automaton; a fold has no plain SQL form, tests replay it."""
