@@ -65,3 +65,10 @@ def test_first_divergence_reads_every_user(spark, tmp_path):
     e = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string")
     e.withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in catalog.QUERIES["first_divergence_by_user"](spark, str(tmp_path)).collect()] == [(900, 901, 2, "a", "b")]
+
+
+def test_variants_keep_all_events(spark, tmp_path):
+    rows = [(1, 0, "a"), (1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 0, "a"), (2, 1, "a"), (2, 2, "b"), (2, 3, "d"), (3, 0, "b"), (3, 1, "a"), (3, 2, "c"), (3, 3, "a")]
+    e = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, user_id int, t long, event_type string")
+    e.withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    assert {tuple(r) for r in catalog.QUERIES["trace_variants_whole"](spark, str(tmp_path)).collect()} == {("a:2,b:1,c:1", 2), ("a:2,b:1,d:1", 1)}

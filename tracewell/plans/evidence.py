@@ -146,6 +146,13 @@ def trace_variants(spark, d):
     return v.groupBy("variant").agg(F.count("*").alias("n"))
 
 
+@query("""WITH n AS (SELECT user_id, ts::DATE AS day, coalesce(event_type, 'null') AS kind, count(*) AS n FROM events GROUP BY ALL), v AS (SELECT string_agg(kind || ':' || n, ',' ORDER BY kind) AS variant FROM n GROUP BY user_id, day)
+SELECT variant, count(*) AS n FROM v GROUP BY 1""")
+def trace_variants_whole(spark, d):
+    """All events of a user's day as one unordered group, each type with its count."""
+    return trace.variants(table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_type"), ["user_id", "day"], "event_type")
+
+
 @query("""WITH a AS (SELECT user_id, min((ts, event_id)) AS t FROM events WHERE event_type = 'signup' GROUP BY 1), b AS (SELECT e.user_id, min((e.ts, e.event_id)) AS t FROM events e JOIN a USING (user_id) WHERE event_type = 'click' AND (e.ts, e.event_id) > a.t GROUP BY 1),
 c AS (SELECT e.user_id, min((e.ts, e.event_id)) AS t FROM events e JOIN b USING (user_id) WHERE event_type = 'purchase' AND (e.ts, e.event_id) > b.t GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events WHERE event_type IN ('signup', 'click', 'purchase'))
 SELECT user_id, (CASE WHEN a.t IS NULL THEN 0 WHEN b.t IS NULL THEN 1 WHEN c.t IS NULL THEN 2 ELSE 3 END)::INT AS reached FROM u LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id) LEFT JOIN c USING (user_id)""")
