@@ -72,3 +72,14 @@ def test_variants_keep_all_events(spark, tmp_path):
     e = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, user_id int, t long, event_type string")
     e.withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
     assert {tuple(r) for r in catalog.QUERIES["trace_variants_whole"](spark, str(tmp_path)).collect()} == {("a:2,b:1,c:1", 2), ("a:2,b:1,d:1", 1)}
+
+
+def test_one_to_one_uses_up_both_sides(spark):
+    left = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (4, "c", "y"), (5, None, "z"), (6, "d", "w")], "id int, k string, j string")
+    right = spark.createDataFrame([(11, "a", "x"), (12, "q", "x"), (13, "c", "y"), (14, None, "z"), (15, None, "v")], "id int, k string, j string")
+    got = {tuple(r)[:4] + tuple(r)[6:] for r in match.one_to_one(left, right, "id", "id", [("full", F.col("k")), ("partial", F.col("j"))]).collect()}
+    assert got == {
+        ("left", 1, "full", "matched", 11), ("right", 11, "full", "matched", 1), ("left", 2, "partial", "matched", 12), ("right", 12, "partial", "matched", 2),
+        ("left", 3, "full", "ambiguous", None), ("left", 4, "full", "ambiguous", None), ("right", 13, "full", "ambiguous", None),
+        ("left", 5, "partial", "matched", 14), ("right", 14, "partial", "matched", 5), ("left", 6, "none", "unmatched", None), ("right", 15, "none", "unmatched", None),
+    }

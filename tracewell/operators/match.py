@@ -40,6 +40,30 @@ def consuming(left: DataFrame, right: DataFrame, left_id: str, right_id: str, ti
     return reduce(DataFrame.unionByName, [*parts, none])
 
 
+def one_to_one(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: list[tuple[str, Column]]) -> DataFrame:
+    """side, id, tier, status, lefts, rights, partner: one row for every row of both sides.
+
+    A key that both sides have is matched if one row on each side has it, else
+    ambiguous; either way its rows on both sides are used up before the next
+    tier.  A null key meets nothing.
+    """
+    parts, a, b = [], left.select(left_id, *[k.alias(f"__k{i}") for i, (_, k) in enumerate(tiers)]), right.select(right_id, *[k.alias(f"__k{i}") for i, (_, k) in enumerate(tiers)])
+    told = lambda df, key, id_col, n, out: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n), F.min(id_col).alias(out))
+    single = (F.col("lefts") == 1) & (F.col("rights") == 1)
+    for i, (name, _) in enumerate(tiers):
+        key = f"__k{i}"
+        groups = told(a, key, left_id, "lefts", "__l").join(told(b, key, right_id, "rights", "__r"), key)
+        for side, df, own, other in (("left", a, left_id, "__r"), ("right", b, right_id, "__l")):
+            status = F.when(single, "matched").otherwise("ambiguous")
+            parts.append(df.join(groups, key).select(F.lit(side).alias("side"), F.col(own).alias("id"), F.lit(name).alias("tier"), status.alias("status"), "lefts", "rights", F.when(single, F.col(other)).alias("partner")))
+        used = groups.select(key)
+        a, b = a.join(used, key, "left_anti"), b.join(used, key, "left_anti")
+    zero = F.lit(0).cast("long")
+    for side, df, own, other in (("left", a, left_id, right.schema[right_id]), ("right", b, right_id, left.schema[left_id])):
+        parts.append(df.select(F.lit(side).alias("side"), F.col(own).alias("id"), F.lit("none").alias("tier"), F.lit("unmatched").alias("status"), zero.alias("lefts"), zero.alias("rights"), F.lit(None).cast(other.dataType).alias("partner")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def top_candidates(scored: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     """The k best rows of each `by`, with rank and the number of rows left out."""
     w = Window.partitionBy(by)

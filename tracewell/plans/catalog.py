@@ -110,6 +110,20 @@ def member_match_consuming(spark, d):
     return match.consuming(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "p_partkey", "p_partkey", tiers)
 
 
+@query("""WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'left' ELSE 'right' END AS side, concat_ws('/', p_brand, p_type, p_size) AS k1, concat_ws('/', p_brand, p_size) AS k2 FROM part),
+g1 AS (SELECT k1, count(*) FILTER (side = 'left') AS lefts, count(*) FILTER (side = 'right') AS rights, min(id) FILTER (side = 'left') AS l, min(id) FILTER (side = 'right') AS r FROM p GROUP BY 1 HAVING lefts > 0 AND rights > 0),
+q AS (SELECT * FROM p WHERE k1 NOT IN (SELECT k1 FROM g1)),
+g2 AS (SELECT k2, count(*) FILTER (side = 'left') AS lefts, count(*) FILTER (side = 'right') AS rights, min(id) FILTER (side = 'left') AS l, min(id) FILTER (side = 'right') AS r FROM q GROUP BY 1 HAVING lefts > 0 AND rights > 0),
+x AS (SELECT side, id, 'full' AS tier, lefts, rights, l, r FROM p JOIN g1 USING (k1) UNION ALL SELECT side, id, 'partial', lefts, rights, l, r FROM q JOIN g2 USING (k2))
+SELECT side, id, tier, CASE WHEN lefts = 1 AND rights = 1 THEN 'matched' ELSE 'ambiguous' END AS status, lefts, rights, CASE WHEN lefts = 1 AND rights = 1 THEN CASE side WHEN 'left' THEN r ELSE l END END AS partner FROM x
+UNION ALL SELECT side, id, 'none', 'unmatched', 0, 0, NULL FROM q WHERE k2 NOT IN (SELECT k2 FROM g2)""")
+def member_match_one_to_one(spark, d):
+    """As member_match_consuming, but a key is used up on both sides and matches only if it is 1-to-1."""
+    p = table(spark, d, "part")
+    tiers = [("full", F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string"))), ("partial", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")))]
+    return match.one_to_one(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "p_partkey", "p_partkey", tiers)
+
+
 @query("""SELECT o_custkey, o_orderkey, o_totalprice, rank::INT AS rank, greatest(n - 3, 0) AS omitted FROM (
 SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE rank <= 3""")
 def topk_candidates(spark, d):
