@@ -10,9 +10,11 @@ Everything is one projection of built-in functions over the scan.
   count of each letter and the sum of c*log2(c), both changed only for the
   letter that enters and the one that leaves.  A candidate counts if the best
   window's entropy reaches the limit of its character class (hex, lower-case
-  with digits, mixed).  The allow-list drops candidates without both letters
-  and digits, UUIDs, paths and placeholders.  Base spans always stay; a
-  candidate that overlaps one adds nothing.
+  with digits, mixed); windows that touch a placeholder word do not count.  The
+  allow-list drops candidates without both letters and digits, UUIDs, and those
+  paths and identifiers of which each segment is short, a number, words, or low
+  in window entropy itself.  Base spans always stay; a candidate that overlaps
+  one adds nothing.
 
 Defined cases: null and empty texts have no spans.  Texts are taken whole.
 Repeated rows are judged alike; other columns pass through.
@@ -41,10 +43,13 @@ CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("lower", r"^[0-9a-z_=-]+$", 3.6), (
 ALLOWED = (
     r"^[^0-9]*$|^[^A-Za-z]*$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"/[^/]*/",
-    r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0000|1234567",
-    r"^[a-z]+([_-][a-z0-9]+)+$",
 )
+#: Windows that touch one of these do not count; those beside it do.
+PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0000|1234567"
+#: Paths and identifiers, their separators, and what a segment of them usually is: short, a number, or words with a short number.
+STRUCTURED = r"/[^/]*/|^[a-z]+[_-][a-z0-9_-]+$"
+SEPARATOR = r"[/_-]"
+USUAL = r"^(?:.{0,8}|[0-9]+|[A-Z]+[0-9]{0,4}|[A-Z]?[a-z]+(?:[A-Z][a-z]{2,}){0,6}[0-9]{0,4})=*$"
 
 
 def prefix_sums(x: Column, block: int = 256) -> Column:
@@ -107,7 +112,10 @@ def _suspicious(c: Column, assigned: Column) -> Column:
     limit = F.lit(None).cast("double")
     for _, pattern, least in reversed(CLASSES):
         limit = F.when(F.rlike(word, F.lit(pattern)), F.lit(least)).otherwise(limit)
-    return F.when(allowed | base, F.lit(False)).otherwise(window_entropy(word) >= limit)
+    cold = lambda part: (F.length(part) >= WINDOW) & (window_entropy(part) < limit)
+    hot = F.exists(F.split(word, PLACEHOLDER), lambda part: (F.length(part) >= WINDOW) & (window_entropy(part) >= limit))
+    usual = F.rlike(word, F.lit(STRUCTURED)) & F.forall(F.split(word, SEPARATOR), lambda part: F.rlike(part, F.lit(USUAL)) | cold(part))
+    return F.when(allowed | base, F.lit(False)).when(~hot, F.lit(False)).otherwise(~usual)
 
 
 def spans(text: Column) -> Column:
