@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,28 @@ def test_ngram_join_many_near_copies(spark):
     assert got == {i: root(i) for i in sets}
 
 
+def test_ngram_join_of_repeated_rows(spark):
+    """Keys of {1, 2, 5} and of {1, 3, 5} are different buckets, each row once or twice."""
+    words = [f"w{i}" for i in range(140)]
+    _, h = ngram_join.shingles(pa.array(words), 1)
+    by_hash = [words[i] for i in np.argsort(h)]
+    base, extra = by_hash[:100], by_hash[139]
+    rows = [(1, base), (2, base[8:]), (3, base[:8] + base[16:]), (5, [*base[:99], extra])]
+    once = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    for docs in (once, once.unionByName(once)):
+        got = {r.doc_id: r.component_id for r in ngram_join.components(docs, n=1, percent=85).collect()}
+        assert got == dict.fromkeys([1, 2, 3, 5], 1)
+    assert ngram_join.components(once.unionByName(once), n=1, percent=85).count() == 8
+
+
+def test_pipeline_keeps_one_row_of_a_repeated_document(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, a), (1, a), (2, a), (2, a), (3, b), (4, ""), (4, ""), (5, None), (5, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3, 4, 5]
+
+
 def test_byte_bpe(spark, folder):
     import tiktoken
 

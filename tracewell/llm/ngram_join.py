@@ -212,11 +212,12 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, fragments: int =
     sets = stored(_sets(own, n, percent, heavy))
     key = ["k1", "k2", "n_shingles"]
     classes = stored(sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    reps = stored(sets.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").select("doc_id", "n_shingles", "prefix", "sketch"))
+    reps = stored(sets.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").dropDuplicates([*key, "doc_id"]).select("doc_id", "n_shingles", "prefix", "sketch"))
     entries = reps.select(F.explode("prefix").alias("h"), F.struct(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")).alias("m"))
     dealt = entries.repartition("h")  # one shuffle for the tally and for the join back to it
     hashed = F.xxhash64("m.doc")
-    tally = dealt.groupBy("h").agg(F.count("*").alias("size"), F.min("m").alias("least"), F.max("m.doc").alias("most"), F.bit_xor(hashed).alias("x1"), F.bit_xor(F.xxhash64(hashed)).alias("x2"))
+    total = lambda x: F.sum(F.shiftrightunsigned(x, 28))  # noqa: E731  of multisets: a member that an id's other text brings again does not cancel
+    tally = dealt.groupBy("h").agg(F.count("*").alias("size"), F.min("m").alias("least"), F.max("m.doc").alias("most"), total(hashed).alias("x1"), total(F.xxhash64(hashed)).alias("x2"))
     shared = stored(dealt.join(tally.where("size > 1 and least.doc != most"), "h"))
     kept = shared.where("m.doc = least.doc").groupBy("size", "least", "most", "x1", "x2").agg(F.min("h").alias("h"))
     members = stored(shared.where("m.doc != least.doc").select("h", "m").join(kept.select("h", "size", "least"), "h"))
