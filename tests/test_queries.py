@@ -83,3 +83,16 @@ def test_one_to_one_uses_up_both_sides(spark):
         ("left", 3, "full", "ambiguous", None), ("left", 4, "full", "ambiguous", None), ("right", 13, "full", "ambiguous", None),
         ("left", 5, "partial", "matched", 14), ("right", 14, "partial", "matched", 5), ("left", 6, "none", "unmatched", None), ("right", 15, "none", "unmatched", None),
     }
+
+
+def test_signal_pairs_keep_every_page(spark):
+    s = spark.createDataFrame([(2, "src/a.js", "d1"), (4, "src/a.js", "d2"), (6, "b", "d3"), (8, None, "d4")], "id int, path string, digest string")
+    n = spark.createDataFrame(
+        [(1, "src/a.js", None, "d2"), (3, "src/a.js", None, "d9"), (5, "x/src/a.js", None, "d8"), (7, "z.js", "src/a.js", "d7"), (9, "other", None, "d3"), (11, None, None, "d4")],
+        "id int, path string, original string, digest string",
+    )
+    a, b = match.place_classes(s, "id", ["path"]), match.place_classes(n, "id", ["path", "original"])
+    assert {(r.id, r.class_id) for r in a.collect()} == {(2, 2), (4, 2), (6, 6), (8, 8)}
+    assert {(r.id, r.class_id) for r in b.collect()} == {(1, 1), (3, 1), (5, 5), (7, 7), (9, 9), (11, 11)}
+    got = {tuple(r) for r in match.signal_pairs(a, b).collect()}
+    assert got == {(2, 1, "d2", 185, 1), (2, 7, None, 95, 2), (2, 1, None, 85, 3), (2, 5, None, 65, 4), (6, 9, "d3", 100, 1), (8, 11, "d4", 100, 1)}

@@ -155,3 +155,38 @@ def scored(sources: DataFrame, nodes: DataFrame, source: str, node: str, block:
     points = sum((F.when(F.lit(True) if c == block else F.col(c) == F.col(f"__{c}"), w).otherwise(0) for c, w in signals), F.lit(0))
     found = a.join(b, block).withColumn("score", points).where(F.col("score") >= least)
     return found.select("source", "node", "score", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "node")).alias("rank"))
+
+
+def place_classes(rows: DataFrame, row: str, cols: list[str]) -> DataFrame:
+    """rows with class_id, the least id of the rows alike in cols (nulls are alike)."""
+    least = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in cols]).agg(F.min(row).alias("class_id"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cols])
+    return rows.join(least, same).drop(*[f"__{c}" for c in cols])
+
+
+def signal_pairs(sources: DataFrame, nodes: DataFrame, least: int = 20) -> DataFrame:
+    """source, node, digest, score, rank of classes of places.
+
+    sources have class_id, path and digest, nodes also original, the path before
+    bundling.  A row with a null digest holds for all pages of the two classes,
+    one with a digest for those that both have it.  Candidates share the digest
+    or a base name; the index of path suffixes finds no others, as a source's
+    path that ends a node's path has its base name too.
+    """
+    base = lambda c: F.substring_index(c, "/", -1)
+    ext = lambda c: F.lower(F.regexp_extract(base(c), r"^.+(\.[^.]*)$", 1))
+    a = sources.select(F.col("class_id").alias("source"), F.col("path").alias("own")).distinct()
+    b = nodes.select(F.col("class_id").alias("node"), "path", "original").distinct()
+    named = b.select("node", F.explode(F.array_distinct(F.array(base("path"), base("original")))).alias("__b")).where("__b IS NOT NULL")
+    near = a.select("source", base("own").alias("__b")).join(named, "__b").select("source", "node", F.lit(None).cast("string").alias("digest"))
+    told = lambda df, out: df.where("digest IS NOT NULL").select("digest", F.col("class_id").alias(out)).distinct()
+    equal = told(sources, "source").join(told(nodes, "node"), "digest").select("source", "node", "digest")
+    found = near.unionByName(equal).join(a, "source").join(b, "node")
+    ends = lambda c: F.endswith(F.col(c), F.concat(F.lit("/"), "own"))
+    signals = [
+        (F.col("digest").isNotNull(), 100), ((F.col("original") == F.col("own")) | ends("original"), 70), (F.col("path") == F.col("own"), 60), (ends("path"), 40),
+        ((base("path") == base("own")) | (base("original") == base("own")), 20), ((ext("own") != "") & ((ext("path") == ext("own")) | (ext("original") == ext("own"))), 5),
+    ]
+    score = sum((F.when(hit, w).otherwise(0) for hit, w in signals), F.lit(0))
+    w = Window.partitionBy("source").orderBy(F.desc("score"), "node", F.asc_nulls_last("digest"))
+    return found.select("source", "node", "digest", score.alias("score")).where(F.col("score") >= least).withColumn("rank", F.row_number().over(w))

@@ -24,6 +24,36 @@ def source_to_bundle_score(spark, d):
     return match.scored(p.where("page_id % 2 = 0"), p.where("page_id % 2 = 1"), "page_id", "page_id", "base", [("path", 60), ("base", 20)], 20)
 
 
+_PLACES = f"""r AS (SELECT page_id, regexp_replace({_PATH}, '^/+|/+$', '', 'g') AS path, sha256(html) AS digest, nullif(regexp_replace(regexp_extract(html, '<a href="([^"?#]*)', 1), '^/+|/+$', '', 'g'), '') AS original FROM pages),
+s AS (SELECT page_id, path, digest, min(page_id) OVER (PARTITION BY path) AS class_id FROM r WHERE page_id % 2 = 0), n AS (SELECT *, min(page_id) OVER (PARTITION BY path, original) AS class_id FROM r WHERE page_id % 2 = 1)"""
+
+
+def _places(spark, d):
+    """Pages with even ids are the sources, the others the nodes; a page's first link stands for a node's original path."""
+    whole = lambda c: F.regexp_replace(c, "^/+|/+$", "")
+    p = table(spark, d, "pages").select("page_id", whole(scalar.url_path(F.col("url"))).alias("path"), F.sha2("html", 256).alias("digest"), F.nullif(whole(F.regexp_extract("html", '<a href="([^"?#]*)', 1)), F.lit("")).alias("original"))
+    return match.place_classes(p.where("page_id % 2 = 0").drop("original"), "page_id", ["path"]), match.place_classes(p.where("page_id % 2 = 1"), "page_id", ["path", "original"])
+
+
+@query(f"WITH {_PLACES} SELECT page_id, 'source' AS side, class_id, digest FROM s UNION ALL SELECT page_id, 'node', class_id, digest FROM n")
+def source_to_bundle_members(spark, d):
+    """Every page with its class in source_to_bundle_pairs."""
+    s, n = _places(spark, d)
+    one = lambda df, side: df.select("page_id", F.lit(side).alias("side"), "class_id", "digest")
+    return one(s, "source").unionByName(one(n, "node"))
+
+
+@query(f"""WITH {_PLACES},
+a AS (SELECT DISTINCT class_id AS source, path AS own, regexp_extract(path, '[^/]*$') AS own_base FROM s), m AS (SELECT DISTINCT class_id AS node, path, original, regexp_extract(path, '[^/]*$') AS base, regexp_extract(original, '[^/]*$') AS original_base FROM n),
+c AS (SELECT source, node, NULL AS digest FROM a JOIN m ON own_base = base UNION SELECT source, node, NULL FROM a JOIN m ON own_base = original_base UNION SELECT s.class_id, n.class_id, digest FROM s JOIN n USING (digest)),
+e AS (SELECT c.*, a.own, a.own_base, m.path, m.original, m.base, m.original_base, lower(regexp_extract(own_base, '^.+(\\.[^.]*)$', 1)) AS own_ext, lower(regexp_extract(base, '^.+(\\.[^.]*)$', 1)) AS ext, lower(regexp_extract(original_base, '^.+(\\.[^.]*)$', 1)) AS original_ext FROM c JOIN a USING (source) JOIN m USING (node)),
+p AS (SELECT source, node, digest, CASE WHEN digest IS NOT NULL THEN 100 ELSE 0 END + CASE WHEN original = own OR ends_with(original, '/' || own) THEN 70 ELSE 0 END + CASE WHEN path = own THEN 60 ELSE 0 END + CASE WHEN ends_with(path, '/' || own) THEN 40 ELSE 0 END
++ CASE WHEN base = own_base OR original_base = own_base THEN 20 ELSE 0 END + CASE WHEN own_ext <> '' AND (ext = own_ext OR original_ext = own_ext) THEN 5 ELSE 0 END AS score FROM e)
+SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, node, digest NULLS LAST) AS rank FROM p WHERE score >= 20""")
+def source_to_bundle_pairs(spark, d):
+    return match.signal_pairs(*_places(spark, d))
+
+
 @query("""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN sha256(text) END AS digest, source FROM documents), c AS (SELECT doc_id, sha256(text) AS digest, source FROM documents WHERE doc_id % 2 = 1),
 n2 AS (SELECT digest, source, count(*) AS n, min(doc_id) AS c FROM c GROUP BY ALL), n1 AS (SELECT digest, count(*) AS n, min(doc_id) AS c FROM c GROUP BY ALL), n0 AS (SELECT source, count(*) AS n, min(doc_id) AS c FROM c GROUP BY ALL),
 s AS (SELECT x.doc_id, n2.c AS c2, n1.c AS c1, n0.c AS c0, CASE WHEN n2.n = 1 THEN 'content_and_location' WHEN n1.n = 1 THEN 'content' WHEN n1.n > 1 THEN 'ambiguous' WHEN x.digest IS NULL AND n0.n = 1 THEN 'location' WHEN x.digest IS NULL AND n0.n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status
