@@ -108,6 +108,13 @@ def test_pii(spark, folder):
     assert [pii.KINDS[k] for k, _, _ in found] == ["iban", "account", "ssn", "login"]
 
 
+def test_pii_cue_forms():
+    text = "İ IBAN: DE89 3704 0044 0532 0130 00 BIC: COBADEFF, Social Security Number: 123-45-6789, iBAN no. DE89370400440532013000 and SSN no. 123-45-6780"
+    found = [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find(text, pii.automaton())]
+    assert found == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "DE89370400440532013000"), ("ssn", "123-45-6789"), ("ssn", "123-45-6780")]
+    assert pii.find("IBAN: DE88 3704 0044 0532 0130 00 BIC", pii.automaton()) == []
+
+
 def test_packing(spark, folder):
     from tokenizers import Tokenizer
 

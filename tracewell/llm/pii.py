@@ -37,9 +37,9 @@ QUAD = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 DIAL = re.compile(r"[ ().0-9-]+")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-IBAN = re.compile(r"[\s:#]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?i:[ ]?(?:number|no\.?|nr\.?))?[\s:#]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"(?:[ ]?(?:number|no\.?|nr\.?))?[\s:#]{1,4}([0-9][0-9-]{4,17}[0-9])(?![0-9])", re.I)
-SSN = re.compile(r"[\s:#]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+SSN = re.compile(r"(?i:[ ]?(?:number|no\.?|nr\.?))?[\s:#]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 LOGIN = re.compile(r"([^\s/@:]{1,256}:[^\s/@]{1,256})@[A-Za-z0-9.-]+")
 
 
@@ -65,8 +65,21 @@ def _iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def _iban_end(text: str, a: int, b: int) -> int:
+    """The last end of a word up to b at which the checksum holds, or 0: a word after the number may have been read with it."""
+    while b > a and not _iban(text[a:b]):
+        b = text.rfind(" ", a, b)
+    return max(b, 0)
+
+
+def _lower(text: str) -> str:
+    """In lower case, each letter at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
 def automaton():
-    """Anchors: the letter itself, or the kind that a cue opens."""
+    """Anchors in lower case: the letter itself, or the kind that a cue opens."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
@@ -76,8 +89,7 @@ def automaton():
         a.add_word(s, ("login", len(s)))
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
@@ -87,7 +99,7 @@ def find(text: str, anchors) -> list[tuple[int, int, int]]:
     email, ip, card, phone, more = [], [], [], [], []
     email_at = ip_at = card_at = phone_at = 0
     n = len(text)
-    for end, (what, size) in anchors.iter(text):
+    for end, (what, size) in anchors.iter(_lower(text)):
         if what == "@":
             left = end
             while left > email_at and text[left - 1] in LOCAL:
@@ -123,9 +135,11 @@ def find(text: str, anchors) -> list[tuple[int, int, int]]:
                 m = LOGIN.match(text, at)
             else:
                 m = {"iban": IBAN, "account": ACCOUNT, "ssn": SSN}[what].match(text, at)
-            if m and (what != "iban" or _iban(m.group(1))):
+            if m:
                 a, b = m.span(1)
-                if not any(x < b and y > a for x, y in taken):
+                if what == "iban":
+                    b = _iban_end(text, a, b)
+                if b > a and not any(x < b and y > a for x, y in taken):
                     taken.append((a, b))
                     found.append((KINDS.index(what), a, b))
         found.sort()
