@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tracewell.llm import bpe
-from tracewell.llm.common import bounded_batches
+from tracewell.llm.common import slices
+
+BATCH_BYTES = 4 << 20
 
 
 def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -28,13 +30,12 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
-def _adds(docs: DataFrame, out: str, fn) -> DataFrame:
-    bounded_batches(docs.sparkSession, size=4 << 20)
+def _adds(docs: DataFrame, source: str, out: str, fn) -> DataFrame:
     rest = [c for c in docs.columns if c != out]
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(out, T.BinaryType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it, source, BATCH_BYTES):
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), fn(b)], [*rest, out])
 
     return docs.mapInArrow(batches, schema)
@@ -45,7 +46,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         ids, ends = bpe.byte_level_coder(path, pattern).batch(b.column(text))
         return _binary(ids.astype("<u4"), ends)
 
-    return _adds(docs, out, fn)
+    return _adds(docs, text, out, fn)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -53,4 +54,4 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
         get = bpe.token_bytes(path).__getitem__
         return pa.array([b"".join(map(get, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in b.column(ids).to_pylist()], pa.binary())
 
-    return _adds(coded, out, fn)
+    return _adds(coded, ids, out, fn)

@@ -1,15 +1,19 @@
 """Helpers that the operators of this subpackage share.
 
-Texts move between the JVM and Python in Arrow batches.  A batch is bounded
-both in rows and in bytes, so that a run of very long texts cannot fill a
-Python worker's memory; a single text is never cut.
+Texts move between the JVM and Python in Arrow batches of Spark's default
+bounds; tasks work on slices of them, so that a run of very long texts cannot
+fill a Python worker's memory.  A single text is never cut.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,30 +21,42 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-BATCH_ROWS = 4096
-BATCH_BYTES = 16 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bound the Arrow batches of this session in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def slices(it: Iterator[pa.RecordBatch], column: str, size: int, row: int = 32) -> Iterator[pa.RecordBatch]:
+    """Spark's Arrow batches (64 MB at most) in slices of about `size` bytes of a text or binary column.
+
+    Slices share the batch's memory; what a task computes for one is bounded
+    without a change of the session's settings.  One text is never cut; each row
+    counts as `row` bytes more than its text.
+    """
+    for b in it:
+        ends = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + row)
+        at, before = 0, 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield b.slice(at, to - at)
+            at, before = to, int(ends[to - 1])
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (a
-    local session, as in tests) a folder of our own is used.
+    The cluster names it in spark.checkpoint.dir.  Only a local session, as in
+    tests, may do without: driver and tasks are one machine there.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = given.get() if given.isDefined() else "file:///tmp/checkpoints/tracewell"
+        if given.isDefined():
+            base = given.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            base = "file:///tmp/checkpoints/tracewell"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/tw-{uuid.uuid4().hex}"
 
 
@@ -60,22 +76,25 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs its running tasks only, and
-    the shuffle files behind df go at once.
+    the shuffle files behind df go at once.  `forget` deletes the folder.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
     schema = df.schema
     with _own_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    back.stored_at = path
+    return back
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete what stored() wrote, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*frames: DataFrame) -> None:
+    """Delete what stored() wrote for these frames, once nothing reads them any more."""
+    for df in frames:
+        spark, name = df.sparkSession, getattr(df, "stored_at", None)
+        if name is not None:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value, body):
@@ -90,8 +109,3 @@ def ascii_lower(col):
 def words(text):
     """Array of the words [^\\x20\\x09-\\x0D]+ of a text (native)."""
     return F.filter(F.split(F.translate(text, BLANKS[1:], " " * 5), " "), lambda w: w != "")
-
-
-def with_text(df: DataFrame, text: str = "text") -> DataFrame:
-    """Null texts count as empty."""
-    return df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))

@@ -32,8 +32,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_batches
-
 LEAF = 128
 
 
@@ -151,8 +149,6 @@ PACKED = "part int, dim int, ids binary, vecs binary, nodes binary, centres bina
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding", shard_rows: int = 8192, block_rows: int = 1024, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each query."""
-    spark = vectors.sparkSession
-    bounded_batches(spark, rows=8)
     own = vectors.where(F.col(vec_id).isNotNull() & valid(F.col(vec))).select(F.col(vec_id).cast("long").alias("id"), quantised(F.col(vec), scale).alias("vec"), is_query.alias("asks"))
     n, n_queries = (int(x or 0) for x in own.agg(F.count("*"), F.sum(F.col("asks").cast("int"))).first())
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n_queries / block_rows))

@@ -33,18 +33,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe
-from tracewell.llm.common import bounded_batches, stored
+from tracewell.llm.common import slices, stored
 
 CLOSE = 0
+BATCH_BYTES = 4 << 20
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", doc_id: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and (with_ids) the ids of each piece."""
-    bounded_batches(docs.sparkSession, size=4 << 20)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it, text, BATCH_BYTES):
             ids, ends = bpe.word_coder(path).batch(b.column(text))
             begins = np.append(0, ends[:-1]) if len(ends) else ends
             rows, piece, start, length, crc, raw = [], [], [], [], [], []

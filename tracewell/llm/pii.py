@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import bounded_batches
+from tracewell.llm.common import slices
 
+BATCH_BYTES = 16 << 20
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "account", "ssn", "login")
 CUES = {"iban": ("iban",), "account": ("account", "acct", "konto", "compte", "cuenta"), "ssn": ("ssn", "social security")}
@@ -148,14 +149,13 @@ def find(text: str, anchors) -> list[tuple[int, int, int]]:
 
 def scan(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """Add `out`, an array of (kind, start, end), to docs; offsets in code points."""
-    bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != out]
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(out, T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
-        for batch in it:
+        for batch in slices(it, text, BATCH_BYTES):
             found = [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in find(t, anchors)] if t else [] for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(found, pa.list_(item))], [*rest, out])
 

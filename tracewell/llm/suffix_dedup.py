@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import hashing
-from tracewell.llm.common import bounded_batches, stored
+from tracewell.llm.common import slices, stored
 
 TRIGGER = 16
 BATCH_BYTES = 2 << 20
@@ -101,7 +101,7 @@ def _dbucket(docs: np.ndarray, buckets: int) -> np.ndarray:
 
 def _parse(size: int, buckets: int, deal: int):
     def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it, "text", BATCH_BYTES):
             data, ends = hashing.flat(b.column("text"))
             first, count, trigger, phrase = phrases(data, ends, size)
             if not len(first):
@@ -301,7 +301,6 @@ def _bucket_column(doc_id: str, text: str, buckets: int) -> Column:
 def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, int]:
     """Marks of the repeated windows of each document, dealt to buckets, and their number."""
     spark = docs.sparkSession
-    bounded_batches(spark, size=BATCH_BYTES)
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))  # buckets of documents, and of phrases that meet
     buckets = 4 * deal + 1  # of dictionaries, whose suffixes take more room
     own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from tracewell.llm import hashing
 from tracewell.llm.bpe import lowered
-from tracewell.llm.common import bounded_batches
+from tracewell.llm.common import slices
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -110,12 +110,11 @@ def train(docs: list[np.ndarray], y: np.ndarray, features: int = 1024, factors:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", sample: int = 12_000, **how) -> Model:
     """A model from at most `sample` labelled rows; labels: doc_id and label (0 or 1)."""
-    bounded_batches(docs.sparkSession, size=BATCH_BYTES)
     own = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(doc_id).agg(F.max(label).alias("__y"))
     own = own.orderBy(F.xxhash64(F.col(doc_id).cast("string")), doc_id).limit(sample)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it, "__text", BATCH_BYTES):
             who, what = terms(b.column("__text"))
             pairs = np.unique(who << BITS | what)
             ends = np.searchsorted(pairs >> BITS, np.arange(b.num_rows), "right")
@@ -131,7 +130,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Add the probability `out` of label 1."""
     spark = docs.sparkSession
-    bounded_batches(spark, size=BATCH_BYTES)
     shared = spark.sparkContext.broadcast(model)  # fixed size: 2**BITS places and the features' weights
     rest = [c for c in docs.columns if c != out]
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(out, T.DoubleType())])
@@ -139,7 +137,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         square = (m.v**2).sum(1)
-        for b in it:
+        for b in slices(it, text, BATCH_BYTES):
             who, what = terms(b.column(text))
             at = m.place[what]
             pairs = np.unique((who << BITS | at)[at >= 0])
