@@ -1,0 +1,323 @@
+"""Hard cases of the operators: long texts, repeated rows, clashing columns, empty tables, and rules against brute force."""
+
+import collections
+import hashlib
+import math
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracewell.llm import exact_topk, ngram_join, packing, pii, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
+from tracewell.llm.common import forget, slices, stored
+
+
+def test_slices_keep_rows_and_bounds():
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"t": ["x" * 100] * 50 + [None] * 5 + ["y" * 10_000, "z"], "i": list(range(57))})
+    got = list(slices(iter([b, b.slice(3, 0)]), "t", 1000))
+    assert [i for x in got for i in x.column("i").to_pylist()] == list(range(57))
+    assert all(x.num_rows == 1 or sum(len(t or "") for t in x.column("t").to_pylist()) <= 1000 for x in got)
+
+
+def test_stored_is_deleted(spark):
+    import os
+
+    df = stored(spark.range(10))
+    path = df.stored_at.split(":")[-1]
+    assert os.path.isdir(path) and df.count() == 10
+    forget(df, spark.range(1))
+    assert not os.path.exists(path)
+
+
+# -- secrets
+
+
+def entropy_spans(text, assigned):
+    """The entropy kind, letter by letter."""
+    out = []
+    for m in re.finditer(secret_scan.CANDIDATE, text):
+        w = m[0]
+        if any(re.search(p, w) for p in secret_scan.ALLOWED) or re.search(f"{secret_scan.ACCESS}|{secret_scan.HEX}", w) or any(a < m.end() and b > m.start() for a, b in assigned):
+            continue
+        limit = next(least for _, p, least in secret_scan.CLASSES if re.search(p, w))
+
+        def best(part):
+            return max(-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(part[i : i + 20]).values()) for i in range(len(part) - 19))
+
+        if not any(len(p) >= 20 and best(p) >= limit for p in re.split(secret_scan.PLACEHOLDER, w)):
+            continue
+        parts = re.split(secret_scan.SEPARATOR, w)
+        if re.search(secret_scan.STRUCTURED, w) and all(re.search(secret_scan.USUAL, p) or (len(p) >= 20 and best(p) < limit) for p in parts):
+            continue
+        out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_secret_spans_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
+    texts = []
+    for i in range(80):
+        parts = []
+        for _ in range(12):
+            kind = rng.integers(6)
+            word = "".join(rng.choice(letters[: (16, 36, 66)[i % 3]], int(rng.integers(15, 60))))
+            parts.append([word, word.lower(), "token=" + word, "password: hunter2x", "prose é words", word + "example" + word][kind])
+        texts.append(" ".join(parts))
+    got = {r.text: [(s.start, s.kind, s.end) for s in r.secrets] for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    fired = 0
+    for t in texts:
+        base = [(m.start(), 0, m.end()) for m in re.finditer(secret_scan.ASSIGN, t) if len(m[2]) >= 6]
+        hot = entropy_spans(t, [(a, b) for a, _, b in base])
+        fired += len(hot)
+        base += [(m.start(), k, m.end()) for k, p in ((1, secret_scan.ACCESS), (2, secret_scan.HEX)) for m in re.finditer(p, t)]
+        assert got[t] == sorted(base + hot)
+    assert fired > 50
+
+
+def test_secrets_in_texts_of_a_million_letters(spark):
+    rng = np.random.default_rng(3)
+    run = "".join(rng.choice(list("ABCDEFGHIJabcdefghij0123456789+/"), 1_000_000))
+    texts = ["a-1_" * 250_000, run, "password=" + "x1" * 500_000, "token: abcdefgh1 " * 60_000, "-_" * 500_000, "/a1" * 330_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = {r.doc_id: r for r in secret_scan.scan(df).select("doc_id", "secrets", secret_scan.mask(F.col("text"), F.col("secrets")).alias("masked")).collect()}
+    assert got[0].secrets == [] and got[4].secrets == [] and got[5].secrets == []
+    assert [(s.start, s.kind, s.end) for s in got[1].secrets] == [(0, 3, 1_000_000)] and got[1].masked == "[SECRET]"
+    assert [(s.start, s.kind, s.end) for s in got[2].secrets] == [(0, 0, 1_000_009)]
+    assert len(got[3].secrets) == 60_000 and got[3].masked == "[SECRET] " * 60_000
+
+
+def test_secret_columns(spark):
+    df = spark.createDataFrame([(1, "password=abcdef1", "old"), (1, "password=abcdef1", "old"), (2, None, "old")], "doc_id int, text string, secrets string")
+    got = secret_scan.scan(df)
+    assert got.columns == ["doc_id", "text", "secrets"] and sorted(len(r.secrets) for r in got.collect()) == [0, 1, 1]
+    assert secret_scan.scan(df.where("false")).count() == 0
+
+
+def test_mask_of_overlaps(spark):
+    text = "0123456789" * 1000
+    spans = [(5, 0, 9), (6, 1, 7), (9, 0, 12), (4090, 0, 4100), (4095, 2, 9000), (9999, 1, 10000)]
+    df = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,kind:int,end:int>>")
+    assert df.select(secret_scan.mask(F.col("t"), F.col("s"), "#")).first()[0] == text[:5] + "##" + text[12:4090] + "#" + text[9000:9999] + "#"
+
+
+# -- personal data
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def pii_base(t):
+    def good(kind, m):
+        digits = re.sub(r"\D", "", m)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in m.split("."))
+        if kind == "card":
+            total = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits))))
+            return 13 <= len(digits) <= 19 and total % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, t) if good(k, m[0])]
+
+
+def test_pii_base_kinds_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    pieces = ["a.b@c.de", "x@@y.z", "@b.c", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234-567", "+1 2", "++12345678901", "é日", "10", " ", "-", "iban", "://", "a:b@c.d/"]
+    texts = ["".join(rng.choice(pieces, int(rng.integers(1, 25)))) for _ in range(400)] + ["".join(rng.choice(list("0123456789. -+@ab()"), 80)) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(9000, None, ""), (9001, "", "")], "doc_id int, text string, pii string")
+    got = {r.doc_id: [tuple(s) for s in r.pii] for r in pii.scan(df.unionByName(df.where("doc_id = 0"))).collect()}
+    for i, t in enumerate(texts):
+        base = [s for s in got[i] if s[0] in pii.BASE]
+        assert sorted(base, key=lambda s: (pii.BASE.index(s[0]), s[1])) == pii_base(t)
+    assert got[9000] == got[9001] == [] and pii.scan(df.where("false")).count() == 0
+
+
+def test_pii_long_texts():
+    anchors = pii.automaton()
+    login = "http://" + "u" * 5000 + ":" + "p" * 5000 + "@host.example"
+    assert [(pii.KINDS[k], a, b) for k, a, b in pii.find(login, anchors) if k > 3] == []  # the base span of the address stays
+    login = "http://" + "ü" * 5000 + ":" + "§" * 5000 + "@host"
+    assert [(pii.KINDS[k], a, b) for k, a, b in pii.find(login, anchors)] == [("login", 7, 10008)]
+    many = "a.b@c.de account 12345678 " * 20_000
+    found = collections.Counter(k for k, _, _ in pii.find(many, anchors))
+    assert found == {0: 20_000, 5: 20_000}
+    assert pii.find("://" * 300_000 + "@" * 100_000 + "1" * 300_000, anchors) == []
+
+
+# -- joins
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_linked_sets_share_a_signature(percent):
+    rng = np.random.default_rng(percent)
+    for turn in range(400):
+        a = rng.integers(0, 2**63, int(rng.integers(1, 60) if turn % 2 else rng.integers(1, 900)), np.uint64)
+        b = a[rng.random(len(a)) > rng.random() * 0.3]
+        b = np.append(b, rng.integers(0, 2**63, int(rng.random() * 0.3 * len(a)), np.uint64))
+        sets = [np.unique(a), np.unique(b)]
+        both = len(np.intersect1d(*sets))
+        if not len(b) or 100 * both < percent * (len(sets[0]) + len(sets[1]) - both) or both == len(sets[0]) == len(sets[1]):
+            continue
+        size = np.array([len(x) for x in sets])
+        who, sig = ngram_join.signatures(np.repeat([0, 1], size), np.concatenate(sets), size, percent)
+        assert set(sig[who == 0]) & set(sig[who == 1])
+
+
+def test_join_of_a_long_text(spark):
+    words = [f"w{i}" for i in range(120_000)]
+    near = list(words)
+    near[60_000] = "other"
+    df = spark.createDataFrame([(1, " ".join(words), "c"), (2, " ".join(near), "c"), (3, "short text of five words", "c"), (None, "x", "c")], "doc_id long, text string, component_id string")
+    assert {tuple(r) for r in ngram_join.components(df).collect()} == {(1, 119_997, 1), (2, 119_997, 1), (3, 2, 3)}
+
+
+# -- repeated passages
+
+
+def test_corpus_order_against_sorted_windows():
+    rng = np.random.default_rng(6)
+    for letters, lengths in (("ab", (8, 90)), ("abcdefgh ", (20, 200)), ("a", (8, 70))):
+        texts = ["".join(rng.choice(list(letters), int(n))) for n in rng.integers(*lengths, 40)]
+        texts += [t[3:] + "b" for t in texts[:10]] + texts[:5] + [texts[0] * 5]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        for size in (8, 20, 50):
+            at = np.concatenate([np.arange(e - len(t), e - size + 1) for t, e in zip(texts, ends, strict=True) if len(t) >= size] or [np.zeros(0, int)])
+            if not len(at):
+                continue
+            order, new = suffix_dedup.corpus_order(data, ends, at, size)
+            windows = [data[i : i + size].tobytes() for i in at[order]]
+            assert windows == sorted(windows)
+            assert new.tolist() == [True, *(x != y for x, y in zip(windows, windows[1:], strict=False))]
+
+
+def test_repeats_of_a_long_text(spark):
+    rng = np.random.default_rng(2)
+    long = "".join(rng.choice(list("abcdefghij "), 1_000_000))
+    rows = [(1, long), (2, "start " + long[500_000:700_000] + " end"), (3, "a" * 100_000), (4, "b" + "a" * 60), (4, "b" + "a" * 60)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1_000_000, 0), (2, 200_010, 200_000), (3, 100_000, 0), (4, 61, 60), (4, 61, 60)]
+
+
+# -- toxicity
+
+
+def test_toxicity_learns_a_pair():
+    """Toxic is who holds exactly one of two words: neither tells anything alone."""
+    rng = np.random.default_rng(5)
+    docs, y = [], []
+    for _ in range(4000):
+        own = rng.random(2) < 0.5
+        docs.append(np.unique(np.append(100 + rng.integers(0, 60, 8), np.nonzero(own)[0] + 1)).astype("<u4"))
+        y.append(int(own[0] != own[1]))
+    m = toxicity.train(docs, np.array(y))
+    right = 0
+    for d, label in zip(docs, y, strict=True):
+        at = m.place[d]
+        z = m.w0 + m.w[at].sum() + sum(float(m.v[i] @ m.v[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+        right += (z >= 0) == label
+    assert right > 0.95 * len(docs)
+
+
+def test_toxicity_score_is_the_sum_over_pairs(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    texts = ["alpha beta gamma", "alpha alphabet", "", None, "nothing known", "beta " * 500, "é alpha É"]
+    known = np.unique(toxicity.terms(pa.array(["alpha beta gamma alphabet é"]))[1])
+    place = np.zeros(1 << toxicity.BITS, np.int32)
+    place[known] = np.arange(1, len(known) + 1)
+    w, v = np.append(0, rng.normal(size=len(known))), np.vstack([np.zeros(3), rng.normal(size=(len(known), 3))])
+    model = toxicity.Model(place, 0.25, w, v)
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id int, text string, score string")
+    got = {r.doc_id: r.score for r in toxicity.score(df.unionByName(df), model).collect()}
+    for i, t in enumerate(texts):
+        at = [k for k in place[np.unique(toxicity.terms(pa.array([t or ""]))[1])] if k]
+        z = 0.25 + w[at].sum() + sum(v[a] @ v[b] for k, a in enumerate(at) for b in at[k + 1 :])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)))
+    assert toxicity.score(df.where("false"), model).count() == 0
+
+
+def test_toxicity_bounds_the_terms(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(40)], "doc_id long, text string")
+    labels = df.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda docs, y, **how: taken.append((len(docs), sum(map(len, docs)))))
+    toxicity.fit(df, labels)
+    toxicity.fit(df, labels, most_terms=1000)
+    toxicity.fit(df, labels, sample=7)
+    assert taken[0][0] == 40 and 0 < taken[1][1] <= 1000 and taken[2][0] == 7
+
+
+# -- quality
+
+
+def test_quality_verdict_and_columns(spark):
+    prose = "the the " + " ".join(f"word{i}" for i in range(60))
+    texts = {"prose": prose, "symbols": prose + " #" * 40, "long": " ".join(f"{'x' * 30}{i}" for i in range(60)) + " the", "no stops": prose[8:], "lines": (prose + "\n") * 4, "short": "the end", "none": None}
+    df = spark.createDataFrame([(i, t, 7, "m", "k") for i, (k, t) in enumerate(texts.items())], "doc_id int, text string, n_words int, __m string, kept string")
+    got = {list(texts)[r.doc_id]: r for r in quality_rules.judge(df.unionByName(df)).collect()}
+    assert got["prose"].kept and got["prose"].failed_rules == [] and got["prose"]["__m"] == "m"
+    assert got["symbols"].failed_rules == ["symbols"] and got["long"].failed_rules == ["mean_word_chars"] and got["no stops"].failed_rules == ["stop_words"]
+    assert {"dup_lines", "repeats"} <= set(got["lines"].failed_rules) and not got["lines"].kept and got["short"].base_failed and got["none"].n_words == 0
+    other = quality_rules.judge(df, prefix="q_")
+    assert {(r.n_words, r.kept) for r in other.collect()} == {(7, "k")} and quality_rules.judge(df.where("false")).count() == 0
+
+
+def test_repeat_words_of_equal_hashes(spark):
+    """With few bits of hash, windows of one hash differ; the strings decide."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([f"v{i}" for i in range(12)], int(n))) for n in rng.integers(0, 150, 40)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def brute(t):
+        w = t.split()
+        count = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        return len({j for i, k in enumerate(zip(w, w[1:], w[2:], strict=False)) if count[k] > 1 for j in (i, i + 1, i + 2)})
+
+    for bits in (quality_rules.PLACE_BITS, 60, 6):
+        before, quality_rules.PLACE_BITS = quality_rules.PLACE_BITS, bits
+        try:
+            got = [r[0] for r in df.select(quality_rules._repeat_words(F.filter(F.split("t", " "), lambda x: x != ""))).collect()]
+        finally:
+            quality_rules.PLACE_BITS = before
+        assert got == [brute(t) for t in texts]
+
+
+# -- others
+
+
+def test_stop_words_are_looked_up(spark):
+    words = ["The", "theX", "los", "the", "é", "DER", "derr", ""]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in words], "x string").select(quality_rules._is_stop_word(F.col("x"), quality_rules.STOP_WORDS)).collect()]
+    assert got == [True, False, True, True, False, True, False, False]
+
+
+def test_url_filters_on_nothing(spark):
+    rules = url_filters.rule_frame(spark, [("block", "a.b/")])
+    pages = spark.createDataFrame([(1, "http://a.b/x", "old")], "page_id int, url string, host string")
+    assert url_filters.judge(pages.where("false"), rules).count() == 0
+    assert [tuple(r) for r in url_filters.judge(pages, rules.where("false")).select("host", "rule", "verdict").collect()] == [("a.b", None, "allow")]
+
+
+def test_topk_ties_and_repeated_ids(spark):
+    rows = [(i, [1.0, 0.0]) for i in (5, 3, 9, 3, 7)] + [(20, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in exact_topk.top_k(df, F.col("vec_id") == 20, 3).orderBy("rank").collect()]
+    assert got == [(1, 3, 2048), (2, 3, 2048), (3, 5, 2048)]
+
+
+def test_packing_of_clashing_columns(spark):
+    pieces = spark.createDataFrame([(i, 0, 700, f"x{i}", i) for i in range(9)], "doc_id long, piece int, length long, offset string, __rank int")
+    got = packing.pack(pieces)
+    assert sorted(got.columns) == sorted(["doc_id", "piece", "length", "__rank", "sequence_id", "offset"]) and {r["__rank"] for r in got.collect()} == set(range(9))
+    assert got.select("sequence_id").distinct().count() == 5
+
+
+def sha(x):
+    return hashlib.sha256(x).hexdigest()

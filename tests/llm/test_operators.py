@@ -280,8 +280,8 @@ def test_byte_bpe(spark, folder):
     assert got == {k: (len(x), sha(np.array(x, "<u4").tobytes()), sha(texts()[k] or "")) for k, x in want.items()}
     assert queries.op7_byte_bpe(spark, folder[1]).count() == 0
     _, merger, byte_ids = bpe.rank_file(path)
-    long = np.frombuffer(b"abababcabc" * 40, np.uint8)
-    assert merger._heap(byte_ids[long]).tolist() == enc._encode_single_piece(long.tobytes())
+    for long in (b"abababcabc" * 40, b"a" * 1001, "\u00e9\u00e8the".encode() * 300, bytes(np.random.default_rng(1).integers(97, 101, 3000, np.uint8))):
+        assert merger._heap(byte_ids[np.frombuffer(long, np.uint8)]).tolist() == enc._encode_single_piece(long)
     df = spark.createDataFrame([(1, "abc", 5)], "doc_id int, text string, ids int")
     assert byte_bpe.decode(byte_bpe.encode(df, path, P.PATTERN), path).first().decoded == b"abc"
 

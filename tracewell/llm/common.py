@@ -97,6 +97,13 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def let(value, body):
     """body(value) with value computed once for a row, inside one expression."""
     return F.transform(F.array(value), body)[0]

@@ -200,7 +200,8 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 def _links(pairs: DataFrame, sketches: DataFrame, own: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
     """Pairs (a, b) of (a, b, an, bn) whose summed overlap reaches the similarity; stored."""
     of = lambda side: sketches.select(F.col("doc").alias(side), F.col("sketch").alias(f"k{side}"))
-    met = pairs.join(of("b"), "b").join(of("a"), "a").where(_alike("ka", "kb", "an", "bn", percent))
+    # a may be a pivot of many; joined first, its rows can be split, as they are dealt anew by b
+    met = pairs.join(of("a"), "a").join(of("b"), "b").where(_alike("ka", "kb", "an", "bn", percent))
     close = stored(met.select("a", "b", "an", "bn").distinct())
     rows = close.count()
     if not rows:

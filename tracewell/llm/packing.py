@@ -18,6 +18,8 @@ length that a third of all pieces share is spread over all tasks.
 
 Defined cases: null and empty texts are one piece with the closing id alone.
 Repeated rows are packed like any others.  An empty table gives no rows.
+`tokenise` returns its own columns only; `pack` keeps the columns of pieces,
+but replaces those named sequence_id or offset.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe
-from tracewell.llm.common import slices, stored
+from tracewell.llm.common import fresh, slices, stored
 
 CLOSE = 0
 BATCH_BYTES = 4 << 20
@@ -142,22 +144,22 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_i
     """
     spark = pieces.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-    tally = stored(own.groupBy("length", "__bucket").agg(F.count("*").alias("__n")))
-    counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most `capacity` rows
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    bucket, rank, before, n = (fresh(pieces, x) for x in ("__bucket", "__rank", "__before", "__n"))
+    own = pieces.select(*names, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias(bucket))
+    tally = stored(own.groupBy("length", bucket).agg(F.count("*").alias(n)))
+    counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum(n).alias("n")).collect()}  # at most `capacity` rows
     slots, _ = plan(counts, capacity)
-    before = tally.select("length", "__bucket", (F.sum("__n").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("__n")).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy(*key)) - 1
-    ranked = own.withColumn("__rank", rank).join(before, ["length", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__before")).drop("__before", "__bucket")
+    ahead = tally.select("length", bucket, (F.sum(n).over(Window.partitionBy("length").orderBy(bucket)) - F.col(n)).alias(before))
+    within = F.row_number().over(Window.partitionBy("length", bucket).orderBy(*key)) - 1
+    ranked = own.withColumn(rank, within).join(ahead, ["length", bucket]).withColumn(rank, F.col(rank) + F.col(before))
     keys = slots[:, 0] << 44 | slots[:, 1]
-    names = pieces.columns
     schema = pieces.select(*names).schema.add("sequence_id", "long").add("offset", "long")
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            k = b.column("length").to_numpy() << 44 | b.column("__rank").to_numpy()
-            s = slots[np.searchsorted(keys, k, "right") - 1]
-            seq = s[:, 3] + b.column("__rank").to_numpy() - s[:, 1]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(s[:, 4])], [*names, "sequence_id", "offset"])
+            nth = b.column(rank).to_numpy()
+            s = slots[np.searchsorted(keys, b.column("length").to_numpy() << 44 | nth, "right") - 1]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(s[:, 3] + nth - s[:, 1]), pa.array(s[:, 4])], [*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "__rank").mapInArrow(place, schema)
+    return ranked.select(*names, rank).mapInArrow(place, schema)

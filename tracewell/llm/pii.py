@@ -3,20 +3,23 @@
 One automaton pass over a text finds at-signs, plus signs, digits, schemes
 and identifier cues.  Deterministic parsers expand each anchor to the left
 and right, validate it (octets, Luhn, digit counts, IBAN check) and keep the
-leftmost non-overlapping spans of each kind.  Every parser moves forward, so
-time is linear in the text's length.
+leftmost non-overlapping spans of each kind.  Every parser moves forward, and
+overlaps are looked up in sorted spans, so time is about linear in the text's
+length.  No span has a bound on its length but those of its format.
 
 Base kinds: email, ip, card, phone.  Kinds the cues add: iban, account, ssn
 and login (user:password in a url); these never overlap another span.
 
 Runs batch by batch in Arrow without a shuffle; a batch is bounded in rows and
-bytes.  Defined cases: null and empty texts have no spans; repeated rows are
-judged alike; other columns of the input pass through unless named `out`.
+bytes.  Defined cases: null and empty texts have no spans; whole texts are
+read, however long; repeated rows are judged alike; an empty table gives no
+rows; other columns of the input pass through, one named `out` is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +44,7 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 IBAN = re.compile(r"(?i:[ ]?(?:number|no\.?|nr\.?))?[\s:#]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"(?:[ ]?(?:number|no\.?|nr\.?))?[\s:#]{1,4}([0-9][0-9-]{4,17}[0-9])(?![0-9])", re.I)
 SSN = re.compile(r"(?i:[ ]?(?:number|no\.?|nr\.?))?[\s:#]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
-LOGIN = re.compile(r"([^\s/@:]{1,256}:[^\s/@]{1,256})@[A-Za-z0-9.-]+")
+LOGIN = re.compile(r"([^\s/@:]++:[^\s/@]++)@[A-Za-z0-9.-]+")  # up to the next slash, so no two anchors read the same letters
 
 
 def luhn(digits: str) -> bool:
@@ -79,6 +82,29 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
 
 
+class Taken:
+    """Sorted spans that have been given away; those added come from left to right."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+        self.more: list[tuple[int, int]] = []
+
+    def add(self, a: int, b: int) -> bool:
+        """Take a span unless it overlaps one."""
+        i = bisect_left(self.starts, b) - 1
+        k = bisect_left(self.more, (b,)) - 1
+        if (i >= 0 and self.ends[i] > a) or (k >= 0 and self.more[k][1] > a):
+            return False
+        self.more.insert(k + 1, (a, b))
+        return True
+
+
 def automaton():
     """Anchors in lower case: the letter itself, or the kind that a cue opens."""
     import ahocorasick
@@ -130,7 +156,7 @@ def find(text: str, anchors) -> list[tuple[int, int, int]]:
             more.append((what, end + 1))
     found = email + ip + card + phone
     if more:
-        taken = sorted((a, b) for _, a, b in found)
+        taken = Taken([(a, b) for _, a, b in found])
         for what, at in more:
             if what == "login":
                 m = LOGIN.match(text, at)
@@ -140,8 +166,7 @@ def find(text: str, anchors) -> list[tuple[int, int, int]]:
                 a, b = m.span(1)
                 if what == "iban":
                     b = _iban_end(text, a, b)
-                if b > a and not any(x < b and y > a for x, y in taken):
-                    taken.append((a, b))
+                if b > a and taken.add(a, b):
                     found.append((KINDS.index(what), a, b))
         found.sort()
     return found

@@ -7,8 +7,8 @@ Everything is one projection of built-in functions over the scan.
   lengths give the offsets.
 * Kind `entropy`.  Candidates are maximal runs of base-64 letters of at least
   `WINDOW` characters.  A window slides over a candidate; a fold keeps the
-  count of each letter and the sum of c*log2(c), both changed only for the
-  letter that enters and the one that leaves.  A candidate counts if the best
+  counts of the letters, packed in 5 bits each, and the sum of c*log2(c), both
+  changed only for the letter that enters and the one that leaves.  A candidate counts if the best
   window's entropy reaches the limit of its character class (hex, lower-case
   with digits, mixed); windows that touch a placeholder word do not count.  The
   allow-list drops candidates without both letters and digits, UUIDs, and those
@@ -16,8 +16,14 @@ Everything is one projection of built-in functions over the scan.
   in window entropy itself.  Base spans always stay; a candidate that overlaps
   one adds nothing.
 
+No pattern repeats a group without a bound, on which the engine would recurse;
+overlaps and cuts go through sorted scans, so a text of many spans takes about
+linear time.
+
 Defined cases: null and empty texts have no spans.  Texts are taken whole.
-Repeated rows are judged alike; other columns pass through.
+Repeated rows are judged alike; an empty table gives no rows.  Other columns
+pass through; an input column named `out` (secrets) is replaced, and a
+column of another case of that name too.
 """
 
 from __future__ import annotations
@@ -52,20 +58,20 @@ SEPARATOR = r"[/_-]"
 USUAL = r"^(?:.{0,8}|[0-9]+|[A-Z]+[0-9]{0,4}|[A-Z]?[a-z]+(?:[A-Z][a-z]{2,}){0,6}[0-9]{0,4})=*$"
 
 
-def prefix_sums(x: Column, block: int = 256) -> Column:
-    """Exclusive prefix sums of an array of ints, in blocks against quadratic cost."""
+def prefixes(x: Column, op=lambda a, b: a + b, block: int = 256) -> Column:
+    """Exclusive running sums (or other op, from 0) of an array of ints, in blocks against quadratic cost."""
 
     def fold(a: Column) -> Column:
         zero = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("a"))
-        return F.aggregate(a, zero, lambda acc, v: F.struct((acc["s"] + v).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a")))
+        return F.aggregate(a, zero, lambda acc, v: F.struct(op(acc["s"], v).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a")))
 
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / F.lit(block)).cast("int") - 1, F.lit(0))), lambda b: F.slice(x, b * block + 1, F.lit(block)))
 
     def shifted(folds: Column) -> Column:
         offsets = fold(F.transform(folds, lambda f: f["s"]))["a"]
-        return F.flatten(F.zip_with(F.transform(folds, lambda f: f["a"]), offsets, lambda a, o: F.transform(a, lambda v: v + o)))
+        return F.flatten(F.zip_with(F.transform(folds, lambda f: f["a"]), offsets, lambda a, o: F.transform(a, lambda v: op(v, o))))
 
-    return let(F.transform(blocks, fold), shifted)
+    return let(F.transform(blocks, lambda b: fold(b)), shifted)
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -75,47 +81,74 @@ def located(text: Column, pattern: str) -> Column:
     def place(m: Column) -> Column:
         gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
         steps = F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, x: g + F.length(x))
-        starts = F.zip_with(let(steps, lambda x: prefix_sums(x)), gaps, lambda s, g: s + g)
+        starts = F.zip_with(let(steps, lambda x: prefixes(x)), gaps, lambda s, g: s + g)
         return F.zip_with(F.slice(starts, 1, F.size(m)), m, lambda s, x: F.struct(s.alias("start"), (s + F.length(x)).alias("end"), x.alias("match"))).cast(kind)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, place(m)).otherwise(F.array().cast(kind)))
 
 
 def window_entropy(word: Column, width: int = WINDOW) -> Column:
-    """The highest Shannon entropy of a window of `width` letters of a word."""
+    """The highest Shannon entropy of a window of `width` letters (31 at most) of a word."""
     term = F.array(*[F.lit(0.0)] + [F.lit(c * math.log2(c)) for c in range(1, width + 2)])
-    size = len(ALPHABET)
+    each = 12  # counts of 5 bits in a long
+    one = F.array(*[F.lit(1 << 5 * k).cast("long") for k in range(each)])
+    packs = -(-len(ALPHABET) // each)
 
     def fold(letters: Column) -> Column:
-        start = F.struct(F.array_repeat(F.lit(0), size).alias("c"), F.lit(0.0).alias("s"), F.lit(float("inf")).alias("best"))
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), packs).alias("c"), F.lit(0.0).alias("s"), F.lit(float("inf")).alias("best"))
+
+        def count(acc: Column, x: Column) -> Column:
+            return F.call_function("shiftright", acc["c"][x["pack"]], x["at"] * 5).bitwiseAND(31).cast("int")
 
         def step(acc: Column, i: Column) -> Column:
-            enters = letters[i]
-            leaves = F.when(i >= width, letters[F.greatest(i - width, F.lit(0))]).otherwise(F.lit(-1))
-            gained = term[acc["c"][enters] + 1] - term[acc["c"][enters]]
-            lost = F.when(leaves >= 0, term[acc["c"][F.greatest(leaves, F.lit(0))] - 1] - term[acc["c"][F.greatest(leaves, F.lit(0))]]).otherwise(F.lit(0.0))
-            s = F.when(enters == leaves, acc["s"]).otherwise(acc["s"] + gained + lost)
-            counts = F.when(enters == leaves, acc["c"]).otherwise(F.transform(acc["c"], lambda c, k: c + F.when(k == enters, 1).when(k == leaves, -1).otherwise(0)))
-            return let(s, lambda x: F.struct(counts.alias("c"), x.alias("s"), F.when(i >= width - 1, F.least(acc["best"], x)).otherwise(acc["best"]).alias("best")))
+            def moved(enters: Column, leaves: Column) -> Column:
+                gained = let(count(acc, enters), lambda c: term[c + 1] - term[c])
+                lost = F.when(leaves.isNotNull(), let(count(acc, leaves), lambda c: term[c - 1] - term[c])).otherwise(F.lit(0.0))
+                counts = F.transform(
+                    acc["c"],
+                    lambda x, k: x + F.when(k == enters["pack"], one[enters["at"]]).otherwise(F.lit(0).cast("long")) - F.when(k == leaves["pack"], one[leaves["at"]]).otherwise(F.lit(0).cast("long")),
+                )
+                s = acc["s"] + gained + lost
+                return F.when(enters == leaves, F.struct(acc["c"].alias("c"), acc["s"].alias("s"))).otherwise(F.struct(counts.alias("c"), s.alias("s")))
+
+            after = moved(letters[i], F.when(i >= width, letters[F.greatest(i - width, F.lit(0))]))
+            return let(after, lambda x: F.struct(x["c"].alias("c"), x["s"].alias("s"), F.when(i >= width - 1, F.least(acc["best"], x["s"])).otherwise(acc["best"]).alias("best")))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(letters) - 1), start, step, lambda acc: F.lit(math.log2(width)) - acc["best"] / width)
 
-    return let(F.transform(F.split(word, ""), lambda ch: F.instr(F.lit(ALPHABET), ch) - 1), lambda a: let(F.filter(a, lambda k: k >= 0), fold))
+    number = F.filter(F.transform(F.split(word, ""), lambda ch: F.instr(F.lit(ALPHABET), ch) - 1), lambda k: k >= 0)
+    return let(F.transform(number, lambda k: F.struct(F.floor(k / each).cast("int").alias("pack"), F.pmod(k, F.lit(each)).cast("int").alias("at"))), fold)
+
+
+def _apart(candidates: Column, taken: Column) -> Column:
+    """Candidates (start, end, match) that overlap none of the spans taken; both are sorted and disjoint in themselves."""
+
+    def swept(events: Column) -> Column:
+        reach = prefixes(F.transform(events, lambda e: F.when(e["c"].isNull(), e["end"]).otherwise(F.lit(0))), F.greatest)
+        kept = F.zip_with(events, reach, lambda e, r: F.when(e["c"].isNotNull() & (r <= e["start"]), e["c"]))
+        return F.filter(kept, lambda c: c.isNotNull())
 
+    def event(x: Column, at: Column, kind: int, c: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), c.alias("c"))
 
-def _suspicious(c: Column, assigned: Column) -> Column:
+    none = F.lit(None).cast("struct<start:int,end:int,match:string>")
+    # a candidate stands at its end, a taken span at its start: what stands before it begins before its end
+    both = F.concat(F.transform(candidates, lambda c: event(c, c["end"], 0, c)), F.transform(taken, lambda a: event(a, a["start"], 1, none)))
+    return F.when((F.size(candidates) > 0) & (F.size(taken) > 0), let(F.sort_array(both), swept)).otherwise(candidates)
+
+
+def _suspicious(c: Column) -> Column:
     word = c["match"]
-    allowed = F.lit(False)
+    allowed = F.rlike(word, F.lit(f"{ACCESS}|{HEX}"))  # those are base spans
     for pattern in ALLOWED:
         allowed = allowed | F.rlike(word, F.lit(pattern))
-    base = F.rlike(word, F.lit(f"{ACCESS}|{HEX}")) | F.exists(assigned, lambda a: (a["start"] < c["end"]) & (a["end"] > c["start"]))
     limit = F.lit(None).cast("double")
     for _, pattern, least in reversed(CLASSES):
         limit = F.when(F.rlike(word, F.lit(pattern)), F.lit(least)).otherwise(limit)
     cold = lambda part: (F.length(part) >= WINDOW) & (window_entropy(part) < limit)
     hot = F.exists(F.split(word, PLACEHOLDER), lambda part: (F.length(part) >= WINDOW) & (window_entropy(part) >= limit))
     usual = F.rlike(word, F.lit(STRUCTURED)) & F.forall(F.split(word, SEPARATOR), lambda part: F.rlike(part, F.lit(USUAL)) | cold(part))
-    return F.when(allowed | base, F.lit(False)).when(~hot, F.lit(False)).otherwise(~usual)
+    return F.when(allowed, F.lit(False)).when(~hot, F.lit(False)).otherwise(~usual)
 
 
 def spans(text: Column) -> Column:
@@ -126,11 +159,12 @@ def spans(text: Column) -> Column:
 
     assigned = F.filter(located(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], "^" + ASSIGN, 2)) >= 6)
 
-    def rest(a: Column) -> Column:
-        hot = F.filter(located(text, CANDIDATE), lambda c: _suspicious(c, a))
-        return F.sort_array(F.concat(numbered(a, 0), numbered(located(text, ACCESS), 1), numbered(located(text, HEX), 2), numbered(hot, 3)))
+    def rest(a: Column, runs: Column) -> Column:
+        within = lambda pattern: F.when(F.size(runs) > 0, located(text, pattern))  # noqa: E731  access and hex lie in such a run
+        more = [numbered(F.coalesce(x, F.array().cast("array<struct<start:int,end:int,match:string>>")), k) for k, x in ((1, within(ACCESS)), (2, within(HEX)))]
+        return F.sort_array(F.concat(numbered(a, 0), *more, numbered(F.filter(_apart(runs, a), _suspicious), 3)))
 
-    return let(assigned, rest)
+    return let(assigned, lambda a: let(located(text, CANDIDATE), lambda runs: rest(a, runs)))
 
 
 def joined(found: Column) -> Column:
@@ -144,13 +178,24 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame
     return docs.withColumn(out, spans(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
-def mask(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span (overlapping ones together) replaced by mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _cut(blocks: Column, a: Column, b: Column, block: int) -> Column:
+    """The text between two places; blocks has it in pieces, as substring counts from the text's first letter."""
+    first, last = F.floor(a / block).cast("int"), F.floor(b / block).cast("int")
+    head = F.substring(blocks[first], a - first * block + 1, F.lit(block))
+    tail = F.coalesce(F.substring(F.get(blocks, last), F.lit(1), b - last * block), F.lit(""))
+    return F.when(first == last, F.substring(blocks[first], a - first * block + 1, b - a)).otherwise(F.concat(head, F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), tail))
+
+
+def mask(text: Column, found: Column, mark: str = "[SECRET]", block: int = 4096) -> Column:
+    """The text with each span (overlapping ones together) replaced by mark; found is sorted by start."""
+    n = F.length(text)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        more = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit(""))).alias("out"))
-        return F.when(s["end"] <= acc["at"], acc).otherwise(more)
+    def out(blocks: Column, before: Column) -> Column:
+        # before: how far the spans ahead of each reach
+        kept = F.zip_with(found, before, lambda s, at: F.when(s["start"] >= at, F.concat(_cut(blocks, at, s["start"], block), F.lit(mark))).otherwise(F.lit("")))
+        end = F.array_max(F.transform(found, lambda s: s["end"]))
+        return F.concat(F.array_join(kept, ""), F.when(end < n, _cut(blocks, end, n, block)).otherwise(F.lit("")))
 
-    return F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(n / block).cast("int")), lambda k: F.substring(text, k * block + 1, F.lit(block)))
+    reach = prefixes(F.transform(found, lambda s: s["end"]), F.greatest)
+    return F.when(F.size(found) > 0, let(pieces, lambda x: let(reach, lambda r: out(x, r)))).otherwise(text)

@@ -3,25 +3,32 @@
 Removed is every byte covered by a string of `size` bytes that also starts in
 a document with a smaller id; strings are judged on the input.
 
-1. Parsing.  A rolling hash over `TRIGGER` bytes gives each `size`-byte window
-   its trigger, the leftmost least hash in it.  Windows in a row with the same
-   trigger form a phrase (their bytes overlap into the next phrase, so no
-   window is lost between two).  Equal windows have equal triggers, wherever
-   they are; so windows can only repeat between phrases of the same trigger.
-2. Dictionary.  Phrases meet at their trigger's hash bucket.  A phrase of which
-   a smaller document has an equal copy is repeated as a whole.  What is left
-   is one holder of each distinct phrase; if its trigger occurs in another
-   distinct phrase, it goes on, else all of it is unique.
-3. Suffixes.  The texts of the phrases that go on form the dictionary of their
-   bucket; prefix doubling (8, 16, 32, `size` bytes) sorts its suffixes, and
-   suffixes with one rank form a class, whose least document keeps the bytes.
-   Phrases hold whole windows, so ranks to depth `size` decide and the suffix
-   array of the parse has nothing to add beyond it.
+1. Dealing.  A rolling hash over `TRIGGER` bytes gives each `size`-byte window
+   its anchor, the leftmost least hash in it.  Windows in a row with the same
+   anchor form a run (their bytes overlap into the next run, so no window is
+   lost between two).  Equal windows have equal anchors, wherever they are; so
+   windows can only repeat between runs of the same anchor, and the corpus
+   falls into buckets of runs that can be judged apart.
+2. Whole copies.  Runs meet at their anchor's hash bucket.  A run of which a
+   smaller document has an equal copy is repeated as a whole.  What is left is
+   one holder of each distinct run; if its anchor occurs in another distinct
+   run, it goes on, else all of it is unique.
+3. Prefix-free parsing of each bucket's runs.  Every place whose rolling hash
+   over `PARSE` bytes is 0 modulo `MODULUS` is a trigger; a phrase goes from
+   one trigger to the end of the next.  The suffix array of the dictionary of
+   distinct phrases and that of the parse (each run as a sequence of phrases)
+   come from prefix doubling; a window's place in corpus order is the rank of
+   its phrase's suffix, then the rank of the parse that follows.  No suffix
+   that ends in a trigger is a prefix of another, so this is the order of the
+   bytes; neighbours that share `size` bytes form a class, whose least document
+   keeps them.
 4. Removal.  The repeated windows of each document are painted over its bytes.
 
-Copies shrink before they travel: of equal phrases in one batch only that of
-the least document is sent.  Texts are shuffled twice, in many buckets; no
-task holds more than its bucket.  Stages are written to the shared folder.
+Copies shrink before they travel: of equal runs in one batch only that of
+the least document is sent.  Texts are shuffled twice, in buckets whose number
+grows with the bytes of all texts; no task holds more than its bucket.  Stages
+are written to the shared folder and deleted after their last use, but for the
+marks that the result reads.
 
 Defined cases: null texts are empty; texts shorter than `size` lose nothing;
 rows without an id lose nothing and repeat nothing.  An id names one document:
@@ -40,17 +47,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import hashing
-from tracewell.llm.common import slices, stored
+from tracewell.llm.common import forget, slices, stored
 
 TRIGGER = 16
+#: Bytes of a phrase trigger, and one in how many places is one.
+PARSE, MODULUS = 8, 16
+#: About so many bytes of text fall into a bucket of documents.
+BUCKET_BYTES = 32 << 20
 BATCH_BYTES = 2 << 20
 MARKS = "dbucket int, docs binary, starts binary, wins binary, kind int"
 WHOLE, OPEN = 0, 1
 MEETS, SETTLED = 0, 1
 
 
-def phrases(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """First window, number of windows, trigger hash and phrase hash of each phrase."""
+def runs(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """First window, number of windows, anchor hash and hash of each run."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < size:
@@ -103,13 +114,13 @@ def _parse(size: int, buckets: int, deal: int):
     def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(it, "text", BATCH_BYTES):
             data, ends = hashing.flat(b.column("text"))
-            first, count, trigger, phrase = phrases(data, ends, size)
+            first, count, trigger, phrase = runs(data, ends, size)
             if not len(first):
                 continue
             text = hashing.owner(first, ends)
             doc = b.column("doc_id").to_numpy()[text]
             start = first - np.append(0, ends[:-1])[text]
-            # Of equal phrases the one of the least document goes on; with it the least start.
+            # Of equal runs the one of the least document goes on; with it the least start.
             order = np.lexsort((start, doc, phrase, trigger))
             same = np.append(False, (trigger[order][1:] == trigger[order][:-1]) & (phrase[order][1:] == phrase[order][:-1]))
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
@@ -139,7 +150,7 @@ def _marks(rows: list) -> pa.Table:
 
 
 def _meet(deal: int):
-    """Phrases of a bucket: repeated as a whole, to go on, or unique."""
+    """Runs of a bucket: repeated as a whole, to go on, or unique."""
 
     def fn(t: pa.Table) -> pa.Table:
         trigger, phrase, doc = _join(t, "trigger", np.uint64), _join(t, "phrase", np.uint64), _join(t, "docs", np.int64)
@@ -174,7 +185,7 @@ def _by_doc(marks: pa.Table, kind: int | None = None) -> dict[int, tuple[np.ndar
 
 
 def _texts(size: int, buckets: int):
-    """The bytes of the phrases that go on, dealt by trigger as before."""
+    """The bytes of the runs that go on, dealt by anchor as before."""
 
     def fn(docs: pa.Table, marks: pa.Table) -> pa.Table:
         out, seen = [], set()
@@ -185,7 +196,7 @@ def _texts(size: int, buckets: int):
             seen.add(doc)
             raw = np.frombuffer(text.encode(), np.uint8)
             start, wins = wanted[doc]
-            first, count, trigger, _ = phrases(raw, np.array([len(raw)]), size)
+            first, count, trigger, _ = runs(raw, np.array([len(raw)]), size)
             at = np.searchsorted(first, start)
             out.append((np.full(len(start), doc, np.int64), start, wins, trigger[at], [raw[a : a + w + size - 1] for a, w in zip(start.tolist(), wins.tolist(), strict=True)]))
         rows = []
@@ -204,41 +215,101 @@ def _texts(size: int, buckets: int):
     return fn
 
 
-def suffix_ranks(data: np.ndarray, size: int) -> np.ndarray:
-    """Rank of each suffix by its first `size` (8 or more) bytes, by prefix doubling.
+def suffix_ranks(data: np.ndarray, size: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """Rank of each suffix by its first `size` bytes, by prefix doubling.
 
-    Suffixes shorter than that are filled up with zero bytes; equal prefixes
-    share a rank, and ranks are in byte order.
+    A suffix ends where its string does (ends: of strings that lie one after
+    another; else data is one); ends come before all bytes.  Equal ones share a
+    rank, and ranks are in byte order.
     """
-    wide = np.append(data, np.zeros(size + 8, np.uint8))
-    n = len(data) + size
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    ends = np.array([n]) if ends is None else ends
+    left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(n)
+    symbol = np.append(data.astype(np.uint64) + np.uint64(1), np.zeros(size + 7, np.uint64))
+    depth = min(7, size)
     key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = key << np.uint64(8) | wide[i : i + n].astype(np.uint64)
+    for i in range(depth):
+        key = key << np.uint64(9) | np.where(left > i, symbol[i : i + n], np.uint64(0))
     rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-    depth = 8
     while depth < size:
         step = min(depth, size - depth)
-        key = rank[:-step] << np.uint64(32) | rank[step:]
-        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        after = np.zeros(n, np.uint64)
+        after[:-step] = np.where(left[:-step] > step, rank[step:] + np.uint64(1), np.uint64(0))
+        rank = np.unique(rank << np.uint64(32) | after, return_inverse=True)[1].astype(np.uint64)
         depth += step
-    return rank[: len(data)]
+    return rank.astype(np.int64)
+
+
+def _parse_ranks(phrase: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Rank of each suffix of the parse by its first `size` phrases (phrases by rank, from 1); fewer if that parts no more."""
+    n = len(phrase)
+    left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(n)
+    rank, parts, depth = phrase.astype(np.uint64), 0, 1
+    while depth < size:
+        after = np.zeros(n, np.uint64)
+        if depth < n:
+            after[:-depth] = np.where(left[:-depth] > depth, rank[depth:], np.uint64(0))
+        names, rank = np.unique(rank << np.uint64(32) | after, return_inverse=True)
+        rank = rank.astype(np.uint64) + np.uint64(1)
+        if len(names) == parts:
+            break
+        parts, depth = len(names), 2 * depth
+    return rank.astype(np.int64)
+
+
+def corpus_order(data: np.ndarray, ends: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the windows that begin at `at`, by their first `size` (8 or more) bytes, and which of them, so ordered, begin a class.
+
+    data holds strings one after another; every window lies within one.
+    """
+    p = hashing.Prefix(data)
+    begins = np.append(0, ends[:-1])
+    m = max(0, len(data) - PARSE + 1)
+    trigger = np.nonzero(p.of(np.arange(m), np.arange(PARSE, PARSE + m)) % hashing.U(MODULUS) == 0)[0]
+    trigger = trigger[trigger + PARSE <= ends[hashing.owner(trigger, ends)]]
+    start = np.unique(np.concatenate([begins[begins < ends], trigger]))
+    text = hashing.owner(start, ends)
+    last = np.append(text[1:] != text[:-1], True)
+    stop = np.where(last, ends[text], np.append(start[1:], 0) + PARSE)
+    _, first, kind = np.unique(p.of(start, stop), return_index=True, return_inverse=True)
+    long = (stop - start)[first]
+    stops = np.cumsum(long)
+    dictionary = data[np.arange(stops[-1]) + np.repeat(start[first] - (stops - long), long)]
+    ranks = suffix_ranks(dictionary, size, stops)
+    follows = _parse_ranks(ranks[(stops - long)[kind]] + 1, np.append(np.nonzero(last)[0] + 1, []).astype(np.int64), size)
+    follows = np.where(last, 0, np.append(follows[1:], 0))
+    j = np.searchsorted(start, at, "right") - 1
+    key = ranks[(stops - long)[kind[j]] + at - start[j]].astype(np.uint64) << hashing.U(32) | follows[j].astype(np.uint64)
+    order = np.argsort(key)
+    place = at[order]
+    wide = np.append(data, np.zeros(8, np.uint8))
+    words = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        words = words << hashing.U(8) | wide[i : i + len(data)]
+    new = np.ones(len(place), bool)
+    same = np.ones(max(0, len(place) - 1), bool)
+    for i in [*range(0, size - 8, 8), size - 8]:
+        same &= words[place[1:] + i] == words[place[:-1] + i]
+    new[1:] = ~same
+    return order, new
 
 
 def _classes(size: int, deal: int):
-    """Windows of a bucket's dictionary that a smaller document holds too."""
+    """Windows of a bucket's runs that a smaller document holds too."""
 
     def fn(t: pa.Table) -> pa.Table:
         doc, start, wins = _join(t, "docs", np.int64), _join(t, "starts", "<u4"), _join(t, "wins", "<u2").astype(np.int64)
         data = _join(t, "content", np.uint8)
         long = wins + size - 1
-        offset = np.cumsum(long) - long
+        ends = np.cumsum(long)
         who = np.repeat(np.arange(len(doc)), wins)
         nth = np.arange(len(who)) - np.repeat(np.cumsum(wins) - wins, wins)
-        rank = suffix_ranks(data, size)[offset[who] + nth].astype(np.int64)
-        least = np.full(int(rank.max(initial=0)) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, rank, doc[who])
-        gone = doc[who] > least[rank]
+        order, new = corpus_order(data, ends, (ends - long)[who] + nth, size)
+        who, nth = who[order], nth[order]
+        least = np.minimum.reduceat(doc[who], np.nonzero(new)[0])[np.cumsum(new) - 1]
+        gone = doc[who] > least
         d, s = doc[who[gone]], (start[who[gone]] + nth[gone]).astype("<u4")
         return _marks([(k, *cols, WHOLE) for k, cols in _split(_dbucket(d, deal), [d, s, np.ones(len(d), "<u2")])])
 
@@ -301,15 +372,18 @@ def _bucket_column(doc_id: str, text: str, buckets: int) -> Column:
 def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, int]:
     """Marks of the repeated windows of each document, dealt to buckets, and their number."""
     spark = docs.sparkSession
-    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))  # buckets of documents, and of phrases that meet
-    buckets = 4 * deal + 1  # of dictionaries, whose suffixes take more room
     own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))  # buckets of documents, and of runs that meet
+    buckets = 4 * deal + 1  # of dictionaries, whose suffixes take more room
     met = stored(own.mapInArrow(_parse(size, deal, deal), PARSED).groupBy("sort", "bucket").applyInArrow(_meet_or_pass(deal), MARKS))
     dealt = own.withColumn("dbucket", _bucket_column("doc_id", "text", deal))
     open_marks = met.where(F.col("kind") == OPEN)
     texts = dealt.groupBy("dbucket").cogroup(open_marks.groupBy("dbucket")).applyInArrow(_texts(size, buckets), "bucket int, docs binary, starts binary, wins binary, content binary")
     found = stored(texts.groupBy("bucket").applyInArrow(_classes(size, deal), MARKS))
-    return met.where(F.col("kind") == WHOLE).unionByName(found), deal
+    marks = stored(met.where(F.col("kind") == WHOLE).unionByName(found))
+    forget(met, found)
+    return marks, deal
 
 
 def remove(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str = "doc_id", characters: bool = False) -> DataFrame:

@@ -5,17 +5,23 @@ inflected forms), hashed to 2**20 numbers; a text has a term or not.  The model
 is w0 + sum(w_i) + sum over pairs of <v_i, v_j>, so that two terms together,
 such as an insult and a mention of a group, can weigh more than each alone.
 
-`fit` takes at most `sample` labelled rows, chosen by the hash of their id;
-their terms come to the driver, the `features` terms that tell the classes
-apart best (log-likelihood ratio) stay, and AdaGrad fits the machine.  The
-model has a fixed size whatever the corpus; `score` applies it batch by batch
-without a shuffle, over whole texts.
+`fit` takes at most `sample` labelled rows, chosen by the hash of their id, and
+of these, in that order, as many as have at most `most_terms` terms in all, so
+what reaches the driver is bounded.  All their terms come into the machine;
+none is dropped, as terms that tell nothing alone may tell the classes apart
+as a pair.  AdaGrad fits it in two turns: `epochs` over the terms that a
+log-likelihood ratio above `telling` sets apart, then `further` over all terms,
+which learn what the first turn leaves over; terms in less than a hundredth of
+the rows take the smaller steps the rarer they are.  The model has a fixed size
+whatever the corpus; `score` applies it batch by batch without a shuffle, over
+whole texts.
 
 Defined cases: null and empty texts have no terms and score sigmoid(w0);
 without a usable label of both classes every score is the share of label 1 (0
 if there are no labels).  Null labels and ids are left out of training; of
-repeated labels the larger counts.  Other columns pass through unless named as
-the output.
+repeated labels the larger counts.  Repeated rows are scored alike; an empty
+table gives no rows.  Other columns pass through, one named as the output is
+replaced.
 """
 
 from __future__ import annotations
@@ -25,13 +31,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import hashing
 from tracewell.llm.bpe import lowered
-from tracewell.llm.common import slices
+from tracewell.llm.common import forget, slices, stored
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -42,7 +48,7 @@ BATCH_BYTES = 2 << 20
 
 @dataclass
 class Model:
-    place: np.ndarray  # term -> feature, or -1
+    place: np.ndarray  # term -> feature; 0 for terms not seen, whose weights are 0
     w0: float
     w: np.ndarray
     v: np.ndarray
@@ -75,43 +81,72 @@ def _ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return 2 * (part(a, na, p) + part(b, nb, p) + part(na - a, na, 1 - p) + part(nb - b, nb, 1 - p))
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, features: int = 1024, factors: int = 4, epochs: int = 25, seed: int = 7) -> Model:
-    place = np.full(1 << BITS, -1, np.int32)
+def train(docs: list[np.ndarray], y: np.ndarray, factors: int = 4, epochs: int = 25, further: int = 12, telling: float = 15.0, seed: int = 7) -> Model:
+    """A machine from the distinct terms and the label (0 or 1) of each row."""
+    place = np.zeros(1 << BITS, np.int32)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
-        bound = 30.0 if share else -30.0
-        return Model(place, bound, np.zeros(1), np.zeros((1, factors)))
-    a, b = (np.bincount(np.concatenate([d for d, own in zip(docs, y == k, strict=True) if own]), minlength=1 << BITS).astype(float) for k in (1, 0))
-    na, nb = int((y == 1).sum()), int((y == 0).sum())
-    gain = np.where(a + b >= 3, _ratio(a, b, na, nb), 0)
-    chosen = np.argsort(-gain, kind="stable")[:features]
-    chosen = chosen[gain[chosen] > 15]
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(y), max(1, len(chosen))), np.float32)
-    for i, d in enumerate(docs):
-        own = place[d]
-        x[i, own[own >= 0]] = 1
+        return Model(place, 30.0 if share else -30.0, np.zeros(1, np.float32), np.zeros((1, factors), np.float32))
+    size = np.array([len(d) for d in docs])
+    every, who = np.concatenate(docs).astype(np.int64), np.repeat(np.arange(len(y)), size)
+    a, b = (np.bincount(every[(y == k)[who]], minlength=1 << BITS).astype(float) for k in (1, 0))
+    seen = np.nonzero(a + b)[0]
+    place[seen] = np.arange(1, len(seen) + 1)
+    a, b = a[seen], b[seen]
+    tells = np.append(False, (_ratio(a, b, int((y == 1).sum()), int((y == 0).sum())) > telling) & (a + b >= 3))
+    pace = np.where(tells, 1.0, np.append(0, np.minimum(1.0, (a + b) / (0.01 * len(y))) ** 2))
+    every = place[every]
     rng = np.random.default_rng(seed)
-    w0, w, v = float(np.log(share / (1 - share))), np.zeros(x.shape[1]), rng.normal(0, 0.05, (x.shape[1], factors))
-    g0, gw, gv = 1e-6, np.full(w.shape, 1e-6), np.full(v.shape, 1e-6)
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 256)):
-            xb = x[part].astype(float)
-            s = xb @ v
-            z = w0 + xb @ w + 0.5 * ((s**2).sum(1) - xb @ (v**2).sum(1))
-            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
-            grads = d.sum(), xb.T @ d + 1e-5 * w, xb.T @ (d[:, None] * s) - (xb.T @ d)[:, None] * v + 1e-4 * v
-            g0, gw, gv = g0 + grads[0] ** 2, gw + grads[1] ** 2, gv + grads[2] ** 2
-            w0 -= 0.1 * grads[0] / np.sqrt(g0)
-            w -= 0.2 * grads[1] / np.sqrt(gw)
-            v -= 0.05 * grads[2] / np.sqrt(gv)
-    return Model(place, w0, w, v)
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", sample: int = 12_000, **how) -> Model:
-    """A model from at most `sample` labelled rows; labels: doc_id and label (0 or 1)."""
+    part = np.empty(len(y), np.int64)  # rows are dealt to mini-batches once, so that a batch's terms are numbered once
+    part[rng.permutation(len(y))] = np.arange(len(y)) * max(1, len(y) // 256) // len(y)
+    w0, w = float(np.log(share / (1 - share))), np.zeros(len(seen) + 1)
+    v = rng.normal(0, 0.02, (len(w), factors)) * np.sqrt(pace)[:, None]
+    # a term that tells nothing alone starts with a small step, which only a steady slope makes count
+    g0, gw, gv = 1e-6, np.where(tells, 1e-6, 1.0), np.repeat(np.where(tells, 1e-6, 3e-4)[:, None], factors, 1)
+
+    def dealt(own: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """Rows, where each one's terms begin, the distinct terms and the terms' numbers among them, by mini-batch."""
+        rows, terms = who[own], every[own]
+        order = np.argsort(part[rows], kind="stable")
+        rows, terms = rows[order], terms[order]
+        found = []
+        for x, t in [] if not len(rows) else zip(*(np.split(z, np.nonzero(np.diff(part[rows]))[0] + 1) for z in (rows, terms)), strict=True):
+            at = np.nonzero(np.append(True, x[1:] != x[:-1]))[0]
+            found.append((x[at], at, *np.unique(t, return_inverse=True)))
+        bare = np.setdiff1d(np.arange(len(y)), rows)  # rows without terms tell of w0 alone
+        return found + [(bare, None, None, None)] * bool(len(bare))
+
+    for own, turns in ((tells[every], epochs), (np.ones(len(every), bool), further)):
+        batches = dealt(own)
+        for _ in range(turns):
+            for k in rng.permutation(len(batches)):
+                rows, at, names, inverse = batches[k]
+                if at is None:
+                    d = (1 / (1 + np.exp(-w0)) - y[rows]) / len(rows)
+                else:
+                    many = np.diff(np.append(at, len(inverse)))
+                    vx = v[names][inverse]
+                    s = np.add.reduceat(vx, at)
+                    z = w0 + np.add.reduceat(w[names][inverse], at) + 0.5 * ((s**2).sum(1) - np.add.reduceat((vx**2).sum(1), at))
+                    d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
+                    by = np.repeat(d, many)
+                    sums = lambda x: np.bincount(inverse, x, len(names))  # noqa: B023, E731
+                    dw = sums(by) + 1e-5 * w[names]
+                    dv = np.stack([sums(by * (np.repeat(s[:, f], many) - vx[:, f])) for f in range(factors)], 1) + 1e-4 * v[names]
+                    gw[names] += dw**2
+                    gv[names] += dv**2
+                    w[names] -= 0.2 * pace[names] * dw / np.sqrt(gw[names])
+                    v[names] -= 0.05 * pace[names][:, None] * dv / np.sqrt(gv[names])
+                g0 += d.sum() ** 2
+                w0 -= 0.1 * d.sum() / np.sqrt(g0)
+    return Model(place, w0, w.astype(np.float32), v.astype(np.float32))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", sample: int = 12_000, most_terms: int = 12_000_000, **how) -> Model:
+    """A model from at most `sample` labelled rows and `most_terms` terms; labels: doc_id and label (0 or 1)."""
     own = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(doc_id).agg(F.max(label).alias("__y"))
-    own = own.orderBy(F.xxhash64(F.col(doc_id).cast("string")), doc_id).limit(sample)
+    turn = F.xxhash64(F.col(doc_id).cast("string"))
+    own = own.orderBy(turn, doc_id).limit(sample).withColumn("__turn", turn)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(it, "__text", BATCH_BYTES):
@@ -119,18 +154,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
             pairs = np.unique(who << BITS | what)
             ends = np.searchsorted(pairs >> BITS, np.arange(b.num_rows), "right")
             found = (pairs & ((1 << BITS) - 1)).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([found[x:y].tobytes() for x, y in zip(np.append(0, ends[:-1]), ends, strict=True)], pa.binary()), b.column("__y")], ["terms", "y"])
-
-    # The sample is at most `sample` rows of two numbers, so it may be broadcast.
-    rows = docs.select(doc_id, F.col(text).alias("__text")).join(F.broadcast(own), doc_id).select("__text", F.col("__y").cast("int").alias("__y"))
-    got = rows.mapInArrow(batches, "terms binary, y int").toArrow()
+            yield pa.RecordBatch.from_arrays([pa.array([found[x:y].tobytes() for x, y in zip(np.append(0, ends[:-1]), ends, strict=True)], pa.binary()), b.column("__y"), b.column("__turn")], ["terms", "y", "turn"])
+
+    # The sample is at most `sample` rows of three numbers, so it may be broadcast.
+    rows = docs.select(doc_id, F.col(text).alias("__text")).join(F.broadcast(own), doc_id).select("__text", F.col("__y").cast("int").alias("__y"), "__turn")
+    found = stored(rows.mapInArrow(batches, "terms binary, y int, turn long"))
+    # a window over the sample's sizes only
+    sizes = found.select("turn", F.octet_length("terms").alias("n")).groupBy("turn").agg(F.sum("n").alias("n")).select("turn", F.sum("n").over(Window.orderBy("turn")).alias("upto"))
+    got = found.join(F.broadcast(sizes.where(F.col("upto") <= 4 * most_terms)), "turn").orderBy("turn", "y", "terms").toArrow()
+    forget(found)
     return train([np.frombuffer(t, "<u4") for t in got.column("terms").to_pylist()], got.column("y").to_numpy(), **how)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Add the probability `out` of label 1."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # fixed size: 2**BITS places and the features' weights
+    shared = spark.sparkContext.broadcast(model)  # bounded: 2**BITS places and weights
     rest = [c for c in docs.columns if c != out]
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(out, T.DoubleType())])
 
@@ -140,7 +179,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
         for b in slices(it, text, BATCH_BYTES):
             who, what = terms(b.column(text))
             at = m.place[what]
-            pairs = np.unique((who << BITS | at)[at >= 0])
+            pairs = np.unique((who << BITS | at)[at > 0])
             who, at = pairs >> BITS, pairs & ((1 << BITS) - 1)
             n = b.num_rows
             add = lambda x: np.bincount(who, x[at], n)  # noqa: B023, E731
