@@ -1,8 +1,8 @@
 """Keyed and set diffs with three-valued outcomes.
 
-A key present on one side only counts as added or removed only if the other
-side's inventory is complete; otherwise the outcome is unknown, never equality
-or absence.
+A key present on one side only counts as added or removed only if both sides'
+inventories are complete; otherwise the outcome is unknown, never equality or
+absence.
 """
 
 from __future__ import annotations
@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 def keyed_diff(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], left_complete: Column | bool = True, right_complete: Column | bool = True) -> DataFrame:
     """keys, left_/right_ values, status and changed (comma-joined names), by one full outer join."""
-    lc, rc = F.lit(left_complete), F.lit(right_complete)
+    complete = F.lit(left_complete) & F.lit(right_complete)
     a = left.select(*keys, *[F.col(v).alias(f"left_{v}") for v in values], F.lit(True).alias("__l"))
     b = right.select(*keys, *[F.col(v).alias(f"right_{v}") for v in values], F.lit(True).alias("__r"))
     differ = {v: ~F.col(f"left_{v}").eqNullSafe(F.col(f"right_{v}")) for v in values}
     both = F.col("__l").isNotNull() & F.col("__r").isNotNull()
     changed = F.concat_ws(",", *[F.when(both & d, F.lit(v)) for v, d in differ.items()])
     status = (
-        F.when(F.col("__l").isNull(), F.when(lc, "added").otherwise("unknown"))
-        .when(F.col("__r").isNull(), F.when(rc, "removed").otherwise("unknown"))
+        F.when(F.col("__l").isNull(), F.when(complete, "added").otherwise("unknown"))
+        .when(F.col("__r").isNull(), F.when(complete, "removed").otherwise("unknown"))
         .when(changed != "", "changed")
         .otherwise("unchanged")
     )
@@ -41,18 +41,21 @@ def membership(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def history_relation(left: DataFrame, right: DataFrame, key: str, seq: str, value: str) -> DataFrame:
-    """identical, advanced, behind or diverged, comparing two ordered histories of each key."""
+    """unchanged, advanced (either history begins the other), diverged, added or removed, comparing two ordered histories of each key.
 
-    def told(df: DataFrame, name: str) -> DataFrame:
-        ordered = F.transform(F.sort_array(F.collect_list(F.struct(seq, value))), lambda x: x[value].cast("string"))
-        return df.groupBy(key).agg(ordered.alias(name))
+    Places are compared by a join, not in arrays, so a key's history may be of any length.
+    """
 
-    def prefix(x: str, y: str) -> Column:
-        return F.slice(y, 1, F.size(x)) == F.col(x)
+    def told(df: DataFrame, side: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(key).orderBy(seq))
+        return df.select(key, nth.alias("__i"), F.struct(F.col(value)).alias(f"__{side}"))
 
-    a, b = told(left, "__a"), told(right, "__b")
-    relation = F.when(F.col("__a") == F.col("__b"), "identical").when(prefix("__a", "__b"), "advanced").when(prefix("__b", "__a"), "behind").otherwise("diverged")
-    return a.join(b, key).select(key, F.size("__a").alias("left_size"), F.size("__b").alias("right_size"), relation.alias("relation"))
+    both = told(left, "l").join(told(right, "r"), [key, "__i"], "full_outer")
+    l, r = F.col("__l").isNotNull(), F.col("__r").isNotNull()
+    n = both.groupBy(key).agg(F.count("__l").alias("left_size"), F.count("__r").alias("right_size"), F.count_if(l & r & ~F.col("__l").eqNullSafe(F.col("__r"))).alias("__odd"))
+    x, y = F.col("left_size"), F.col("right_size")
+    relation = F.when(x == 0, "added").when(y == 0, "removed").when(F.col("__odd") > 0, "diverged").when(x == y, "unchanged").otherwise("advanced")
+    return n.select(key, "left_size", "right_size", relation.alias("relation"))
 
 
 def budgeted(changes: DataFrame, order: list[str], budget: int) -> DataFrame:
@@ -63,6 +66,6 @@ def budgeted(changes: DataFrame, order: list[str], budget: int) -> DataFrame:
     """
     first = order[0]
     counts = changes.groupBy(first).agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy(first)) - F.col("__n")).drop("__n")
+    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy(first)) - F.col("__n")).drop("__n")  # one row for each value of the first column: dimensions, which are few
     rank = F.row_number().over(Window.partitionBy(first).orderBy(*order[1:]))
     return changes.withColumn("__rank", rank).join(before, first).withColumn("position", (F.col("__rank") + F.col("__before")).cast("long")).withColumn("kept", F.col("position") <= budget).drop("__rank", "__before")

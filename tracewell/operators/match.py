@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import status
+from tracewell.operators import graph
+
 
 def _unique(df: DataFrame, id_col: str, key: Column) -> DataFrame:
     """Keys that exactly one row has, with that row's id."""
@@ -190,3 +193,88 @@ def signal_pairs(sources: DataFrame, nodes: DataFrame, least: int = 20) -> DataF
     score = sum((F.when(hit, w).otherwise(0) for hit, w in signals), F.lit(0))
     w = Window.partitionBy("source").orderBy(F.desc("score"), "node", F.asc_nulls_last("digest"))
     return found.select("source", "node", "digest", score.alias("score")).where(F.col("score") >= least).withColumn("rank", F.row_number().over(w))
+
+
+def listed(named: DataFrame, name: str, category: str, address: str, k: int) -> DataFrame:
+    """category, name, address, n, position: names once each, at their least address; each category's count and its first k."""
+    once = named.groupBy(name, category).agg(F.min(address).alias(address))
+    w = Window.partitionBy(category)
+    counted = once.withColumn("n", F.count("*").over(w)).withColumn("position", F.row_number().over(w.orderBy(address)))
+    return counted.where(F.col("position") <= k).select(category, name, address, "n", "position")
+
+
+def mappings(pairs: DataFrame, sources: DataFrame, source: str, complete: Column) -> DataFrame:
+    """source, status, nodes for every source, from (source, node, score, exact, located) pairs.
+
+    One exact node: unchanged, or merged if another source has that node alone
+    too; several: duplicated.  Else the best-scored located nodes: one leaves
+    the outcome open, a tie is a split.  Without any pair the source is removed
+    if both inventories are complete.
+    """
+    best = pairs.groupBy(source).agg(F.max(F.when(F.col("located"), F.col("score"))).alias("__top"))
+    at_top = F.col("located") & (F.col("score") == F.col("__top"))
+    told = pairs.join(best, source).groupBy(source).agg(
+        F.count("*").alias("__n"), F.count_if("exact").alias("__exact"), F.count_if(at_top).alias("__tied"), F.min(F.when(F.col("exact"), F.col("node"))).alias("__node")
+    )
+    shared = told.where("__exact = 1").groupBy("__node").agg((F.count("*") > 1).alias("__merged"))
+    every = sources.select(source).join(told, source, "left").join(shared, "__node", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    own = status.source_mapping(F.lit(True), n("__exact"), n("__tied"), n("__n") > 0, complete)
+    merged = F.coalesce((n("__exact") == 1) & F.col("__merged"), F.lit(False))
+    nodes = F.when(n("__exact") > 0, n("__exact")).otherwise(n("__tied"))
+    return every.select(source, F.when(merged, "merged").otherwise(own).alias("status"), nodes.alias("nodes"))
+
+
+def gate(expected: DataFrame, actual: DataFrame, key: str, dimensions: list[str], volatile: set[str], truncated: Column) -> DataFrame:
+    """key, mismatch, verdict: the first dimension, in order, whose actual value differs.
+
+    Volatile dimensions are not looked at; one without an actual value leaves
+    the verdict open; a mismatch or a truncated record fails.
+    """
+    own = [x for x in dimensions if x not in volatile]
+    both = expected.select(key, *own).join(actual.select(key, *[F.col(x).alias(f"__{x}") for x in own]), key)
+    differs = [F.col(f"__{x}").isNotNull() & ~F.col(x).eqNullSafe(F.col(f"__{x}")) for x in own]
+    first = F.coalesce(*[F.when(bad, F.lit(x)) for x, bad in zip(own, differs, strict=True)])
+    absent = reduce(lambda a, b: a | b, [F.col(f"__{x}").isNull() for x in own])
+    return both.select(key, first.alias("mismatch"), status.trust_gate(first.isNotNull(), truncated, absent).alias("verdict"))
+
+
+def required(subjects: DataFrame, have: DataFrame, key: str, check: str, need: list[tuple[str, str]]) -> DataFrame:
+    """key, missing, findings, status: which of the (lane, check) pairs each subject has no proof of."""
+    proofs = have.where(F.col(check).isin(*[c for _, c in need])).groupBy(key).agg(F.collect_set(check).alias("__have"))  # at most the checks of `need`
+    absent = F.filter(F.array(*[F.when(~F.array_contains("__have", c), F.lit(f"{lane}:{c}")) for lane, c in sorted(need)]), lambda x: x.isNotNull())
+    told = subjects.select(key).distinct().join(proofs, key, "left").withColumn("__have", F.coalesce("__have", F.array().cast("array<string>"))).select(key, absent.alias("a"))
+    n = F.size("a").cast("long")
+    return told.select(key, n.alias("missing"), F.when(n > 0, F.array_join("a", ",")).alias("findings"), F.when(n == 0, "ready").otherwise("blocked").alias("status"))
+
+
+def reopened(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """id, own, status, dependency_open: nodes (id, own) that need, directly or not, one that is open are open."""
+    bad = graph.spread(nodes.where("own = 'open'"), needs).withColumn("__open", F.lit(True))
+    open_ = F.coalesce("__open", F.lit(False))
+    return nodes.join(bad, "id", "left").select("id", "own", F.when(open_, "open").otherwise(F.col("own")).alias("status"), ((F.col("own") == "verified") & open_).alias("dependency_open"))
+
+
+def merged(records: DataFrame, id_col: str, digest: str) -> DataFrame:
+    """id, copies, digest, status: records of one id merge if they are the same, else they conflict."""
+    n = records.groupBy(id_col, digest).agg(F.count("*").alias("__c"))
+    g = n.groupBy(id_col).agg(F.sum("__c").alias("copies"), F.count("*").alias("__n"), F.min(digest).alias("__d"))
+    return g.select(id_col, "copies", F.when(F.col("__n") == 1, F.col("__d")).alias("digest"), F.when(F.col("__n") > 1, "conflict").when(F.col("copies") > 1, "duplicate").otherwise("single").alias("status"))
+
+
+def script_urls(scripts: DataFrame, resources: DataFrame, key: str) -> DataFrame:
+    """key, status, resource: exact only if one resource alone has the script's url; a match without query and fragment is never exact."""
+    same = resources.groupBy("url").agg(F.count("*").alias("__n"), F.min(key).alias("__hit"))
+    near = resources.groupBy("clean").agg(F.count("*").alias("__m"))
+    j = scripts.join(same, "url", "left").join(near, "clean", "left")
+    one = F.col("__n") == 1
+    return j.select(key, F.when(one, "exact").when((F.col("__n") > 1) | (F.col("__m") > 0), "ambiguous").otherwise("unmatched").alias("status"), F.when(one, F.col("__hit")).alias("resource"))
+
+
+def aligned(before: DataFrame, after: DataFrame, key: str, step: str, order: str) -> DataFrame:
+    """key, step, before, after, status: steps of two captures by name; a name that one of them has twice is a duplicate."""
+    told = lambda df, at, n: df.groupBy(key, step).agg(F.min(order).alias(at), F.count("*").alias(n))
+    j = told(before, "before", "__b").join(told(after, "after", "__a"), [key, step], "full_outer")
+    twice = (F.coalesce("__b", F.lit(0)) > 1) | (F.coalesce("__a", F.lit(0)) > 1)
+    status_ = F.when(twice, "duplicate").when(F.col("__b").isNull(), "missing_before").when(F.col("__a").isNull(), "missing_after").otherwise("aligned")
+    return j.select(key, step, "before", "after", status_.alias("status"))

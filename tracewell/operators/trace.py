@@ -137,3 +137,44 @@ def sessions(events: DataFrame, key: str, time: str, tie: str, gap: str) -> Data
     w = Window.partitionBy(key).orderBy(time, tie)
     starts = F.coalesce(F.col(time) > F.lag(time).over(w) + F.expr(f"INTERVAL {gap}"), F.lit(True)).cast("int")
     return events.withColumn("__new", starts).withColumn("session", F.sum("__new").over(w)).drop("__new")
+
+
+def evaluated(events: DataFrame, key: list[str], kind: str, order: str, counts: dict[str, tuple[int, int]], rules: list[tuple[str, str]]) -> DataFrame:
+    """key, side (pass, fail or unknown) and order: cardinalities first, then order rules, each before its successors.
+
+    A required kind without any event leaves the side open.  `order` is a digest
+    of the kinds that the rules name, in their order.
+    """
+    of = lambda k: F.col(kind) == k
+    named = sorted({k for rule in rules for k in rule} | set(counts))
+    aggs = [F.count_if(of(k)).alias(f"__n{i}") for i, k in enumerate(counts)]
+    aggs += [F.max(F.when(of(b), F.col(order))).alias(f"__b{i}") for i, (b, _) in enumerate(rules)] + [F.min(F.when(of(a), F.col(order))).alias(f"__a{i}") for i, (_, a) in enumerate(rules)]
+    seq = F.sort_array(F.collect_list(F.when(F.col(kind).isin(*named), F.struct(F.col(order).alias("o"), F.col(kind).alias("k")))))
+    aggs.append(F.sha2(F.array_join(F.transform(seq, lambda x: x["k"]), ","), 256).alias("order"))
+    g = events.groupBy(*key).agg(*aggs)
+    side: Column = F.lit("pass")
+    for i in range(len(rules)):
+        side = F.when(F.col(f"__a{i}").isNotNull() & (F.col(f"__b{i}") >= F.col(f"__a{i}")), "fail").otherwise(side)
+    for i, (_, high) in enumerate(counts.values()):
+        side = F.when(F.col(f"__n{i}") > high, "fail").otherwise(side)
+    for i, (low, _) in enumerate(counts.values()):
+        side = F.when(F.col(f"__n{i}") < low, "unknown").otherwise(side)
+    return g.select(*key, side.alias("side"), "order")
+
+
+def repeatable(captures: DataFrame, key: str, time: str, dimensions: list[str], timing: set[str]) -> DataFrame:
+    """key, samples, unstable, verdict: each capture of a key against its first."""
+    first = captures.groupBy(key).agg(F.count("*").alias("samples"), F.min(F.struct(time, *dimensions)).alias("__f"))
+    same = captures.join(first, key).groupBy(key, "samples").agg(*[F.bool_and(F.col(x).eqNullSafe(F.col(f"__f.{x}"))).alias(f"__{x}") for x in dimensions])
+    unstable = F.concat_ws(",", *[F.when(~F.col(f"__{x}"), F.lit(x)) for x in dimensions])
+    still = [F.col(f"__{x}") for x in dimensions if x not in timing]
+    rest = still[0]
+    for x in still[1:]:
+        rest = rest & x
+    verdict = F.when(F.col("samples") < 2, "insufficient").when(unstable == "", "stable").when(rest, "timing_variance").otherwise("unstable")
+    return same.select(key, "samples", unstable.alias("unstable"), verdict.alias("verdict"))
+
+
+def heads(revisions: DataFrame, key: str, revision: str, digest: str, claimed: str, prior: str) -> DataFrame:
+    """key, head, digest, chained: the last revision, and whether every one claims the digest of the one before it."""
+    return revisions.groupBy(key).agg(F.max(revision).alias("head"), F.max_by(digest, revision).alias("digest"), F.bool_and(F.col(claimed).eqNullSafe(F.col(prior))).alias("chained"))

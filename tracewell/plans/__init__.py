@@ -1 +1 @@
-from tracewell.plans import catalog, evidence  # noqa: F401  both register their queries
+from tracewell.plans import catalog, evidence, fields, graphs, verdicts  # noqa: F401  all register their queries

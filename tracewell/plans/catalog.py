@@ -49,7 +49,7 @@ def events_keyed_diff(spark, d):
     return diff.keyed_diff(*_halves(spark, d), ["user_id", "event_type"], ["n"])
 
 
-@query(f"WITH {HALVES}, x AS ({DIFF}) SELECT event_type, replace(status, 'removed', 'unknown') AS status, count(*) AS n FROM x GROUP BY ALL")
+@query(f"WITH {HALVES}, x AS ({DIFF}) SELECT event_type, CASE WHEN status IN ('added', 'removed') THEN 'unknown' ELSE status END AS status, count(*) AS n FROM x GROUP BY ALL")
 def artifact_status_summary(spark, d):
     a, b = _halves(spark, d)
     return diff.status_summary(diff.keyed_diff(a, b, ["user_id", "event_type"], ["n"], right_complete=False), ["event_type"])
@@ -78,11 +78,12 @@ def bundle_membership(spark, d):
     return diff.membership(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), ["l_partkey", "l_suppkey"])
 
 
-@query("""WITH h AS (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) AS b, list(o_orderstatus ORDER BY o_orderkey) FILTER (o_orderdate < TIMESTAMP '1997-01-01') AS a FROM orders GROUP BY o_custkey)
-SELECT o_custkey, len(a)::INT AS left_size, len(b)::INT AS right_size, CASE WHEN a = b THEN 'identical' WHEN b[1:len(a)] = a THEN 'advanced' WHEN a[1:len(b)] = b THEN 'behind' ELSE 'diverged' END AS relation FROM h WHERE a IS NOT NULL""")
+@query("""WITH a AS (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) AS a FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1), b AS (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) AS b FROM orders WHERE o_orderkey % 10 <> 3 GROUP BY 1)
+SELECT o_custkey, coalesce(len(a), 0) AS left_size, coalesce(len(b), 0) AS right_size, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a = b THEN 'unchanged' WHEN b[1:len(a)] = a OR a[1:len(b)] = b THEN 'advanced' ELSE 'diverged' END AS relation FROM a FULL JOIN b USING (o_custkey)""")
 def history_prefix(spark, d):
+    """A customer's early orders against all but some of them."""
     o = table(spark, d, "orders")
-    return diff.history_relation(o.where("o_orderdate < timestamp_ntz'1997-01-01'"), o, "o_custkey", "o_orderkey", "o_orderstatus")
+    return diff.history_relation(o.where("o_orderdate < timestamp_ntz'1997-01-01'"), o.where("o_orderkey % 10 <> 3"), "o_custkey", "o_orderkey", "o_orderstatus")
 
 
 @query("""WITH p AS (SELECT p_partkey, p_brand || '/' || p_type || '/' || p_size AS k1, p_brand || '/' || p_type AS k2 FROM part),
@@ -162,18 +163,18 @@ def ownership_diagnostics(spark, d):
     return n.withColumn("status", F.when(F.col("owners") == 0, "missing").when(F.col("owners") == 1, "ok").otherwise("ambiguous"))
 
 
-@query("SELECT c_custkey, sha256(concat_ws('|', c_custkey::VARCHAR, c_name, c_mktsegment)) AS evidence_id FROM customer")
+@query("SELECT c_custkey, sha256(concat_ws('|', length(c_custkey::VARCHAR) || ':' || c_custkey::VARCHAR, length(c_name) || ':' || c_name, length(c_mktsegment) || ':' || c_mktsegment)) AS evidence_id FROM customer")
 def evidence_ids(spark, d):
     return table(spark, d, "customer").select("c_custkey", scalar.digest("c_custkey", "c_name", "c_mktsegment").alias("evidence_id"))
 
 
-@query("SELECT l_orderkey, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT l_orderkey, sha256(concat_ws('|', l_partkey::VARCHAR, l_suppkey::VARCHAR)) AS h FROM lineitem) GROUP BY 1")
+@query("SELECT l_orderkey, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT l_orderkey, sha256(concat_ws('|', length(l_partkey::VARCHAR) || ':' || l_partkey::VARCHAR, length(l_suppkey::VARCHAR) || ':' || l_suppkey::VARCHAR)) AS h FROM lineitem) GROUP BY 1")
 def multiset_digest(spark, d):
     h = table(spark, d, "lineitem").select("l_orderkey", scalar.digest("l_partkey", "l_suppkey").alias("h"))
     return h.groupBy("l_orderkey").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("digest"))
 
 
-@query("SELECT r_name, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT n_regionkey, sha256(concat_ws('|', n_nationkey::VARCHAR, n_name)) AS h FROM nation) JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query("SELECT r_name, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT n_regionkey, sha256(concat_ws('|', length(n_nationkey::VARCHAR) || ':' || n_nationkey::VARCHAR, length(n_name) || ':' || n_name)) AS h FROM nation) JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def tree_digest(spark, d):
     h = table(spark, d, "nation").select("n_regionkey", scalar.digest("n_nationkey", "n_name").alias("h"))
     return h.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("digest"))

@@ -219,9 +219,12 @@ def priority_select(spark, d):
     return best.select("o_custkey", F.col("b.o_orderpriority").alias("priority"), F.col("b.k").alias("o_orderkey"), (F.col("b.n") > 1).alias("ambiguous"))
 
 
-@query("SELECT category, n FROM (SELECT split_part(p_type, ' ', 1) AS category, count(*) AS n FROM part GROUP BY 1) ORDER BY n DESC, category LIMIT 50")
+@query("""WITH f AS (SELECT p_brand || ' ' || p_type AS name, split_part(p_type, ' ', 1) AS category, min(p_partkey) AS address FROM part GROUP BY ALL)
+SELECT category, name, address, n, position FROM (SELECT *, count(*) OVER (PARTITION BY category) AS n, row_number() OVER (PARTITION BY category ORDER BY address)::INT AS position FROM f) WHERE position <= 50""")
 def category_counts(spark, d):
-    return table(spark, d, "part").groupBy(F.substring_index("p_type", " ", 1).alias("category")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(50)
+    """Types are named by brand and type, the first of each name by part key stays; each category has its count and its first 50."""
+    named = table(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("name"), F.substring_index("p_type", " ", 1).alias("category"), F.col("p_partkey").alias("address"))
+    return match.listed(named, "name", "category", "address", 50)
 
 
 @query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 2) % 25 AS dst FROM nation), p AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT p.src, e.dst, p.depth + 1 FROM p JOIN e ON p.dst = e.src WHERE p.depth < 6)
