@@ -108,10 +108,11 @@ def canonical_json(value: Column) -> Column:
 
 def canonical_text(text: str) -> str | None:
     import json
+    from decimal import Decimal
 
     def number(x: float) -> str:
         if x == int(x) and abs(x) < 1e21:
-            return str(int(x))
+            return str(int(Decimal(repr(x))))
         digits, _, exponent = repr(x).partition("e")
         if not exponent:
             return digits

@@ -178,3 +178,70 @@ def repeatable(captures: DataFrame, key: str, time: str, dimensions: list[str],
 def heads(revisions: DataFrame, key: str, revision: str, digest: str, claimed: str, prior: str) -> DataFrame:
     """key, head, digest, chained: the last revision, and whether every one claims the digest of the one before it."""
     return revisions.groupBy(key).agg(F.max(revision).alias("head"), F.max_by(digest, revision).alias("digest"), F.bool_and(F.col(claimed).eqNullSafe(F.col(prior))).alias("chained"))
+
+
+class Machine:
+    """One key's state in a replay machine: a small step function, used by batches and streams alike.
+
+    machine: start, visits (state to its limit), max_transitions and moves, in
+    order of declaration, with id, from, to, on and, if given, priority, guards
+    and captures (variable to field) and max_uses.
+    """
+
+    def __init__(self, machine: dict, state: dict | None = None):
+        self.machine = machine
+        self.s = state or {"at": machine["start"], "known": {}, "uses": {}, "visits": {machine["start"]: 1}, "n": 0, "last": None}
+
+    def step(self, at, kind, fields: dict) -> tuple[str, str | None]:
+        """Outcome and, if matched, the move; nothing changes on a refusal."""
+        s, m = self.s, self.machine
+        if s["last"] is not None and at < s["last"]:
+            return "limit_exhausted", None
+        s["last"] = at
+        matching = [x for x in m["moves"] if x["on"] == kind]
+        open_ = sorted((x for x in matching if x["from"] == s["at"]), key=lambda x: x.get("priority", 0))
+        if not open_:
+            return ("invalid_state" if matching else "unmatched"), None
+        passed = [x for x in open_ if all(v in s["known"] and fields.get(f) is not None and s["known"][v] == fields[f] for v, f in x.get("guards", {}).items())]
+        if not passed:
+            return "guard_failed", None
+        move = next((x for x in passed if s["uses"].get(x["id"], 0) < x.get("max_uses", 1 << 62)), None)
+        if move is None or s["n"] >= m["max_transitions"]:
+            return "transition_exhausted", None
+        visits = s["visits"].get(move["to"], 0) + 1
+        if visits > m["visits"].get(move["to"], 0):
+            return "limit_exhausted", None
+        captured = {v: fields.get(f) for v, f in move.get("captures", {}).items()}
+        if any(v is None for v in captured.values()):
+            return "invalid_capture", None
+        s["known"].update(captured)
+        s["uses"][move["id"]] = s["uses"].get(move["id"], 0) + 1
+        s["visits"][move["to"]] = visits
+        s["at"], s["n"] = move["to"], s["n"] + 1
+        return "matched", move["id"]
+
+
+def replay(events: DataFrame, key: str, order: str, kind: str, fields: list[str], machine: dict) -> DataFrame:
+    """key, order, outcome, transition and state after each event of each key, in order.
+
+    A partition's sorted rows stream through one machine at a time, so a task
+    holds one key's state, however many events the key has.
+    """
+    schema = events.select(key, order).schema.add("outcome", "string").add("transition", "string").add("state", "string")
+
+    def run(frames):
+        import pandas as pd
+
+        now, at = None, object()
+        for frame in frames:
+            out = []
+            for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None):
+                own = dict(zip(frame.columns, row, strict=True))
+                if now is None or own[key] != at:
+                    now, at = Machine(machine), own[key]
+                outcome, move = now.step(own[order], own[kind], own)
+                out.append((own[key], own[order], outcome, move, now.s["at"]))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    names = list(dict.fromkeys([key, order, kind, *fields]))
+    return events.select(*names).where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
