@@ -147,9 +147,11 @@ def asof_frontier(spark, d):
     return match.asof(left, right, "user_id", "ts", "rts", "rid").select("event_id", "user_id", "last_time")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000 AND o_orderpriority LIKE '1%')")
 def anti_orphans(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Customers without a large urgent order."""
+    o = table(spark, d, "orders").where("o_totalprice > 150000 AND o_orderpriority LIKE '1%'")
+    return table(spark, d, "customer").join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
