@@ -84,3 +84,23 @@ def test_replay_machine(spark):
         ("matched", "leave", "idle"), ("limit_exhausted", None, "idle"), ("limit_exhausted", None, "idle"),
     ]
     assert [x[0] for x in told["late"]] == ["invalid_state", "matched", "matched"]
+
+
+def test_shortest_edit_scripts():
+    import random
+
+    rng = random.Random(3)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2))
+        same = common(a, b)
+        assert text.edits(a, b) == (len(b) - same, len(a) - same)
+    assert text.edits(["a"] * 50, ["b"] * 50, most=20) is None

@@ -162,3 +162,30 @@ def json_within(value: Column, depth: int, length: int) -> Column:
         lambda acc: acc["most"],
     )
     return (F.length(value) <= length) & (deep <= depth)
+
+
+def edits(left: list[str], right: list[str], most: int = 10_000) -> tuple[int, int] | None:
+    """Lines added and removed by a shortest edit script; None beyond `most` edits."""
+    n, m = len(left), len(right)
+    ends = {1: 0}
+    for d in range(min(n + m, most) + 1):
+        for k in range(-d, d + 1, 2):
+            x = ends[k + 1] if k == -d or (k != d and ends[k - 1] < ends[k + 1]) else ends[k - 1] + 1
+            while x < n and x - k < m and left[x] == right[x - k]:
+                x += 1
+            ends[k] = x
+            if x >= n and x - k >= m:
+                return (d + m - n) // 2, (d + n - m) // 2
+    return None
+
+
+def line_changes(left: Column, right: Column) -> Column:
+    """added,removed lines between two texts as a text, null if either is null or they are too far apart."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def changes(a, b):
+        found = (None if x is None or y is None else edits(x.split("\n"), y.split("\n")) for x, y in zip(a, b, strict=True))
+        return a.__class__([None if f is None else f"{f[0]},{f[1]}" for f in found], dtype=object)
+
+    return changes(left, right)

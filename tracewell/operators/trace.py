@@ -245,3 +245,36 @@ def replay(events: DataFrame, key: str, order: str, kind: str, fields: list[str]
 
     names = list(dict.fromkeys([key, order, kind, *fields]))
     return events.select(*names).where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+
+
+def triggered(events: DataFrame, key: str, order: str, kind: str, trigger: tuple, since: DataFrame) -> DataFrame:
+    """key, at: the least order at which a trigger holds for each key of since (key, since), by events after it; null if it does not.
+
+    A trigger is ("event", kind), ("all", *triggers), ("any", *triggers),
+    ("sequence", *triggers), each after the one before, or ("repeat", kind, least,
+    most): more than the most is no match.  Every step is a join on the key.
+    """
+    what, *parts = trigger
+    e = events.select(F.col(key).alias("__k"), F.col(order).alias("__o"), F.col(kind).alias("__w"))
+    if what in ("event", "repeat"):
+        hits = since.where("since IS NOT NULL").join(e.where(F.col("__w") == parts[0]), (F.col(key) == F.col("__k")) & (F.col("__o") > F.col("since")))
+        if what == "event":
+            found = hits.groupBy(key).agg(F.min("__o").alias("at"))
+        else:
+            w = Window.partitionBy(key)
+            nth = hits.withColumn("__i", F.row_number().over(w.orderBy("__o"))).withColumn("__n", F.count("*").over(w))
+            found = nth.where((F.col("__i") == parts[1]) & (F.col("__n") <= parts[2])).select(key, F.col("__o").alias("at"))
+        return since.select(key).join(found, key, "left")
+    if what == "sequence":
+        for part in parts:
+            since = triggered(events, key, order, kind, part, since).withColumnRenamed("at", "since")
+        return since.withColumnRenamed("since", "at")
+    told = since.select(key)
+    for i, part in enumerate(parts):
+        told = told.join(triggered(events, key, order, kind, part, since).withColumnRenamed("at", f"__{i}"), key)
+    every = [F.col(f"__{i}") for i in range(len(parts))]
+    absent = every[0].isNull()
+    for x in every[1:]:
+        absent = absent | x.isNull()
+    at = (F.when(~absent, F.greatest(*every)) if what == "all" else F.least(*every)) if len(every) > 1 else every[0]
+    return told.select(key, at.alias("at"))

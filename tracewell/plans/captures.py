@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracewell.operators import graph
+from tracewell.functions import text
+from tracewell.operators import graph, trace
 from tracewell.plans.catalog import query
 from tracewell.sources import table
 
@@ -228,3 +229,28 @@ def completion_ledger(spark, d):
     return g.select("id", "claims", (F.col("n") > F.col("claims")).alias("repeated"), F.sha2(line, 256).alias("digest"))
 
 
+
+
+@query("""WITH s AS (SELECT user_id, min(event_id) AS t FROM events WHERE event_type = 'signup' GROUP BY 1),
+c AS (SELECT user_id, min(event_id) AS t FROM events e JOIN s USING (user_id) WHERE event_type = 'click' AND event_id > s.t GROUP BY 1), v AS (SELECT user_id, min(event_id) AS t FROM events e JOIN s USING (user_id) WHERE event_type = 'view' AND event_id > s.t GROUP BY 1),
+r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events e JOIN s USING (user_id) WHERE event_type = 'login' AND event_id > s.t),
+m AS (SELECT u.user_id, least(CASE WHEN c.t IS NOT NULL AND v.t IS NOT NULL THEN greatest(c.t, v.t) END, r.event_id) AS t FROM s u LEFT JOIN c USING (user_id) LEFT JOIN v USING (user_id) LEFT JOIN (SELECT user_id, event_id FROM r WHERE i = 2 AND n <= 12) r USING (user_id)),
+p AS (SELECT user_id, min(event_id) AS t FROM events e JOIN m USING (user_id) WHERE event_type = 'purchase' AND event_id > m.t GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events)
+SELECT user_id, p.t AS at, CASE WHEN p.t IS NULL THEN 'unmatched' WHEN p.t - s.t > 500 THEN 'deadline' ELSE 'matched' END AS outcome FROM u LEFT JOIN p USING (user_id) LEFT JOIN s USING (user_id)""")
+def trigger_tree(spark, d):
+    """A signup, then either a click and a view or two to twelve logins, then a purchase, within 500 events of the signup."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    tree = ("sequence", ("event", "signup"), ("any", ("all", ("event", "click"), ("event", "view")), ("repeat", "login", 2, 12)), ("event", "purchase"))
+    found = trace.triggered(e, "user_id", "event_id", "event_type", tree, e.select("user_id").distinct().withColumn("since", F.lit(-1).cast("long")))
+    start = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min("event_id").alias("start"))
+    outcome = F.when(F.col("at").isNull(), "unmatched").when(F.col("at") - F.col("start") > 500, "deadline").otherwise("matched")
+    return found.join(start, "user_id", "left").select("user_id", "at", outcome.alias("outcome"))
+
+
+@query("""SELECT doc_id, CASE WHEN text IS NOT NULL THEN '3,1' END AS changes FROM documents""")
+def line_changes(spark, d):
+    """Every text against itself with its first line replaced and two lines more."""
+    t = F.col("text")
+    rest = F.substring(t, F.length(F.substring_index("text", "\n", 1)) + 1, F.length(t))
+    other = F.concat(F.lit("\x01 "), F.col("doc_id").cast("string"), rest, F.lit("\n\x02\n\x03"))
+    return table(spark, d, "documents").select("doc_id", text.line_changes(t, other).alias("changes"))
