@@ -87,49 +87,47 @@ def train(docs: list[np.ndarray], y: np.ndarray, factors: int = 4, epochs: int =
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
         return Model(place, 30.0 if share else -30.0, np.zeros(1, np.float32), np.zeros((1, factors), np.float32))
-    size = np.array([len(d) for d in docs])
-    every, who = np.concatenate(docs).astype(np.int64), np.repeat(np.arange(len(y)), size)
-    a, b = (np.bincount(every[(y == k)[who]], minlength=1 << BITS).astype(float) for k in (1, 0))
-    seen = np.nonzero(a + b)[0]
+    count = np.zeros((2, 1 << BITS), np.int32)
+    for d, own in zip(docs, y, strict=True):
+        count[int(own), d] += 1
+    seen = np.nonzero(count.sum(0))[0]
     place[seen] = np.arange(1, len(seen) + 1)
-    a, b = a[seen], b[seen]
+    b, a = count[:, seen].astype(float)
+    del count
     tells = np.append(False, (_ratio(a, b, int((y == 1).sum()), int((y == 0).sum())) > telling) & (a + b >= 3))
     pace = np.where(tells, 1.0, np.append(0, np.minimum(1.0, (a + b) / (0.01 * len(y))) ** 2))
-    every = place[every]
     rng = np.random.default_rng(seed)
-    part = np.empty(len(y), np.int64)  # rows are dealt to mini-batches once, so that a batch's terms are numbered once
-    part[rng.permutation(len(y))] = np.arange(len(y)) * max(1, len(y) // 256) // len(y)
-    w0, w = float(np.log(share / (1 - share))), np.zeros(len(seen) + 1)
+    w0, w = float(np.log(share / (1 - share))), np.zeros(len(pace))
     v = rng.normal(0, 0.02, (len(w), factors)) * np.sqrt(pace)[:, None]
     # a term that tells nothing alone starts with a small step, which only a steady slope makes count
     g0, gw, gv = 1e-6, np.where(tells, 1e-6, 1.0), np.repeat(np.where(tells, 1e-6, 3e-4)[:, None], factors, 1)
 
-    def dealt(own: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        """Rows, where each one's terms begin, the distinct terms and the terms' numbers among them, by mini-batch."""
-        rows, terms = who[own], every[own]
-        order = np.argsort(part[rows], kind="stable")
-        rows, terms = rows[order], terms[order]
-        found = []
-        for x, t in [] if not len(rows) else zip(*(np.split(z, np.nonzero(np.diff(part[rows]))[0] + 1) for z in (rows, terms)), strict=True):
-            at = np.nonzero(np.append(True, x[1:] != x[:-1]))[0]
-            found.append((x[at], at, *np.unique(t, return_inverse=True)))
-        bare = np.setdiff1d(np.arange(len(y)), rows)  # rows without terms tell of w0 alone
-        return found + [(bare, None, None, None)] * bool(len(bare))
-
-    for own, turns in ((tells[every], epochs), (np.ones(len(every), bool), further)):
-        batches = dealt(own)
+    def numbered(rows: np.ndarray, many: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, ...]:
+        """A mini-batch: rows, rows that have terms, where each one's begin, the distinct terms, and the terms' numbers among them."""
+        names, inverse = np.unique(terms, return_inverse=True)
+        some = many > 0
+        return rows, some, (np.cumsum(many) - many)[some], names, inverse.astype(np.int32)
+
+    every, telling_ones, docs = [], [], list(docs)
+    for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 256)):
+        own = [place[docs[i]] for i in rows]
+        for i in rows:
+            docs[i] = None  # its memory is needed for the batch
+        for into, kept in ((every, own), (telling_ones, [t[tells[t]] for t in own])):
+            into.append(numbered(rows, np.array([len(t) for t in kept]), np.concatenate(kept)))
+    for batches, turns in ((telling_ones, epochs), (every, further)):
         for _ in range(turns):
             for k in rng.permutation(len(batches)):
-                rows, at, names, inverse = batches[k]
-                if at is None:
-                    d = (1 / (1 + np.exp(-w0)) - y[rows]) / len(rows)
-                else:
+                rows, some, at, names, inverse = batches[k]
+                z = np.full(len(rows), w0)
+                if len(at):
                     many = np.diff(np.append(at, len(inverse)))
                     vx = v[names][inverse]
                     s = np.add.reduceat(vx, at)
-                    z = w0 + np.add.reduceat(w[names][inverse], at) + 0.5 * ((s**2).sum(1) - np.add.reduceat((vx**2).sum(1), at))
-                    d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
-                    by = np.repeat(d, many)
+                    z[some] += np.add.reduceat(w[names][inverse], at) + 0.5 * ((s**2).sum(1) - np.add.reduceat((vx**2).sum(1), at))
+                d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
+                if len(at):
+                    by = np.repeat(d[some], many)
                     sums = lambda x: np.bincount(inverse, x, len(names))  # noqa: B023, E731
                     dw = sums(by) + 1e-5 * w[names]
                     dv = np.stack([sums(by * (np.repeat(s[:, f], many) - vx[:, f])) for f in range(factors)], 1) + 1e-4 * v[names]
@@ -142,7 +140,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, factors: int = 4, epochs: int =
     return Model(place, w0, w.astype(np.float32), v.astype(np.float32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", sample: int = 12_000, most_terms: int = 12_000_000, **how) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", sample: int = 12_000, most_terms: int = 10_000_000, **how) -> Model:
     """A model from at most `sample` labelled rows and `most_terms` terms; labels: doc_id and label (0 or 1)."""
     own = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(doc_id).agg(F.max(label).alias("__y"))
     turn = F.xxhash64(F.col(doc_id).cast("string"))
@@ -163,7 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     sizes = found.select("turn", F.octet_length("terms").alias("n")).groupBy("turn").agg(F.sum("n").alias("n")).select("turn", F.sum("n").over(Window.orderBy("turn")).alias("upto"))
     got = found.join(F.broadcast(sizes.where(F.col("upto") <= 4 * most_terms)), "turn").orderBy("turn", "y", "terms").toArrow()
     forget(found)
-    return train([np.frombuffer(t, "<u4") for t in got.column("terms").to_pylist()], got.column("y").to_numpy(), **how)
+    y, raw = got.column("y").to_numpy(), got.column("terms").to_pylist()
+    del got
+    return train([np.frombuffer(raw.pop(), "<u4") for _ in range(len(raw))][::-1], y, **how)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
