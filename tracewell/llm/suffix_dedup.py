@@ -51,12 +51,14 @@ from tracewell.llm.common import forget, slices, stored
 
 TRIGGER = 16
 #: Bytes of a phrase trigger, and one in how many places is one.
-PARSE, MODULUS = 8, 16
+PARSE, MODULUS = 8, 64
 #: About so many bytes of text fall into a bucket of documents.
 BUCKET_BYTES = 32 << 20
 BATCH_BYTES = 2 << 20
 MARKS = "dbucket int, docs binary, starts binary, wins binary, kind int"
 WHOLE, OPEN = 0, 1
+#: Columns that `remove` adds.
+MADE = ("n_bytes", "n_removed", "n_spans", "kept", "removed")
 MEETS, SETTLED = 0, 1
 
 
@@ -393,10 +395,9 @@ def remove(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str = "d
     so that kept is UTF-8 again.
     """
     marks, buckets = repeated(docs, size, text, doc_id)
-    made = ["n_bytes", "n_removed", "n_spans", "kept", "removed"]
-    rest = [c for c in docs.columns if c not in made]
+    rest = [c for c in docs.columns if c.lower() not in MADE]
     schema = T.StructType([docs.schema[c] for c in rest])
-    for c in made[:3]:
+    for c in MADE[:3]:
         schema = schema.add(c, "long")
     schema = schema.add("kept", "binary").add("removed", T.ArrayType(T.LongType()))
     own = docs.select(*rest, F.col(doc_id).cast("long").alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
