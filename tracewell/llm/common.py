@@ -7,9 +7,10 @@ fill a Python worker's memory.  A single text is never cut.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,14 @@ def slices(it: Iterator[pa.RecordBatch], column: str, size: int, row: int = 32)
             to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
             yield b.slice(at, to - at)
             at, before = to, int(ends[to - 1])
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return a worker's free memory at the end of a partition, as Spark keeps the worker for others."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_folder(spark: SparkSession) -> str:

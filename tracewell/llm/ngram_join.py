@@ -66,7 +66,7 @@ WORDS = 8
 SKETCH = "struct<" + ", ".join(f"s{i}:long" for i in range(WORDS)) + ">"
 #: Pairs that may be broadcast: 32 bytes each.
 FEW = 200_000
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -43,7 +43,7 @@ BITS = 20
 PREFIXES = (4, 5, 6)
 LETTER = np.zeros(256, bool)
 LETTER[0x80:] = LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 @dataclass
