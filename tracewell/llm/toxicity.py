@@ -81,7 +81,7 @@ def _ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return 2 * (part(a, na, p) + part(b, nb, p) + part(na - a, na, 1 - p) + part(nb - b, nb, 1 - p))
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, factors: int = 4, epochs: int = 25, further: int = 12, telling: float = 15.0, seed: int = 7) -> Model:
+def train(docs: list[np.ndarray], y: np.ndarray, factors: int = 4, epochs: int = 25, further: int = 20, telling: float = 15.0, seed: int = 7) -> Model:
     """A machine from the distinct terms and the label (0 or 1) of each row."""
     place = np.zeros(1 << BITS, np.int32)
     share = float(y.mean()) if len(y) else 0.0
@@ -100,7 +100,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, factors: int = 4, epochs: int =
     w0, w = float(np.log(share / (1 - share))), np.zeros(len(pace))
     v = rng.normal(0, 0.02, (len(w), factors)) * np.sqrt(pace)[:, None]
     # a term that tells nothing alone starts with a small step, which only a steady slope makes count
-    g0, gw, gv = 1e-6, np.where(tells, 1e-6, 1.0), np.repeat(np.where(tells, 1e-6, 3e-4)[:, None], factors, 1)
+    g0, gw, gv = 1e-6, np.where(tells, 1e-6, 1.0), np.repeat(np.where(tells, 1e-6, 1e-2)[:, None], factors, 1)
 
     def numbered(rows: np.ndarray, many: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, ...]:
         """A mini-batch: rows, rows that have terms, where each one's begin, the distinct terms, and the terms' numbers among them."""
