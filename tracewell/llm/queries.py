@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import byte_bpe, exact_topk, ngram_join, packing, pii, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
+from tracewell.llm import byte_bpe, collocations, exact_topk, ngram_join, packing, pii, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
 from tracewell.llm.common import stored, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -83,6 +83,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"), longest=4, least=30, top=2000, percent=80)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -94,6 +98,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op13_collocations": op13_collocations,
 }
 
 OP8_SQL = r"""
@@ -147,4 +152,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLE_SQL = {"op3_exact_topk": OP3_SQL, "op8_url_filters": OP8_SQL, "op10_quality_rules": OP10_SQL}
+OP13_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3), (4)) AS k(k)),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE k > 1 AND n >= 30),
+u AS (
+  SELECT c.lang, c.phrase, c.a, j, x.n AS l, y.n AS r, ((2000000::HUGEINT * c.a) // (x.n + y.n))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ')
+  JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:], ' ')),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+h AS (
+  SELECT c.lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM c, (VALUES (2), (3)) AS m(m), (VALUES (1), (2), (3)) AS i(i)
+  WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+s AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+n AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM s JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL = {"op3_exact_topk": OP3_SQL, "op8_url_filters": OP8_SQL, "op10_quality_rules": OP10_SQL, "op13_collocations": OP13_SQL}
