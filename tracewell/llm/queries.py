@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import byte_bpe, collocations, exact_topk, ngram_join, packing, pii, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
+from tracewell.llm import alignment, byte_bpe, collocations, exact_topk, ngram_join, packing, pii, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
 from tracewell.llm.common import stored, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -83,6 +83,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")  # the first holds the same vocabulary as byte_bpe_50k.json
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), a, b, public_tokenizers.PATTERN)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"), longest=4, least=30, top=2000, percent=80)
 
@@ -98,6 +105,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_alignment": op11_token_alignment,
     "op13_collocations": op13_collocations,
 }
 
