@@ -45,9 +45,9 @@ from pyspark.sql import functions as F
 from tracewell.llm import bpe, hashing
 from tracewell.llm.common import forget, slices, stored
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 19
 #: Links of a group above which its ids are counted before they are paired, and pairs that are open at once.
-WIDE, OPEN = 256, 1 << 21
+WIDE, OPEN = 256, 1 << 19
 #: Bits of a B id in a pair.
 B_BITS = 16
 #: Pairs in a packed row at most, and about so many bytes of text for each bucket of pairs.
