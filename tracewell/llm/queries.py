@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import alignment, byte_bpe, collocations, exact_topk, ngram_join, packing, pii, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
+from tracewell.llm import alignment, byte_bpe, collocations, exact_topk, ngram_join, nn_descent, packing, pii, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
 from tracewell.llm.common import stored, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -90,6 +90,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), a, b, public_tokenizers.PATTERN)
 
 
+def op12_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"), longest=4, least=30, top=2000, percent=80)
 
@@ -106,6 +110,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
     "op11_token_alignment": op11_token_alignment,
+    "op12_nn_descent": op12_nn_descent,
     "op13_collocations": op13_collocations,
 }
 
