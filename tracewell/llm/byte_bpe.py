@@ -31,7 +31,7 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def _adds(docs: DataFrame, source: str, out: str, fn) -> DataFrame:
-    rest = [c for c in docs.columns if c != out]
+    rest = [c for c in docs.columns if c.lower() != out.lower()]
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(out, T.BinaryType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

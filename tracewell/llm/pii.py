@@ -174,7 +174,7 @@ def find(text: str, anchors) -> list[tuple[int, int, int]]:
 
 def scan(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """Add `out`, an array of (kind, start, end), to docs; offsets in code points."""
-    rest = [c for c in docs.columns if c != out]
+    rest = [c for c in docs.columns if c.lower() != out.lower()]
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(out, T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import hashing
-from tracewell.llm.common import forget, slices, stored
+from tracewell.llm.common import forget, fresh, slices, stored
 
 TRIGGER = 16
 #: Bytes of a phrase trigger, and one in how many places is one.
@@ -325,12 +325,12 @@ def _whole_characters(raw: np.ndarray, cover: np.ndarray) -> np.ndarray:
     return np.repeat(np.logical_and.reduceat(cover, at), np.diff(np.append(at, len(raw))))
 
 
-def _remove(size: int, rest: list[str], characters: bool):
+def _remove(size: int, rest: list[str], characters: bool, doc_id: str, text: str):
     def fn(docs: pa.Table, marks: pa.Table) -> pa.Table:
         gone = _by_doc(marks, WHOLE)
         n_bytes, n_removed, n_spans, kept, spans = [], [], [], [], []
-        for doc, text in zip(docs.column("__id").to_pylist(), docs.column("__text").to_pylist(), strict=True):
-            raw = np.frombuffer(text.encode(), np.uint8)
+        for doc, content in zip(docs.column(doc_id).to_pylist(), docs.column(text).to_pylist(), strict=True):
+            raw = np.frombuffer(content.encode(), np.uint8)
             own = gone.get(doc)
             if own is None:
                 cover = np.zeros(len(raw), bool)
@@ -400,6 +400,7 @@ def remove(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str = "d
     for c in MADE[:3]:
         schema = schema.add(c, "long")
     schema = schema.add("kept", "binary").add("removed", T.ArrayType(T.LongType()))
-    own = docs.select(*rest, F.col(doc_id).cast("long").alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    own = own.withColumn("dbucket", _bucket_column("__id", "__text", buckets))
-    return own.groupBy("dbucket").cogroup(marks.groupBy("dbucket")).applyInArrow(_remove(size, rest, characters), schema)
+    who, what, bucket = (fresh(docs, x) for x in ("__id", "__text", "dbucket"))
+    own = docs.select(*rest, F.col(doc_id).cast("long").alias(who), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(what))
+    own = own.withColumn(bucket, _bucket_column(who, what, buckets))
+    return own.groupBy(bucket).cogroup(marks.groupBy("dbucket")).applyInArrow(_remove(size, rest, characters, who, what), schema)

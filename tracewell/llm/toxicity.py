@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     """Add the probability `out` of label 1."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded: 2**BITS places and weights
-    rest = [c for c in docs.columns if c != out]
+    rest = [c for c in docs.columns if c.lower() != out.lower()]
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(out, T.DoubleType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

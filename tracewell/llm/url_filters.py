@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ascii_lower
+from tracewell.llm.common import ascii_lower, fresh
 
 
 def host_of(url: Column) -> Column:
@@ -90,17 +90,19 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     """Add host, path, rule and verdict to pages."""
     spark = pages.sparkSession
     fragments = fragments or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    made = ("host", "path", "rule", "verdict")
+    rest = [c for c in pages.columns if c.lower() not in made]
     link = F.col(url)
-    split = pages.select(*({url, *rest} if url in ("host", "path", "rule", "verdict") else rest), host_of(link).alias("__host"), path_of(link).alias("__path"))
-    active = active_rules(split.select(F.col("__host").alias("host")).distinct(), rules, fragments).withColumnRenamed("host", "__host").withColumnRenamed("active", "__active")
-    fits = F.filter("__active", lambda r: F.startswith(F.col("__path"), r["rule_path"]))
+    host, path, own, top = (fresh(pages, f"__{x}") for x in ("host", "path", "active", "best"))
+    split = pages.select(*rest, host_of(link).alias(host), path_of(link).alias(path))
+    active = active_rules(split.select(F.col(host).alias("host")).distinct(), rules, fragments).select(F.col("host").alias(host), F.col("active").alias(own))
+    fits = F.filter(own, lambda r: F.startswith(F.col(path), r["rule_path"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), r["host_size"].alias("host_size"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    joined = split.join(active, "__host", "left").withColumn("__best", best)
+    joined = split.join(active, host, "left").withColumn(top, best)
     return joined.select(
         *rest,
-        F.col("__host").alias("host"),
-        F.col("__path").alias("path"),
-        F.col("__best")["rule"].alias("rule"),
-        F.coalesce(F.col("__best")["verdict"], F.lit(default)).alias("verdict"),
+        F.col(host).alias("host"),
+        F.col(path).alias("path"),
+        F.col(top)["rule"].alias("rule"),
+        F.coalesce(F.col(top)["verdict"], F.lit(default)).alias("verdict"),
     )
