@@ -27,8 +27,8 @@ def test_stages_keep_columns_and_rows(spark, tmp_path):
 
     labels(spark, tmp_path)
     texts = {100: None, 101: "", 102: "a b", 103: "one two three four five six " * 30, 104: "one two three four five six " * 30, 105: "password=abcdef12 " + "x" * 100}
-    rows = [(i, t, "en", "s", len(t or ""), "m", 1.5, 7) for i, t in texts.items() for _ in range(2)]
-    docs = spark.createDataFrame(rows, SCHEMA + ", __score string, __secrets double, kept int")
+    rows = [(i, t, "en", "s", len(t or ""), "m", 1.5, 7, 8, 9, 10) for i, t in texts.items() for _ in range(2)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", __score string, __secrets double, kept int, dbucket int, __ID int, Secrets int")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
@@ -37,4 +37,4 @@ def test_stages_keep_columns_and_rows(spark, tmp_path):
             assert sorted(r.doc_id for r in out.collect()) == [100, 101, 102, 103, 105]
     left = {r.doc_id: r for r in docs.collect()}
     assert left[100].text is None and left[101].text == "" and left[102].text == "a b"
-    assert "[SECRET]" in left[105].text and left[105]["__score"] == "m" and left[105]["__secrets"] == 1.5 and left[102].kept == 7
+    assert "[SECRET]" in left[105].text and left[105]["__score"] == "m" and left[105]["__secrets"] == 1.5 and left[102].kept == 7 and left[102].dbucket == 8 and left[102]["__ID"] == 9 and left[102].Secrets == 10

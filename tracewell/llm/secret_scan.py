@@ -13,8 +13,9 @@ Everything is one projection of built-in functions over the scan.
   with digits, mixed); windows that touch a placeholder word do not count.  The
   allow-list drops candidates without both letters and digits, UUIDs, and those
   paths and identifiers of which each segment is short, a number, words, or low
-  in window entropy itself.  Base spans always stay; a candidate that overlaps
-  one adds nothing.
+  in window entropy itself.  Base spans always stay; a candidate is what an
+  access or hex span leaves of its run, and one that overlaps an assignment adds
+  nothing.
 
 No pattern repeats a group without a bound, on which the engine would recurse;
 overlaps and cuts go through sorted scans, so a text of many spans takes about
@@ -33,12 +34,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import let
+from tracewell.llm.common import fresh, let
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Letters run on to the end of their run, so a shorter one cannot match later in it.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
+#: Both; where they meet, the access key is taken first.
+BASE = f"{ACCESS}|{HEX}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -139,7 +142,7 @@ def _apart(candidates: Column, taken: Column) -> Column:
 
 def _suspicious(c: Column) -> Column:
     word = c["match"]
-    allowed = F.rlike(word, F.lit(f"{ACCESS}|{HEX}"))  # those are base spans
+    allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | F.rlike(word, F.lit(pattern))
     limit = F.lit(None).cast("double")
@@ -151,20 +154,10 @@ def _suspicious(c: Column) -> Column:
     return F.when(allowed, F.lit(False)).when(~hot, F.lit(False)).otherwise(~usual)
 
 
-def spans(text: Column) -> Column:
-    """All spans of a text, by start, then kind: array of (start, kind number, end)."""
-
-    def numbered(found: Column, k: int) -> Column:
-        return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
-
-    assigned = F.filter(located(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], "^" + ASSIGN, 2)) >= 6)
-
-    def rest(a: Column, runs: Column) -> Column:
-        within = lambda pattern: F.when(F.size(runs) > 0, located(text, pattern))  # noqa: E731  access and hex lie in such a run
-        more = [numbered(F.coalesce(x, F.array().cast("array<struct<start:int,end:int,match:string>>")), k) for k, x in ((1, within(ACCESS)), (2, within(HEX)))]
-        return F.sort_array(F.concat(numbered(a, 0), *more, numbered(F.filter(_apart(runs, a), _suspicious), 3)))
-
-    return let(assigned, lambda a: let(located(text, CANDIDATE), lambda runs: rest(a, runs)))
+def _blanked(text: Column) -> Column:
+    """The text with its access and hex spans as blanks, so that what stands beside them in a run is a candidate of its own."""
+    gaps, hits = F.split(text, BASE, -1), F.regexp_extract_all(text, F.lit(BASE), F.lit(0))
+    return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(F.repeat(F.lit(" "), F.length(h)), F.lit("")))), "")
 
 
 def joined(found: Column) -> Column:
@@ -174,8 +167,26 @@ def joined(found: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
-    """Add the array `out` of spans to docs."""
-    return docs.withColumn(out, spans(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    """Add the array `out` of spans (start, kind number, end), by start, then kind, to docs.
+
+    One projection after another, each of plain expressions over the one before.
+    """
+    own, assigned, runs, beside = (fresh(docs, f"__{x}") for x in ("own", "assigned", "runs", "beside"))
+    rest = [c for c in docs.columns if c.lower() != out.lower()]
+
+    def numbered(found: Column, k: int) -> Column:
+        return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
+
+    def within(pattern: str, k: int) -> Column:  # access and hex lie in a run
+        return F.when(F.size(runs) > 0, numbered(located(F.col(own), pattern), k)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+
+    found = docs.select(*rest, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(own))
+    found = found.withColumns({assigned: F.filter(located(F.col(own), ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], "^" + ASSIGN, 2)) >= 6), runs: located(F.col(own), CANDIDATE)})
+    cut = F.exists(runs, lambda c: F.rlike(c["match"], F.lit(BASE)))
+    found = found.withColumn(beside, F.when(cut, located(_blanked(F.col(own)), CANDIDATE)).otherwise(F.col(runs)))
+    found = found.withColumn(beside, F.filter(_apart(F.col(beside), F.col(assigned)), _suspicious))
+    found = found.withColumn(out, F.sort_array(F.concat(numbered(F.col(assigned), 0), within(ACCESS, 1), within(HEX, 2), numbered(F.col(beside), 3))))
+    return found.select(*rest, out)
 
 
 def _cut(blocks: Column, a: Column, b: Column, block: int) -> Column:
