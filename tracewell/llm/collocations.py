@@ -43,7 +43,7 @@ from tracewell.llm import hashing
 from tracewell.llm.bpe import LOWER
 from tracewell.llm.common import forget, slices, stored
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 #: Bits of the bitmap that prunes a level: 8 MB.
 BITS = 26
 SALTS = 32
