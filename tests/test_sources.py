@@ -74,6 +74,30 @@ def test_snapshots(spark, tmp_path):
         sinks.read_snapshot(spark, folder, 1)
 
 
+def test_interleaved_snapshots(spark, tmp_path, monkeypatch):
+    """Two writers that both saw the same head: one snapshot, of the first to note it, and no rows of the other."""
+    folder, note = f"{tmp_path}/s", sinks._note
+    sinks.write_snapshot(spark.range(2), folder, None)
+
+    def late(session, name, value):
+        monkeypatch.setattr(sinks, "_note", note)
+        assert sinks.write_snapshot(spark.range(30), folder, 1) == 2  # the other writer is faster
+        note(session, name, value)
+
+    monkeypatch.setattr(sinks, "_note", late)
+    with pytest.raises(ValueError):
+        sinks.write_snapshot(spark.range(7), folder, 1)
+    assert sinks.head(spark, folder) == 2 and sinks.read_snapshot(spark, folder).count() == 30
+    assert len([x for x in (tmp_path / "s" / "00000002").iterdir() if x.name.startswith("data")]) == 1
+
+
+def test_files_that_are_not_opened(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"\x7fELF" + b"0" * 100)
+    (tmp_path / "b").write_bytes(b"\x7fELF" + b"0" * 10)
+    got = {r.path: (r.hash_status, r.kind) for r in sources.inventory(spark, str(tmp_path), most_bytes=5, most_opened=50).collect()}
+    assert got == {"a": ("too_large", None), "b": ("too_large", "elf")}
+
+
 def test_bounded_text(spark, tmp_path):
     df = spark.createDataFrame([("short",), ("x" * 50,)], "t string")
     assert [r.t for r in sinks.write_text(df, "t", f"{tmp_path}/t", 10).collect()] == ["x" * 50]

@@ -14,13 +14,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def holds(condition: Column) -> Column:
+    """A condition, false where it is null."""
+    return F.coalesce(condition, F.lit(False))
+
+
+def fails(condition: Column) -> Column:
+    """That a condition does not hold: true where it is null."""
+    return ~holds(condition)
+
+
 def ladder(steps: list[tuple[Column, str]], rest: str) -> Column:
-    first, *more = steps
+    first, *more = [(holds(c), s) for c, s in steps]
     return reduce(lambda c, s: c.when(s[0], s[1]), more, F.when(*first)).otherwise(rest)
 
 
 def artifacts(incomplete: Column, contradiction: Column, covered: Column, unknown: Column, changes: Column) -> Column:
-    return ladder([(incomplete, "truncated"), (contradiction, "contradiction"), (~covered | unknown, "unknown"), (~changes, "unchanged")], "changed")
+    return ladder([(incomplete, "truncated"), (contradiction, "contradiction"), (fails(covered) | holds(unknown), "unknown"), (fails(changes), "unchanged")], "changed")
 
 
 def process(truncated: Column, changed: Column, unknown: Column) -> Column:
@@ -28,7 +38,7 @@ def process(truncated: Column, changed: Column, unknown: Column) -> Column:
 
 
 def function(truncated: Column, ambiguous: Column, unknown: Column, mismatched: Column, changed: Column) -> Column:
-    return ladder([(truncated, "truncated"), (ambiguous | unknown, "unknown"), (mismatched | changed, "changed")], "unchanged")
+    return ladder([(truncated, "truncated"), (holds(ambiguous) | holds(unknown), "unknown"), (holds(mismatched) | holds(changed), "changed")], "unchanged")
 
 
 def web_capture(changed: Column, unknown: Column) -> Column:
@@ -40,11 +50,11 @@ def web_dimension(changed: Column, complete: Column) -> Column:
 
 
 def scenario(changed: Column, unknown: Column, eligible: Column) -> Column:
-    return ladder([(changed, "changed"), (unknown | ~eligible, "unknown")], "unchanged")
+    return ladder([(changed, "changed"), (holds(unknown) | fails(eligible), "unknown")], "unchanged")
 
 
 def bundle(same_digest: Column, changes: Column, unresolved: Column) -> Column:
-    return ladder([(same_digest & ~changes, "unchanged"), (unresolved, "unknown")], "changed")
+    return ladder([(same_digest & fails(changes), "unchanged"), (unresolved, "unknown")], "changed")
 
 
 def correlation(truncated: Column, unresolved: Column, contradicted: Column) -> Column:
@@ -70,20 +80,20 @@ def closure(reasons: Column, hard: Column, soft: Column) -> Column:
 
 def semantic_query(available: Column, cut: Column, candidates: Column, seeds: Column, unmet: Column) -> Column:
     """seeds: how many nodes the query starts from."""
-    return ladder([(~available, "unsupported"), (cut, "truncated"), (candidates, "ambiguous"), (seeds == 0, "no-match"), (unmet, "partial"), (seeds > 1, "ambiguous")], "found")
+    return ladder([(fails(available), "unsupported"), (cut, "truncated"), (candidates, "ambiguous"), (seeds == 0, "no-match"), (unmet, "partial"), (seeds > 1, "ambiguous")], "found")
 
 
 def trace(left: Column, right: Column, same_order: Column) -> Column:
     """left, right: pass, fail or unknown."""
-    return ladder([((left == "unknown") | (right == "unknown"), "unknown"), ((left == "pass") & (right == "pass"), "equivalent"), ((left != right) | ~same_order, "different")], "nonconforming")
+    return ladder([((left == "unknown") | (right == "unknown"), "unknown"), ((left == "pass") & (right == "pass"), "equivalent"), ((left != right) | fails(same_order), "different")], "nonconforming")
 
 
 def trust_gate(mismatch: Column, truncated: Column, unknown: Column) -> Column:
-    return ladder([(mismatch | truncated, "fail"), (unknown, "unknown")], "pass")
+    return ladder([(holds(mismatch) | holds(truncated), "fail"), (unknown, "unknown")], "pass")
 
 
 def matched_item(differs: Column, complete: Column, dimension: Column) -> Column:
-    return ladder([(differs | (complete & dimension), "changed"), (complete, "unchanged")], "unknown")
+    return ladder([(holds(differs) | holds(complete & dimension), "changed"), (complete, "unchanged")], "unknown")
 
 
 def one_sided_item(candidates: Column, complete: Column, side: str) -> Column:
@@ -94,7 +104,7 @@ def one_sided_item(candidates: Column, complete: Column, side: str) -> Column:
 def source_mapping(evaluated: Column, exact: Column, top: Column, weak: Column, complete: Column) -> Column:
     """exact: candidates of equal content; top: candidates tied on the best path; weak: whether there are others."""
     return ladder(
-        [(~evaluated, "unknown"), (exact == 1, "unchanged"), (exact > 1, "duplicated"), (top == 1, "unknown"), (top > 1, "split"), (weak, "unknown"), (complete, "removed")],
+        [(fails(evaluated), "unknown"), (exact == 1, "unchanged"), (exact > 1, "duplicated"), (top == 1, "unknown"), (top > 1, "split"), (weak, "unknown"), (complete, "removed")],
         "unknown",
     )
 
@@ -106,7 +116,7 @@ def call_path(capped: Column, found: Column, exhaustive: Column) -> Column:
 def obligations(total: Column, failed: Column, unknown: Column, verified: Column, limited: Column) -> Column:
     """verified: whether all required ones are; a limitation makes anything but a failure unknown."""
     own = ladder([(total == 0, "unknown"), (failed, "failed"), (unknown, "unknown"), (verified, "ready")], "open")
-    return F.when(limited & (own != "failed"), "unknown").otherwise(own)
+    return F.when(holds(limited) & (own != "failed"), "unknown").otherwise(own)
 
 
 def worst(status: Column, order: list[str]) -> Column:

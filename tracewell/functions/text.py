@@ -34,11 +34,11 @@ def path(raw: Column) -> Column:
     return F.when(~F.array_contains(parts, "..") & (F.size(parts) > 0), F.array_join(parts, "/"))
 
 
-def path_suffixes(whole: Column, most: int = 128) -> Column:
-    """The suffixes of a path, the longest first."""
+def path_suffixes(whole: Column) -> Column:
+    """All suffixes of a path, the longest first."""
     parts = F.split(whole, "/")
     n = F.size(parts)
-    return F.transform(F.sequence(F.greatest(F.lit(1), n - most + 1), n), lambda i: F.array_join(F.slice(parts, i, n), "/"))
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "/"))
 
 
 def extension(whole: Column) -> Column:

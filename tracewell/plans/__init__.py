@@ -1 +1 @@
-from tracewell.plans import captures, catalog, evidence, fields, graphs, verdicts  # noqa: F401  all register their queries
+from tracewell.plans import captures, catalog, evidence, fields, graphs, machines, verdicts  # noqa: F401  all register their queries

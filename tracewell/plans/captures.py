@@ -22,12 +22,12 @@ def comparable_payloads(spark, d):
     return a.join(b, ["user_id", "event_type"]).select("user_id", "event_type", (F.col("a") == F.col("b")).alias("same"))
 
 
-@query("""SELECT event_id, 'event' AS source, user_id AS subject_id, epoch_us(ts) // 1000 AS at_ms, event_type AS payload FROM events WHERE event_type IN ('signup', 'login')
+@query("""SELECT event_id, 'event' AS source, user_id AS subject_id, epoch_us(ts) // 1000 AS at_ms, event_type AS payload FROM events WHERE event_type IN ('signup', 'error')
 UNION ALL SELECT o_orderkey, 'order', o_custkey, epoch_us(o_orderdate) // 1000, o_orderstatus FROM orders WHERE o_orderpriority LIKE '1%'""")
 def observations(spark, d):
     """Records of two journals in one form: source, subject, time and payload."""
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
-    e = table(spark, d, "events").where("event_type IN ('signup', 'login')").select("event_id", F.lit("event").alias("source"), F.col("user_id").alias("subject_id"), ms("ts").alias("at_ms"), F.col("event_type").alias("payload"))
+    e = table(spark, d, "events").where("event_type IN ('signup', 'error')").select("event_id", F.lit("event").alias("source"), F.col("user_id").alias("subject_id"), ms("ts").alias("at_ms"), F.col("event_type").alias("payload"))
     o = table(spark, d, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_orderkey").alias("event_id"), F.lit("order").alias("source"), F.col("o_custkey").alias("subject_id"), ms("o_orderdate").alias("at_ms"), F.col("o_orderstatus").alias("payload"))
     return e.unionByName(o)
 
@@ -131,13 +131,13 @@ def renumbered_samples(spark, d):
     return li.join(r, ["l_orderkey", "l_partkey"]).select("l_orderkey", "l_linenumber", "l_suppkey", "pid", (F.floor(F.col("l_quantity") / 10) * 10).cast("long").alias("bucket"))
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS use FROM events) SELECT event_id, CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' WHEN 'login' THEN 'c' END AS route, CASE WHEN event_type NOT IN ('click', 'view', 'login') THEN 'unmatched' WHEN use > CASE event_type WHEN 'click' THEN 5 WHEN 'view' THEN 1 ELSE 3 END THEN 'exhausted' ELSE 'matched' END AS outcome FROM r""")
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS use FROM events) SELECT event_id, CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' WHEN 'error' THEN 'c' END AS route, CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN 'unmatched' WHEN use > CASE event_type WHEN 'click' THEN 5 WHEN 'view' THEN 1 ELSE 3 END THEN 'exhausted' ELSE 'matched' END AS outcome FROM r""")
 def shim_routes(spark, d):
     """Commands find a route by their type; each route serves a user a number of times."""
     use = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
     t = F.col("event_type")
-    limit = F.when(t == "click", 5).when(t == "view", 1).when(t == "login", 3)
-    route = F.when(t == "click", "a").when(t == "view", "b").when(t == "login", "c")
+    limit = F.when(t == "click", 5).when(t == "view", 1).when(t == "error", 3)
+    route = F.when(t == "click", "a").when(t == "view", "b").when(t == "error", "c")
     return table(spark, d, "events").withColumn("use", use).select("event_id", route.alias("route"), F.when(limit.isNull(), "unmatched").when(F.col("use") > limit, "exhausted").otherwise("matched").alias("outcome"))
 
 
@@ -151,11 +151,11 @@ def paired_experiment(spark, d):
     return g.groupBy("event_type").agg(F.count("*").alias("subjects"), F.count_if(F.col("a") == F.col("b")).alias("same"), F.count_if(F.col("a") < F.col("b")).alias("more"), F.count_if(F.col("a") > F.col("b")).alias("less"))
 
 
-@query("""WITH a AS (SELECT user_id, min(ts) AS armed FROM events WHERE event_type = 'login' GROUP BY 1) SELECT user_id, count(*) AS seen, count(*) FILTER (event_type = 'purchase') AS purchases FROM events JOIN a USING (user_id) WHERE ts >= armed AND ts < armed + INTERVAL 3 DAYS GROUP BY 1""")
+@query("""WITH a AS (SELECT user_id, min(ts) AS armed FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT user_id, count(*) AS seen, count(*) FILTER (event_type = 'purchase') AS purchases FROM events JOIN a USING (user_id) WHERE ts >= armed AND ts < armed + INTERVAL 3 DAYS GROUP BY 1""")
 def observation_windows(spark, d):
-    """What three days from each user's first login on show."""
+    """What three days from each user's first signup on show."""
     e = table(spark, d, "events")
-    a = e.where("event_type = 'login'").groupBy("user_id").agg(F.min("ts").alias("armed"))
+    a = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("armed"))
     j = e.join(a, "user_id").where("ts >= armed AND ts < armed + INTERVAL 3 DAYS")
     return j.groupBy("user_id").agg(F.count("*").alias("seen"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
 
@@ -233,14 +233,14 @@ def completion_ledger(spark, d):
 
 @query("""WITH s AS (SELECT user_id, min(event_id) AS t FROM events WHERE event_type = 'signup' GROUP BY 1),
 c AS (SELECT user_id, min(event_id) AS t FROM events e JOIN s USING (user_id) WHERE event_type = 'click' AND event_id > s.t GROUP BY 1), v AS (SELECT user_id, min(event_id) AS t FROM events e JOIN s USING (user_id) WHERE event_type = 'view' AND event_id > s.t GROUP BY 1),
-r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events e JOIN s USING (user_id) WHERE event_type = 'login' AND event_id > s.t),
+r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events e JOIN s USING (user_id) WHERE event_type = 'error' AND event_id > s.t),
 m AS (SELECT u.user_id, least(CASE WHEN c.t IS NOT NULL AND v.t IS NOT NULL THEN greatest(c.t, v.t) END, r.event_id) AS t FROM s u LEFT JOIN c USING (user_id) LEFT JOIN v USING (user_id) LEFT JOIN (SELECT user_id, event_id FROM r WHERE i = 2 AND n <= 12) r USING (user_id)),
 p AS (SELECT user_id, min(event_id) AS t FROM events e JOIN m USING (user_id) WHERE event_type = 'purchase' AND event_id > m.t GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events)
 SELECT user_id, p.t AS at, CASE WHEN p.t IS NULL THEN 'unmatched' WHEN p.t - s.t > 500 THEN 'deadline' ELSE 'matched' END AS outcome FROM u LEFT JOIN p USING (user_id) LEFT JOIN s USING (user_id)""")
 def trigger_tree(spark, d):
-    """A signup, then either a click and a view or two to twelve logins, then a purchase, within 500 events of the signup."""
+    """A signup, then either a click and a view or two to twelve errors, then a purchase, within 500 events of the signup."""
     e = table(spark, d, "events").select("user_id", "event_id", "event_type")
-    tree = ("sequence", ("event", "signup"), ("any", ("all", ("event", "click"), ("event", "view")), ("repeat", "login", 2, 12)), ("event", "purchase"))
+    tree = ("sequence", ("event", "signup"), ("any", ("all", ("event", "click"), ("event", "view")), ("repeat", "error", 2, 12)), ("event", "purchase"))
     found = trace.triggered(e, "user_id", "event_id", "event_type", tree, e.select("user_id").distinct().withColumn("since", F.lit(-1).cast("long")))
     start = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min("event_id").alias("start"))
     outcome = F.when(F.col("at").isNull(), "unmatched").when(F.col("at") - F.col("start") > 500, "deadline").otherwise("matched")

@@ -242,7 +242,7 @@ def first_divergence_by_user(spark, d):
     return trace.divergence_by_key(left, right, "user_id", "position", "event_type").join(pairs, "user_id").select("user_id", "next_id", "position", "left_value", "right_value")
 
 
-_EVENTS = "e AS (SELECT user_id, event_id, ts, event_type, (props->>'$.k')::BIGINT % 3 AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+_EVENTS = "e AS (SELECT user_id, event_id, ts, event_type, nullif((props->>'$.k')::BIGINT % 4, 3) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
 
 
 @query(f"""WITH RECURSIVE {_EVENTS}, r AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 'new' AS state, 0 AS matched FROM events UNION ALL
@@ -256,10 +256,10 @@ def fsm_replay(spark, d):
 
 
 SESSIONS = {
-    "start": "out", "visits": {"out": 1_000_000, "in": 30}, "max_transitions": 40,
+    "start": "out", "visits": {"out": 1_000_000, "in": 8}, "max_transitions": 15,
     "moves": [
-        {"id": "enter", "from": "out", "to": "in", "on": "login", "priority": 1, "captures": {"c": "k"}, "max_uses": 5},
-        {"id": "enter_late", "from": "out", "to": "in", "on": "login", "priority": 2, "captures": {"c": "k"}},
+        {"id": "enter", "from": "out", "to": "in", "on": "signup", "priority": 1, "captures": {"c": "k"}, "max_uses": 5},
+        {"id": "enter_late", "from": "out", "to": "in", "on": "signup", "priority": 2, "captures": {"c": "k"}},
         {"id": "buy", "from": "in", "to": "in", "on": "purchase", "guards": {"c": "k"}},
         {"id": "leave", "from": "in", "to": "out", "on": "click"},
     ],
@@ -267,10 +267,10 @@ SESSIONS = {
 
 
 @query(f"""WITH RECURSIVE {_EVENTS}, r AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS outcome, 'out' AS state, NULL::BIGINT AS c, 0 AS u, 0 AS visits, 0 AS moves, NULL::VARCHAR AS transition FROM events UNION ALL
-SELECT user_id, n, event_id, outcome, CASE WHEN outcome = 'matched' THEN CASE event_type WHEN 'click' THEN 'out' ELSE 'in' END ELSE state END, CASE WHEN outcome = 'matched' AND event_type = 'login' THEN k ELSE c END, u + CASE WHEN outcome = 'matched' AND event_type = 'login' AND u < 5 THEN 1 ELSE 0 END,
-visits + CASE WHEN outcome = 'matched' AND event_type <> 'click' THEN 1 ELSE 0 END, moves + CASE WHEN outcome = 'matched' THEN 1 ELSE 0 END, CASE WHEN outcome = 'matched' THEN CASE event_type WHEN 'login' THEN CASE WHEN u < 5 THEN 'enter' ELSE 'enter_late' END WHEN 'purchase' THEN 'buy' ELSE 'leave' END END
-FROM (SELECT r.user_id, e.n, e.event_id, e.event_type, e.k, state, c, u, visits, moves, CASE WHEN event_type NOT IN ('login', 'purchase', 'click') THEN 'unmatched' WHEN (event_type = 'login') <> (state = 'out') THEN 'invalid_state'
-WHEN event_type = 'purchase' AND c IS DISTINCT FROM e.k THEN 'guard_failed' WHEN moves >= 40 THEN 'transition_exhausted' WHEN event_type <> 'click' AND visits >= 30 THEN 'limit_exhausted' WHEN event_type = 'login' AND e.k IS NULL THEN 'invalid_capture' ELSE 'matched' END AS outcome
+SELECT user_id, n, event_id, outcome, CASE WHEN outcome = 'matched' THEN CASE event_type WHEN 'click' THEN 'out' ELSE 'in' END ELSE state END, CASE WHEN outcome = 'matched' AND event_type = 'signup' THEN k ELSE c END, u + CASE WHEN outcome = 'matched' AND event_type = 'signup' AND u < 5 THEN 1 ELSE 0 END,
+visits + CASE WHEN outcome = 'matched' AND event_type <> 'click' THEN 1 ELSE 0 END, moves + CASE WHEN outcome = 'matched' THEN 1 ELSE 0 END, CASE WHEN outcome = 'matched' THEN CASE event_type WHEN 'signup' THEN CASE WHEN u < 5 THEN 'enter' ELSE 'enter_late' END WHEN 'purchase' THEN 'buy' ELSE 'leave' END END
+FROM (SELECT r.user_id, e.n, e.event_id, e.event_type, e.k, state, c, u, visits, moves, CASE WHEN event_type NOT IN ('signup', 'purchase', 'click') THEN 'unmatched' WHEN (event_type = 'signup') <> (state = 'out') THEN 'invalid_state'
+WHEN event_type = 'purchase' AND c IS DISTINCT FROM e.k THEN 'guard_failed' WHEN moves >= 15 THEN 'transition_exhausted' WHEN event_type <> 'click' AND visits >= 8 THEN 'limit_exhausted' WHEN event_type = 'signup' AND e.k IS NULL THEN 'invalid_capture' ELSE 'matched' END AS outcome
 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
 SELECT user_id, event_id, outcome, transition, state FROM r WHERE n > 0""")
 def replay_outcomes(spark, d):
@@ -280,9 +280,9 @@ def replay_outcomes(spark, d):
 
 
 def _timed(spark, d):
-    """Events with an order text: the time, then the id."""
+    """Events with an order text: the time, then the id; k is null in a quarter of them."""
     at = F.concat_ws("/", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lpad(F.col("event_id").cast("string"), 15, "0"))
-    return table(spark, d, "events").select("user_id", at.alias("at"), "event_type", (F.get_json_object("props", "$.k").cast("long") % 3).alias("k"))
+    return table(spark, d, "events").select("user_id", at.alias("at"), "event_type", F.nullif(F.get_json_object("props", "$.k").cast("long") % 4, F.lit(3).cast("long")).alias("k"))
 
 
 def _moves(spark, d):

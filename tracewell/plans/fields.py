@@ -189,10 +189,10 @@ def name_references(spark, d):
     return s.join(refs, "address", "left").select("name", "address", F.coalesce("refs", F.lit(0).cast("long")).alias("refs"), "first_ref")
 
 
-@query("""SELECT p_partkey, l_orderkey, o_custkey AS procedure FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey WHERE contains(p_type, 'STEEL') AND l_quantity > 48""")
+@query("""SELECT p_partkey, l_orderkey, o_custkey AS procedure FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey WHERE contains(p_type, 'PROMO') AND l_quantity > 48""")
 def literal_traces(spark, d):
     """From a literal in a part's type by its references to the customer whose order contains them."""
-    p = table(spark, d, "part").where(F.contains("p_type", F.lit("STEEL"))).select("p_partkey")
+    p = table(spark, d, "part").where(F.contains("p_type", F.lit("PROMO"))).select("p_partkey")
     x = table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey")
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("procedure"))
     return p.join(x, "p_partkey").join(o, "l_orderkey").select("p_partkey", "l_orderkey", "procedure")

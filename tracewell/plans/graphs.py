@@ -61,7 +61,7 @@ def part_cycles(spark, d):
     return graph.closure(e, 8).groupBy(F.col("src").alias("node")).agg(F.min(F.when(F.col("src") == F.col("dst"), F.col("depth"))).alias("cycle"), F.count("*").alias("reachable"))
 
 
-_TREE = """x AS (SELECT event_id AS tm, user_id * 100000 + event_id // 3 AS pid, (user_id * 100000 + event_id // 12) AS ppid, CASE event_type WHEN 'signup' THEN 'spawn' WHEN 'login' THEN 'spawn' WHEN 'view' THEN 'reparent' WHEN 'click' THEN 're_exec' ELSE 'exit' END AS type, event_id % 5 AS code FROM events),
+_TREE = """x AS (SELECT event_id AS tm, user_id * 100000 + event_id // 3 AS pid, (user_id * 100000 + event_id // 12) AS ppid, CASE event_type WHEN 'signup' THEN 'spawn' WHEN 'error' THEN 'spawn' WHEN 'view' THEN 'reparent' WHEN 'click' THEN 're_exec' ELSE 'exit' END AS type, event_id % 5 AS code FROM events),
 f AS (SELECT pid, min(tm) AS start FROM x WHERE type = 'spawn' GROUP BY 1), l AS (SELECT x.*, f.start, coalesce(x.tm >= f.start, false) AS late FROM x LEFT JOIN f USING (pid)),
 c AS (SELECT ppid AS pid, count(*) AS children FROM x WHERE type = 'spawn' GROUP BY 1),
 g AS (SELECT pid, max(start) AS spawned, arg_min(ppid, tm) FILTER (type = 'spawn') AS p0, max(tm) FILTER (type = 'exit' AND late) AS exited, arg_max(code, tm) FILTER (type = 'exit' AND late) AS code, coalesce(bool_or(type = 're_exec' AND late), false) AS re_exec,
@@ -73,7 +73,7 @@ def process_tree(spark, d):
     """Three events in a row of a user are one process, of the event types' meaning; ids are times."""
     t = F.col("event_type")
     pid = lambda n: F.col("user_id") * 100000 + F.floor(F.col("event_id") / n)
-    kind = F.when(t.isin("signup", "login"), "spawn").when(t == "view", "reparent").when(t == "click", "re_exec").otherwise("exit")
+    kind = F.when(t.isin("signup", "error"), "spawn").when(t == "view", "reparent").when(t == "click", "re_exec").otherwise("exit")
     x = table(spark, d, "events").select(F.col("event_id").alias("at"), kind.alias("type"), pid(3).alias("pid"), pid(12).alias("ppid"), (F.col("event_id") % 5).alias("code"))
     return graph.process_tree(x, short_ms=2)
 

@@ -7,7 +7,9 @@ executors share; what commits a bundle or a snapshot is a last small file.
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,11 +69,14 @@ def write_snapshot(df: DataFrame, folder: str, expected: int | None) -> int:
     if head(spark, folder) != expected:
         raise ValueError("the table has moved on")
     n = (expected or 0) + 1
-    _, fs = _path(spark, folder)
-    if fs.exists(_path(spark, f"{folder}/{n:08d}/data")[0]):
-        raise ValueError("another writer is at this snapshot")
-    df.write.parquet(f"{folder}/{n:08d}/data")
-    _note(spark, f"{folder}/{n:08d}/done.json", {"snapshot": n})
+    own = f"data-{uuid.uuid4().hex}"  # no other writer's; the note names it
+    df.write.parquet(f"{folder}/{n:08d}/{own}")
+    try:
+        _note(spark, f"{folder}/{n:08d}/done.json", {"snapshot": n, "data": own})
+    except Py4JJavaError as e:
+        path, fs = _path(spark, f"{folder}/{n:08d}/{own}")
+        fs.delete(path, True)
+        raise ValueError("another writer made this snapshot") from e
     return n
 
 
@@ -92,7 +97,7 @@ def read_snapshot(spark: SparkSession, folder: str, snapshot: int | None = None)
     n = head(spark, folder) if snapshot is None else snapshot
     if n is None or n not in _snapshots(spark, folder):
         raise ValueError("there is no such snapshot")
-    return spark.read.parquet(f"{folder}/{n:08d}/data")
+    return spark.read.parquet(f"{folder}/{n:08d}/{_noted(spark, f'{folder}/{n:08d}/done.json')['data']}")
 
 
 def retain(spark: SparkSession, folder: str, keep: int) -> list[int]:

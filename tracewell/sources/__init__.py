@@ -28,12 +28,21 @@ def read(spark: SparkSession, path: str, kind: str | None = None, schema=None) -
     return (reader.option("header", True) if found == "csv" else reader).load(path)
 
 
-def inventory(spark: SparkSession, folder: str, most_bytes: int = 1 << 30) -> DataFrame:
-    """Every file with its path below the folder, size, sha256 and kind; one beyond most_bytes has no hash and says so."""
+def inventory(spark: SparkSession, folder: str, most_bytes: int = 1 << 30, most_opened: int = 256 << 20) -> DataFrame:
+    """Every file with its path below the folder, size, sha256 and kind; one beyond most_bytes has no hash and says so.
+
+    Of those, files beyond most_opened are not even opened for their kind, which is null then.
+    """
     found = files(spark, folder)
-    small = F.col("length") <= most_bytes
     root = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     below = F.substring_index(root, "/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
     magic = F.hex(F.substring("content", 1, 4))
     kind = F.when(magic == "504B0304", "zip").when(magic == "7F454C46", "elf").when(F.startswith(magic, F.lit("4D5A")), "pe").when(magic == "89504E47", "png").when(magic == "50415231", "parquet").otherwise("other")
-    return found.select(below.alias("path"), F.col("length").alias("size"), F.when(small, F.sha2("content", 256)).alias("sha256"), F.when(small, "hashed").otherwise("too_large").alias("hash_status"), kind.alias("kind"))
+    own = [below.alias("path"), F.col("length").alias("size")]
+    # the filters on length reach the scan, so that it opens no file that a branch does not hash or name
+    hashed = found.where(F.col("length") <= most_bytes).select(*own, F.sha2("content", 256).alias("sha256"), F.lit("hashed").alias("hash_status"), kind.alias("kind"))
+    large = found.where(F.col("length") > most_bytes)
+    none = F.lit(None).cast("string")
+    named = large.where(F.col("length") <= most_opened).select(*own, none.alias("sha256"), F.lit("too_large").alias("hash_status"), kind.alias("kind"))
+    unread = large.where(F.col("length") > most_opened).select(*own, none.alias("sha256"), F.lit("too_large").alias("hash_status"), none.alias("kind"))
+    return hashed.unionByName(named).unionByName(unread)
