@@ -162,6 +162,22 @@ OUTCOMES = {
     "replay_outcomes": ("outcome", {"matched", "unmatched", "invalid_state", "guard_failed", "transition_exhausted", "limit_exhausted", "invalid_capture"}),
     "readiness": ("status", {"ready", "blocked"}),
     "trigger_tree": ("outcome", {"matched", "deadline"}),
+    "trace_verdict": ("verdict", {"unknown", "equivalent", "nonconforming", "different"}),
+    "repeatability": ("verdict", {"insufficient", "stable", "timing_variance", "unstable"}),
+    "batch_outcomes": ("status", {"ok", "partial", "error"}),
+    "capability_rollup": ("availability", {"available", "degraded"}),
+    "idempotent_merge": ("status", {"single", "duplicate", "conflict"}),
+    "distinct_links": ("n", {1, 2, 3}),
+    "obligation_dependencies": ("status", {"verified", "open"}),
+    "trace_partial_order": ("status", {"ok", "missing_before", "violated"}),
+    "claim_verdicts": ("verdict", {"supported", "contradicted", "unverified"}),
+    "hypothesis_join": ("pattern", {"cochanged", "static_only", "runtime_only", "both_unchanged"}),
+    "comparable_payloads": ("same", {True, False}),
+    "family_totals": ("provenance", {"1", "2", "25"}),
+    "capture_comparison": ("status", {"changed", "unchanged"}),
+    "line_changes": ("changes", {"0,0", "2,0", "3,1"}),
+    "graph_identity": ("dangling", {True, False}),
+    "script_urls": ("status", {"exact", "ambiguous", "unmatched"}),
     "shim_routes": ("outcome", {"matched", "exhausted", "unmatched"}),
 }
 
@@ -194,3 +210,37 @@ def test_null_conditions_count_as_false(spark):
     cols += [both(lambda x: status.semantic_query(b(x), F.lit(False), F.lit(False), F.lit(1), F.lit(False))), both(lambda x: status.source_mapping(b(x), F.lit(1), F.lit(0), F.lit(False), F.lit(True)))]
     cols += [both(lambda x: status.trace(F.lit("fail"), F.lit("fail"), b(x))), both(lambda x: status.obligations(F.lit(1), F.lit(False), F.lit(False), F.lit(True), b(x)))]
     assert set(spark.range(1).select(*cols).first()) == {True}
+
+
+def searched(entries, seeds, max_nodes, max_edges, max_depth):
+    """The search, edge by edge; entries (id, at, relation, next)."""
+    seeds = sorted(set(seeds))
+    depths, edges, frontier = {s: 0 for s in seeds[:max_nodes]}, set(), {(s, 0, "max-nodes") for s in seeds[max_nodes:]}
+    queue = list(depths)
+    for at in queue:
+        for i, _, _, to in sorted((e for e in entries if e[1] == at), key=lambda e: (e[2], e[3], e[0])):
+            if depths[at] >= max_depth:
+                frontier.add((at, depths[at], "max-depth"))
+            elif i not in edges and len(edges) >= max_edges:
+                frontier.add((at, depths[at], "max-edges"))
+            elif to not in depths and len(depths) >= max_nodes:
+                frontier.add((at, depths[at], "max-nodes"))
+            else:
+                edges.add(i)
+                if to not in depths:
+                    depths[to] = depths[at] + 1
+                    queue.append(to)
+    return depths, edges, frontier
+
+
+@pytest.mark.parametrize(("direction", "seeds", "bounds", "reasons"), [("backward-provenance", [0, 1, 2], (5, 50, 1), {"max-depth", "max-nodes"}), ("ownership", [0, 1, 2, 3, 4], (9, 8, 2), {"max-depth", "max-edges"})])
+def test_bounded_traversal(spark, direction, seeds, bounds, reasons):
+    rng = random.Random(direction)
+    rows = [(i, rng.randrange(14), rng.randrange(14), rng.choice(["calls", "owns", "reads"])) for i in range(34)]
+    df = spark.createDataFrame(rows, "id long, src long, dst long, relation string")
+    entries = graph.turned(df, direction, ["calls", "owns"])
+    own = [tuple(r) for r in entries.select("id", "at", "relation", "next").collect()]
+    nodes, edges, frontier = graph.traverse(entries, spark.createDataFrame([(s,) for s in seeds], "node long"), *bounds)
+    want = searched(own, seeds, *bounds)
+    assert {r.node: r.depth for r in nodes.collect()} == want[0] and {r.id for r in edges.collect()} == want[1]
+    assert {tuple(r) for r in frontier.collect()} == want[2] and {r for _, _, r in want[2]} >= reasons

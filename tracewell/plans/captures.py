@@ -11,12 +11,12 @@ from tracewell.plans.catalog import query
 from tracewell.sources import table
 
 
-@query("""WITH f AS (SELECT user_id, event_type, count(*) AS n, round(sum(value)) AS total, min(event_id) AS volatile FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL), g AS (SELECT user_id, event_type, count(*) AS n, round(sum(value)) AS total, min(event_id) AS volatile FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY ALL)
+@query("""WITH f AS (SELECT user_id, event_type, count(*) AS n, round(sum(value) / 100) AS total, min(event_id) AS volatile FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL), g AS (SELECT user_id, event_type, count(*) AS n, round(sum(value) / 100) AS total, min(event_id) AS volatile FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY ALL)
 SELECT user_id, event_type, f.n = g.n AND f.total = g.total AS same FROM f JOIN g USING (user_id, event_type)""")
 def comparable_payloads(spark, d):
     """Payloads of two captures without their volatile field."""
     early = F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-16"))
-    payload = F.struct(F.count("*").alias("n"), F.round(F.sum("value")).alias("total"), F.min("event_id").alias("volatile"))
+    payload = F.struct(F.count("*").alias("n"), F.round(F.sum("value") / 100).alias("total"), F.min("event_id").alias("volatile"))
     p = table(spark, d, "events").groupBy("user_id", "event_type", early.alias("early")).agg(payload.alias("p")).withColumn("p", F.col("p").dropFields("volatile"))
     a, b = (p.where(c).select("user_id", "event_type", F.col("p").alias(n)) for c, n in (("early", "a"), ("NOT early", "b")))
     return a.join(b, ["user_id", "event_type"]).select("user_id", "event_type", (F.col("a") == F.col("b")).alias("same"))
@@ -190,11 +190,10 @@ def merged_investigations(spark, d):
     return a.unionByName(b).groupBy("id").agg(F.max("run").alias("run"), F.max_by("value", "run").alias("value"), F.count("*").alias("versions"))
 
 
-@query("""WITH f AS (SELECT p_partkey, split_part(p_type, ' ', 1) AS family, split_part(p_type, ' ', 3) AS provenance, p_size FROM part) SELECT family, provenance, count(*) AS artifacts, sum(p_size)::BIGINT AS bytes, min(p_partkey) AS first FROM f GROUP BY ALL""")
+@query("""WITH f AS (SELECT p_partkey, p_type AS family, split_part(p_brand, '#', 2) AS provenance, p_size FROM part) SELECT family, provenance, count(*) AS artifacts, sum(p_size)::BIGINT AS bytes, min(p_partkey) AS first FROM f GROUP BY ALL""")
 def family_totals(spark, d):
     """Artifacts by family and provenance."""
-    word = lambda i: F.split_part("p_type", F.lit(" "), F.lit(i))
-    return table(spark, d, "part").groupBy(word(1).alias("family"), word(3).alias("provenance")).agg(F.count("*").alias("artifacts"), F.sum("p_size").cast("long").alias("bytes"), F.min("p_partkey").alias("first"))
+    return table(spark, d, "part").groupBy(F.col("p_type").alias("family"), F.split_part("p_brand", F.lit("#"), F.lit(2)).alias("provenance")).agg(F.count("*").alias("artifacts"), F.sum("p_size").cast("long").alias("bytes"), F.min("p_partkey").alias("first"))
 
 
 @query("""WITH c AS (SELECT p_partkey AS id, unnest([p_partkey * 2, p_partkey * 2 + 1, p_partkey // 2]) AS target, unnest([1, 2, 3]) AS rank FROM part), r AS (SELECT id, min(rank) AS rank, arg_min(target, rank) AS target FROM c WHERE target IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY 1)
@@ -208,11 +207,11 @@ def module_resolution(spark, d):
     return p.select(k.alias("id")).join(r, "id", "left").select("id", "x.target", F.coalesce(F.col("x.rank") + 1, F.lit(0)).alias("rank"))
 
 
-@query("""WITH a AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS first FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL), b AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS first FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY ALL), j AS (SELECT user_id, event_type, a.n AS x, b.n AS y, a.first AS first FROM a FULL JOIN b USING (user_id, event_type))
+@query("""WITH e AS (SELECT * REPLACE (user_id * 100 + day(ts) AS user_id) FROM events), a AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS first FROM e WHERE hour(ts) < 12 GROUP BY ALL), b AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS first FROM e WHERE hour(ts) >= 12 GROUP BY ALL), j AS (SELECT user_id, event_type, a.n AS x, b.n AS y, a.first AS first FROM a FULL JOIN b USING (user_id, event_type))
 SELECT user_id, CASE WHEN count(*) FILTER (x IS DISTINCT FROM y) > 0 THEN 'changed' ELSE 'unchanged' END AS status, arg_min(event_type, (coalesce(first, TIMESTAMP '2099-01-01'), event_type)) FILTER (x IS DISTINCT FROM y) AS first_dimension, count(*) FILTER (x IS DISTINCT FROM y) AS dimensions FROM j GROUP BY 1""")
 def capture_comparison(spark, d):
-    """A user's two captures by dimension (event type), and the dimension in which they first differ."""
-    e = table(spark, d, "events").withColumn("early", F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-16")))
+    """A morning and an afternoon of a user's day by dimension (event type), and the dimension in which they first differ."""
+    e = table(spark, d, "events").withColumns({"user_id": F.col("user_id") * 100 + F.dayofmonth("ts"), "early": F.hour("ts") < 12})
     g = e.groupBy("user_id", "event_type").agg(F.count_if("early").alias("x"), F.count_if(~F.col("early")).alias("y"), F.min(F.when(F.col("early"), F.col("ts"))).alias("first"))
     odd = F.col("x") != F.col("y")
     at = F.struct(F.coalesce("first", F.to_timestamp_ntz(F.lit("2099-01-01"))), "event_type")
@@ -247,10 +246,12 @@ def trigger_tree(spark, d):
     return found.join(start, "user_id", "left").select("user_id", "at", outcome.alias("outcome"))
 
 
-@query("""SELECT doc_id, CASE WHEN text IS NOT NULL THEN '3,1' END AS changes FROM documents""")
+@query("""SELECT doc_id, CASE WHEN text IS NOT NULL THEN CASE doc_id % 3 WHEN 0 THEN '0,0' WHEN 1 THEN '2,0' ELSE '3,1' END END AS changes FROM documents""")
 def line_changes(spark, d):
-    """Every text against itself with its first line replaced and two lines more."""
+    """Every text against itself: unchanged, with two lines more, or with its first line replaced too."""
     t = F.col("text")
     rest = F.substring(t, F.length(F.substring_index("text", "\n", 1)) + 1, F.length(t))
-    other = F.concat(F.lit("\x01 "), F.col("doc_id").cast("string"), rest, F.lit("\n\x02\n\x03"))
+    more = F.lit("\n\x02\n\x03")
+    form = F.col("doc_id") % 3
+    other = F.when(form == 0, t).when(form == 1, F.concat(t, more)).otherwise(F.concat(F.lit("\x01 "), F.col("doc_id").cast("string"), rest, more))
     return table(spark, d, "documents").select("doc_id", text.line_changes(t, other).alias("changes"))

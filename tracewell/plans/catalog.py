@@ -131,11 +131,11 @@ def topk_candidates(spark, d):
     return match.top_candidates(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_totalprice", "o_orderkey", 3)
 
 
-@query("""WITH need AS (SELECT DISTINCT p_brand FROM part) SELECT l_suppkey, count(DISTINCT p_brand) AS have FROM lineitem JOIN part ON l_partkey = p_partkey
+@query("""WITH need AS (SELECT DISTINCT p_brand FROM part) SELECT l_suppkey, count(DISTINCT p_brand) AS have FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 42
 GROUP BY 1 HAVING count(DISTINCT p_brand) = (SELECT count(*) FROM need)""")
 def relational_division(spark, d):
     part = table(spark, d, "part")
-    rows = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    rows = table(spark, d, "lineitem").where("l_quantity > 42").select("l_suppkey", "l_partkey").distinct().join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     return match.relational_division(rows, "l_suppkey", "p_brand", part)
 
 
@@ -206,10 +206,10 @@ def trace_cardinality(spark, d):
     return trace.cardinality(table(spark, d, "events"), "user_id", "event_type", {"signup": (1, 20), "purchase": (5, None)})
 
 
-@query("""WITH x AS (SELECT user_id, max(event_id) FILTER (event_type = 'signup') AS b, min(event_id) FILTER (event_type = 'purchase') AS a FROM events GROUP BY 1)
-SELECT user_id, 'signup' AS before, 'purchase' AS after, CASE WHEN a IS NULL THEN 'ok' WHEN b IS NULL THEN 'missing_before' WHEN b < a THEN 'ok' ELSE 'violated' END AS status FROM x""")
+@query("""WITH x AS (SELECT user_id * 100 + day(ts) AS slot, max(event_id) FILTER (event_type = 'signup') AS b, min(event_id) FILTER (event_type = 'purchase') AS a FROM events GROUP BY 1)
+SELECT slot, 'signup' AS before, 'purchase' AS after, CASE WHEN a IS NULL THEN 'ok' WHEN b IS NULL THEN 'missing_before' WHEN b < a THEN 'ok' ELSE 'violated' END AS status FROM x""")
 def trace_partial_order(spark, d):
-    return trace.happens_before(table(spark, d, "events"), "user_id", "event_type", "event_id", [KINDS])
+    return trace.happens_before(table(spark, d, "events").withColumn("slot", F.col("user_id") * 100 + F.dayofmonth("ts")), "slot", "event_type", "event_id", [KINDS])
 
 
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS position FROM events")

@@ -66,16 +66,16 @@ def runtime_reconcile(spark, d):
     return match.reconcile(seen, docs.where("doc_id % 2 = 1"), "doc_id", "doc_id", "digest", "source")
 
 
-@query(f"""WITH {HALVES}, x AS ({DIFF}), s AS (SELECT user_id, bool_or(status = 'changed') AS moved, bool_or(status IN ('added', 'removed')) AS open FROM x GROUP BY 1),
-r AS (SELECT user_id, round(sum(value) FILTER (ts < TIMESTAMP '2024-01-16')) <> round(sum(value) FILTER (ts >= TIMESTAMP '2024-01-16')) AS moved FROM events GROUP BY 1),
+@query(f"""WITH {HALVES}, x AS ({DIFF}), s AS (SELECT user_id, bool_or(status = 'changed') AS moved, bool_or(status IN ('added', 'removed')) AS open FROM x WHERE event_type = 'view' GROUP BY 1),
+r AS (SELECT user_id, abs(sum(value) FILTER (ts < TIMESTAMP '2024-01-16') - sum(value) FILTER (ts >= TIMESTAMP '2024-01-16')) > 100 AS moved FROM events GROUP BY 1),
 p AS (SELECT user_id, CASE WHEN s.open OR r.moved IS NULL THEN 'unknown' WHEN s.moved AND r.moved THEN 'cochanged' WHEN s.moved THEN 'static_only' WHEN r.moved THEN 'runtime_only' ELSE 'both_unchanged' END AS pattern FROM s JOIN r USING (user_id))
 SELECT user_id, pattern, CASE pattern WHEN 'unknown' THEN 'unresolved' WHEN 'cochanged' THEN 'consistent' ELSE 'contradicted' END AS verdict FROM p""")
 def hypothesis_join(spark, d):
-    """Event counts are the static side, value sums the runtime side; expected: both change."""
-    x = diff.keyed_diff(*_halves(spark, d), ["user_id", "event_type"], ["n"])
+    """Counts of views are the static side, value sums (by more than 100) the runtime side; expected: both change."""
+    x = diff.keyed_diff(*_halves(spark, d), ["user_id", "event_type"], ["n"]).where("event_type = 'view'")
     s = x.groupBy("user_id").agg(F.bool_or(F.col("status") == "changed").alias("s"), F.bool_or(F.col("status").isin("added", "removed")).alias("open"))
     early = F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-16"))
-    r = table(spark, d, "events").groupBy("user_id").agg((F.round(F.sum(F.when(early, F.col("value")))) != F.round(F.sum(F.when(~early, F.col("value"))))).alias("r"))
+    r = table(spark, d, "events").groupBy("user_id").agg((F.abs(F.sum(F.when(early, F.col("value"))) - F.sum(F.when(~early, F.col("value")))) > 100).alias("r"))
     pattern = F.when(F.col("open") | F.col("r").isNull(), "unknown").when(F.col("s") & F.col("r"), "cochanged").when(F.col("s"), "static_only").when(F.col("r"), "runtime_only").otherwise("both_unchanged")
     verdict = F.when(F.col("pattern") == "unknown", "unresolved").when(F.col("pattern") == "cochanged", "consistent").otherwise("contradicted")
     return s.join(r, "user_id").select("user_id", pattern.alias("pattern")).withColumn("verdict", verdict)
@@ -119,11 +119,13 @@ def range_containment(spark, d):
     return match.contained(table(spark, d, "part").select("p_partkey"), ranges, "p_partkey", "a", "b", 20).select("p_partkey", "s_suppkey")
 
 
-@query(f"""WITH {HALVES}, x AS ({DIFF}) SELECT event_type, count(*) AS n, CASE WHEN bool_or(status IN ('added', 'removed')) THEN 'unverified' WHEN bool_or(status = 'changed') THEN 'contradicted' ELSE 'supported' END AS verdict FROM x GROUP BY 1""")
+@query(f"""WITH {HALVES.replace("b AS (", "c AS (")}, b AS (SELECT * FROM c WHERE NOT (user_id % 29 = 1 AND event_type = 'view')), x AS ({DIFF}) SELECT user_id, event_type, count(*) AS n, CASE WHEN bool_or(status IN ('added', 'removed')) THEN 'unverified' WHEN bool_or(status = 'changed') THEN 'contradicted' ELSE 'supported' END AS verdict FROM x GROUP BY 1, 2""")
 def claim_verdicts(spark, d):
-    x = diff.keyed_diff(*_halves(spark, d), ["user_id", "event_type"], ["n"])
+    """A claim for each user and kind: as many in both halves; the second half lacks the views of every 29th user."""
+    a, b = _halves(spark, d)
+    x = diff.keyed_diff(a, b.where("NOT (user_id % 29 = 1 AND event_type = 'view')"), ["user_id", "event_type"], ["n"])
     verdict = F.when(F.bool_or(F.col("status").isin("added", "removed")), "unverified").when(F.bool_or(F.col("status") == "changed"), "contradicted").otherwise("supported")
-    return x.groupBy("event_type").agg(F.count("*").alias("n"), verdict.alias("verdict"))
+    return x.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), verdict.alias("verdict"))
 
 
 @query("""WITH v AS (SELECT vec_id // 2 AS pair, vec_id % 2 AS side, embedding FROM embeddings), u AS (SELECT pair, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM v a JOIN v b USING (pair) WHERE a.side = 0 AND b.side = 1),

@@ -164,13 +164,17 @@ def resolved_references(spark, d):
     return j.select("o_orderkey", "c_name", F.when(F.col("c_name").isNull(), "missing").when(F.col("c_mktsegment") == "BUILDING", "wrong_kind").otherwise("resolved").alias("status"))
 
 
-@query("""WITH r AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS clean FROM pages WHERE page_id % 2 = 1), s AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS clean FROM pages WHERE page_id % 2 = 0),
+@query("""WITH r AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS clean FROM pages WHERE page_id % 2 = 1), s AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS clean FROM (SELECT a.page_id, CASE a.page_id % 6 WHEN 0 THEN coalesce(b.url, a.url) WHEN 2 THEN regexp_replace(coalesce(b.url, a.url), '[?#].*$', '') ELSE a.url END AS url FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id % 2 = 0)),
 x AS (SELECT url, count(*) AS n, min(page_id) AS hit FROM r GROUP BY 1), y AS (SELECT clean, count(*) AS m FROM r GROUP BY 1)
 SELECT s.page_id, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 OR m > 0 THEN 'ambiguous' ELSE 'unmatched' END AS status, CASE WHEN n = 1 THEN hit END AS resource FROM s LEFT JOIN x USING (url) LEFT JOIN y ON y.clean = s.clean""")
 def script_urls(spark, d):
-    """Pages of even ids are scripts: exactly one resource of the same url is exact, any other of the same url without its query is ambiguous."""
-    p = table(spark, d, "pages").select("page_id", "url", F.regexp_replace("url", r"[?#].*$", "").alias("clean"))
-    return match.script_urls(p.where("page_id % 2 = 0"), p.where("page_id % 2 = 1"), "page_id")
+    """Pages of even ids are scripts, a third of them under the next page's url and a third under that without its query: exactly one resource of the same url is exact, any other of the same url without its query is ambiguous."""
+    pages, clean = table(spark, d, "pages").select("page_id", "url"), F.regexp_replace("url", r"[?#].*$", "")
+    other = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    url, form = F.coalesce("next", "url"), F.col("page_id") % 6
+    asked = pages.where("page_id % 2 = 0").join(other, "page_id", "left").select("page_id", F.when(form == 0, url).when(form == 2, F.regexp_replace(url, r"[?#].*$", "")).otherwise(F.col("url")).alias("url"))
+    p = lambda df: df.select("page_id", "url", clean.alias("clean"))
+    return match.script_urls(p(asked), p(pages.where("page_id % 2 = 1")), "page_id")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role || ':' || (turn // 2) AS step FROM conversations), a AS (SELECT conv_id, step, min(turn) AS i, count(*) AS n FROM t WHERE conv_id % 2 = 0 GROUP BY ALL), b AS (SELECT conv_id - 1 AS conv_id, step, min(turn) AS i, count(*) AS n FROM t WHERE conv_id % 2 = 1 GROUP BY ALL)

@@ -112,12 +112,12 @@ def change_graph(spark, d):
     return a.union(b).distinct().withColumn("relation", F.lit("supplied_by")).unionByName(moved)
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, p_type AS dst FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 10)
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, p_brand AS dst FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 3 AND l_quantity > 45)
 SELECT s_suppkey AS node, 'n_' || sha256('supplier/' || s_suppkey || '/' || s_name) AS node_id, count(dst) AS degree, sha256(coalesce(string_agg(dst, ',' ORDER BY dst), '')) AS edges_digest, count(dst) = 0 AS dangling FROM supplier LEFT JOIN e ON src = s_suppkey GROUP BY s_suppkey, s_name""")
 def graph_identity(spark, d):
     """Ids of nodes from their content, digests of their sorted edges, and nodes without any."""
-    e = table(spark, d, "lineitem").join(table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey").select(F.col("l_suppkey").alias("s_suppkey"), "p_type").distinct()
-    g = table(spark, d, "supplier").select("s_suppkey", "s_name").join(e, "s_suppkey", "left").groupBy("s_suppkey", "s_name").agg(F.sort_array(F.collect_list("p_type")).alias("t"))
+    e = table(spark, d, "lineitem").where("l_quantity > 45").join(table(spark, d, "part").where("p_size < 3").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select(F.col("l_suppkey").alias("s_suppkey"), "p_brand").distinct()
+    g = table(spark, d, "supplier").select("s_suppkey", "s_name").join(e, "s_suppkey", "left").groupBy("s_suppkey", "s_name").agg(F.sort_array(F.collect_list("p_brand")).alias("t"))
     node_id = F.concat(F.lit("n_"), F.sha2(F.concat_ws("/", F.lit("supplier"), F.col("s_suppkey").cast("string"), "s_name"), 256))
     return g.select(F.col("s_suppkey").alias("node"), node_id.alias("node_id"), F.size("t").cast("long").alias("degree"), F.sha2(F.array_join("t", ","), 256).alias("edges_digest"), (F.size("t") == 0).alias("dangling"))
 

@@ -132,38 +132,38 @@ def closure_reasons(spark, d):
     return told.select("c_custkey", F.when(F.size("r") > 0, F.array_join("r", ",")).alias("reasons"), own.alias("status"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 'open' ELSE 'verified' END AS own FROM part), bad AS (SELECT id FROM p WHERE own = 'open' UNION SELECT p.id FROM bad JOIN p ON p.id IN (2 * bad.id, 2 * bad.id + 1))
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 3 THEN 'open' ELSE 'verified' END AS own FROM part), bad AS (SELECT id FROM p WHERE own = 'open' UNION SELECT p.id FROM bad JOIN p ON p.id IN (2 * bad.id, 2 * bad.id + 1))
 SELECT p.id AS p_partkey, own, CASE WHEN bad.id IS NOT NULL THEN 'open' ELSE own END AS status, own = 'verified' AND bad.id IS NOT NULL AS dependency_open FROM p LEFT JOIN bad USING (id)""")
 def obligation_dependencies(spark, d):
     """Part k depends on part k // 2; a verified one whose dependency is open is open too, until nothing changes."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 == 0, "open").otherwise("verified").alias("own"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 == 3, "open").otherwise("verified").alias("own"))
     needs = p.select("id", F.floor(F.col("id") / 2).alias("needs")).where("needs < id")
     found = match.reopened(p, needs)
     return found.select(F.col("id").alias("p_partkey"), "own", "status", "dependency_open")
 
 
-@query("""WITH s AS (SELECT user_id, ts < TIMESTAMP '2024-01-16' AS early, count(*) FILTER (event_type = 'signup') AS n, max(event_id) FILTER (event_type = 'signup') AS b, min(event_id) FILTER (event_type = 'purchase') AS a, string_agg(event_type, ',' ORDER BY event_id) FILTER (event_type IN ('signup', 'purchase')) AS seq FROM events GROUP BY ALL),
-v AS (SELECT user_id, early, seq, CASE WHEN n = 0 THEN 'unknown' WHEN n > 10 THEN 'fail' WHEN a IS NOT NULL AND b >= a THEN 'fail' ELSE 'pass' END AS side FROM s)
-SELECT user_id, l.side AS left_side, r.side AS right_side, CASE WHEN l.side = 'unknown' OR r.side = 'unknown' THEN 'unknown' WHEN l.side = 'pass' AND r.side = 'pass' THEN 'equivalent' WHEN l.side <> r.side OR l.seq IS DISTINCT FROM r.seq THEN 'different' ELSE 'nonconforming' END AS verdict
-FROM (SELECT * FROM v WHERE early) l JOIN (SELECT * FROM v WHERE NOT early) r USING (user_id)""")
+@query("""WITH s AS (SELECT user_id * 100 + day(ts) AS slot, hour(ts) < 12 AS early, count(*) FILTER (event_type = 'signup') AS n, max(event_id) FILTER (event_type = 'signup') AS b, min(event_id) FILTER (event_type = 'purchase') AS a, string_agg(event_type, ',' ORDER BY event_id) FILTER (event_type IN ('signup', 'purchase')) AS seq FROM events GROUP BY ALL),
+v AS (SELECT slot, early, seq, CASE WHEN n = 0 THEN 'unknown' WHEN n > 2 THEN 'fail' WHEN a IS NOT NULL AND b >= a THEN 'fail' ELSE 'pass' END AS side FROM s)
+SELECT slot, l.side AS left_side, r.side AS right_side, CASE WHEN l.side = 'unknown' OR r.side = 'unknown' THEN 'unknown' WHEN l.side = 'pass' AND r.side = 'pass' THEN 'equivalent' WHEN l.side <> r.side OR l.seq IS DISTINCT FROM r.seq THEN 'different' ELSE 'nonconforming' END AS verdict
+FROM (SELECT * FROM v WHERE early) l JOIN (SELECT * FROM v WHERE NOT early) r USING (slot)""")
 def trace_verdict(spark, d):
-    """A user's first half of the month against the second: cardinality of signups (1 to 10), then signups before purchases, then order."""
-    e = table(spark, d, "events").withColumn("early", F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-16")))
-    sides = trace.evaluated(e, ["user_id", "early"], "event_type", "event_id", {"signup": (1, 10)}, [("signup", "purchase")])
-    l = sides.where("early").select("user_id", F.col("side").alias("left_side"), F.col("order").alias("lo"))
-    r = sides.where("NOT early").select("user_id", F.col("side").alias("right_side"), F.col("order").alias("ro"))
+    """A user's morning against the afternoon of the same day: cardinality of signups (1 to 2), then signups before purchases, then order."""
+    e = table(spark, d, "events").withColumns({"slot": F.col("user_id") * 100 + F.dayofmonth("ts"), "early": F.hour("ts") < 12})
+    sides = trace.evaluated(e, ["slot", "early"], "event_type", "event_id", {"signup": (1, 2)}, [("signup", "purchase")])
+    l = sides.where("early").select("slot", F.col("side").alias("left_side"), F.col("order").alias("lo"))
+    r = sides.where("NOT early").select("slot", F.col("side").alias("right_side"), F.col("order").alias("ro"))
     verdict = status.trace(F.col("left_side"), F.col("right_side"), F.col("lo").eqNullSafe(F.col("ro")))
-    return l.join(r, "user_id").select("user_id", "left_side", "right_side", verdict.alias("verdict"))
+    return l.join(r, "slot").select("slot", "left_side", "right_side", verdict.alias("verdict"))
 
 
-@query("""WITH c AS (SELECT user_id, ts::DATE AS day, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase') AS purchases, count(DISTINCT event_type) AS kinds FROM events GROUP BY ALL),
+@query("""WITH c AS (SELECT user_id * 100 + day(ts) AS user_id, hour(ts) AS day, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase') AS purchases, count(DISTINCT event_type) AS kinds FROM events GROUP BY ALL),
 f AS (SELECT user_id, min(day) AS day, count(*) AS samples FROM c GROUP BY 1), b AS (SELECT c.user_id, samples, clicks, purchases, kinds FROM c JOIN f USING (user_id, day)),
 x AS (SELECT user_id, b.samples, bool_and(c.clicks = b.clicks) AS s1, bool_and(c.purchases = b.purchases) AS s2, bool_and(c.kinds = b.kinds) AS s3 FROM c JOIN b USING (user_id) GROUP BY ALL)
 SELECT user_id, samples, concat_ws(',', CASE WHEN NOT s1 THEN 'clicks' END, CASE WHEN NOT s2 THEN 'purchases' END, CASE WHEN NOT s3 THEN 'kinds' END) AS unstable, CASE WHEN samples < 2 THEN 'insufficient' WHEN s1 AND s2 AND s3 THEN 'stable' WHEN s2 AND s3 THEN 'timing_variance' ELSE 'unstable' END AS verdict FROM x""")
 def repeatability(spark, d):
-    """A user's days are captures, each compared with the first; clicks stand for the timing dimension."""
-    day = F.to_date("ts")
-    c = table(spark, d, "events").groupBy("user_id", day.alias("day")).agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.count_distinct("event_type").alias("kinds"))
+    """The hours of a user's day are captures, each compared with the first; clicks stand for the timing dimension."""
+    day = F.hour("ts")
+    c = table(spark, d, "events").groupBy((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("user_id"), day.alias("day")).agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.count_distinct("event_type").alias("kinds"))
     return trace.repeatable(c, "user_id", "day", ["clicks", "purchases", "kinds"], {"clicks"})
 
 
@@ -211,21 +211,21 @@ def load_states(spark, d):
     return told.where("doc_id % 2 = 0").join(layers, "layer", "left").select("doc_id", state.alias("state"))
 
 
-@query("""WITH t AS (SELECT event_id, event_type, TRY_CAST(CASE WHEN event_id % 17 = 0 THEN 'x' ELSE props->>'$.k' END AS BIGINT) AS k FROM events)
-SELECT event_type, count(k) AS ok, count(*) - count(k) AS failed, CASE WHEN count(k) = count(*) THEN 'ok' WHEN count(k) = 0 THEN 'error' ELSE 'partial' END AS status FROM t GROUP BY 1""")
+@query("""WITH t AS (SELECT event_id, user_id * 100 + day(ts) AS batch, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE props->>'$.k' END AS BIGINT) AS k FROM events)
+SELECT batch, count(k) AS ok, count(*) - count(k) AS failed, CASE WHEN count(k) = count(*) THEN 'ok' WHEN count(k) = 0 THEN 'error' ELSE 'partial' END AS status FROM t GROUP BY 1""")
 def batch_outcomes(spark, d):
-    """Each event is an item whose k is parsed; every 17th is malformed, which fails that item alone."""
-    k = F.when(F.col("event_id") % 17 == 0, "x").otherwise(F.get_json_object("props", "$.k")).try_cast("bigint")
-    g = table(spark, d, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count("k").alias("ok"), (F.count("*") - F.count("k")).alias("failed"))
+    """Each event is an item whose k is parsed; every third is malformed, which fails that item alone."""
+    k = F.when(F.col("event_id") % 3 == 0, "x").otherwise(F.get_json_object("props", "$.k")).try_cast("bigint")
+    g = table(spark, d, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("batch"), k.alias("k")).groupBy("batch").agg(F.count("k").alias("ok"), (F.count("*") - F.count("k")).alias("failed"))
     return g.withColumn("status", F.when(F.col("failed") == 0, "ok").when(F.col("ok") == 0, "error").otherwise("partial"))
 
 
 @query("""SELECT l_shipyear AS family, l_returnflag AS operation, count(DISTINCT l_suppkey) AS providers, count(*) AS uses, CASE WHEN count(DISTINCT l_suppkey) >= 5 THEN 'available' WHEN count(*) > 0 THEN 'degraded' END AS availability
-FROM (SELECT *, year(l_shipdate) AS l_shipyear FROM lineitem WHERE l_quantity > 45) GROUP BY ALL""")
+FROM (SELECT *, year(l_shipdate) * 100 + week(l_shipdate) AS l_shipyear FROM lineitem WHERE l_quantity > 45) GROUP BY ALL""")
 def capability_rollup(spark, d):
-    """Suppliers are providers of an operation (return flag) in a family (year)."""
+    """Suppliers are providers of an operation (return flag) in a family (week)."""
     li = table(spark, d, "lineitem").where("l_quantity > 45")
-    g = li.groupBy(F.year("l_shipdate").alias("family"), F.col("l_returnflag").alias("operation")).agg(F.count_distinct("l_suppkey").alias("providers"), F.count("*").alias("uses"))
+    g = li.groupBy((F.year("l_shipdate") * 100 + F.weekofyear("l_shipdate")).alias("family"), F.col("l_returnflag").alias("operation")).agg(F.count_distinct("l_suppkey").alias("providers"), F.count("*").alias("uses"))
     return g.withColumn("availability", F.when(F.col("providers") >= 5, "available").otherwise("degraded"))
 
 
@@ -252,11 +252,11 @@ def latest_revisions(spark, d):
     return trace.heads(r, "id", "revision", "digest", "claimed", "prior")
 
 
-@query("""WITH r AS (SELECT o_orderkey % 500 AS id, sha256(o_orderstatus || o_orderpriority) AS digest FROM orders), g AS (SELECT id, count(*) AS copies, count(DISTINCT digest) AS n, min(digest) AS digest FROM r GROUP BY 1)
+@query("""WITH r AS (SELECT o_orderkey // 2 AS id, sha256(o_orderstatus) AS digest FROM orders WHERE o_orderkey % 7 <> 0), g AS (SELECT id, count(*) AS copies, count(DISTINCT digest) AS n, min(digest) AS digest FROM r GROUP BY 1)
 SELECT id, copies, CASE WHEN n = 1 THEN digest END AS digest, CASE WHEN n > 1 THEN 'conflict' WHEN copies > 1 THEN 'duplicate' ELSE 'single' END AS status FROM g""")
 def idempotent_merge(spark, d):
     """Records of one id are the same record only if their content is: equal ones merge, others are a conflict."""
-    r = table(spark, d, "orders").select((F.col("o_orderkey") % 500).alias("id"), F.sha2(F.concat("o_orderstatus", "o_orderpriority"), 256).alias("digest"))
+    r = table(spark, d, "orders").where("o_orderkey % 7 <> 0").select(F.floor(F.col("o_orderkey") / 2).alias("id"), F.sha2("o_orderstatus", 256).alias("digest"))
     return match.merged(r, "id", "digest")
 
 
@@ -275,12 +275,12 @@ def uniqueness_violations(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("""SELECT n_nationkey, array_to_string(list_sort(list_distinct(list(DISTINCT c_mktsegment))), ',') AS segments, count(DISTINCT c_mktsegment) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
+@query("""SELECT n_nationkey, array_to_string(list_sort(list_distinct(list(DISTINCT c_mktsegment))), ',') AS segments, count(DISTINCT c_mktsegment) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9500 GROUP BY 1""")
 def distinct_links(spark, d):
-    """The sorted distinct segments of a nation's customers."""
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").distinct()
+    """The sorted distinct segments of a nation's richest customers."""
+    c = table(spark, d, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").distinct()
     g = table(spark, d, "nation").select("n_nationkey").join(c, "n_nationkey", "left").groupBy("n_nationkey").agg(F.sort_array(F.collect_set("c_mktsegment")).alias("s"))
-    return g.select("n_nationkey", F.when(F.size("s") > 0, F.array_join("s", ",")).alias("segments"), F.size("s").cast("long").alias("n"))
+    return g.select("n_nationkey", F.array_join("s", ",").alias("segments"), F.size("s").cast("long").alias("n"))
 
 
 def _unioned(parts: list[DataFrame]) -> DataFrame:
