@@ -153,6 +153,16 @@ def folded(value: Column) -> Column:
     return fold(value)
 
 
+def code_unit_key(value: Column) -> Column:
+    """A binary key that sorts texts by UTF-16 code units: signs above U+FFFF come before those from U+E000."""
+    return F.encode(value, "UTF-16BE")
+
+
+def in_locale(value: Column, locale: str = "en") -> Column:
+    """A text that sorts and compares by the collation of a locale: signs, then letters, accents and case last."""
+    return F.collate(value, locale)
+
+
 def json_within(value: Column, depth: int, length: int) -> Column:
     """Whether JSON text is short enough and its brackets, strings left out, nest no deeper."""
     bare = F.regexp_replace(F.regexp_replace(value, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")

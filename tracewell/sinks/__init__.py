@@ -1,4 +1,4 @@
-"""Writers: evidence bundles, snapshots and bounded text.
+"""Writers: evidence bundles, snapshots, extracted files and bounded text.
 
 All write through Spark to the folder that is given, which driver and
 executors share; what commits a bundle or a snapshot is a last small file.
@@ -114,3 +114,70 @@ def write_text(df: DataFrame, column: str, folder: str, most_chars: int) -> Data
     fits = F.length(column) <= most_chars
     df.where(fits).select(column).write.json(folder)
     return df.where(~fits)
+
+
+def extract(entries: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
+    """Write the wanted entries of archives as files below folder/tree, which must not be there; returns path, sha256 and size of each.
+
+    entries: as `zip_entries` with their content; wanted: archive, entry, sha256
+    (that of the inventory it was chosen from) and path, where it goes below the
+    tree.  Each task writes to a name of its own and then moves the file to its
+    path, so a task that runs twice leaves one copy.  All goes to a folder beside
+    the target, which gets its name by one rename after every file is verified.
+    If an entry is not there, was not readable, has another digest, or a path
+    leaves the tree or meets another (in any case of letters, or as a folder of
+    it), nothing is left and a ValueError says how many had which problem.
+    """
+    spark = entries.sparkSession
+    target, fs = _path(spark, folder)
+    if fs.exists(target):
+        raise ValueError("the folder is there already")
+    staging = f"{folder}.{uuid.uuid4().hex}"
+    low = F.lower("path")
+    parts = F.split(low, "/")
+    unsafe = F.col("path").isNull() | F.rlike("path", F.lit(r"^[A-Za-z]:|[\\\x00]")) | F.exists(parts, lambda x: x.isin("", ".", ".."))
+    above = wanted.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("__low"), low.alias("__of"))
+    taken = above.groupBy("__low").agg((F.bool_or(F.col("__low") == F.col("__of")) & (F.count("*") > 1)).alias("__taken")).where("__taken")
+    chosen = wanted.withColumn("__low", low).join(taken, "__low", "left").join(entries.select("archive", "entry", "status", "content", F.col("sha256").alias("__found")), ["archive", "entry"], "left")
+    problem = (
+        F.when(F.col("status").isNull(), "not_found").when(F.col("status") != "ok", F.col("status")).when(unsafe, "unsafe_path").when(F.col("__taken"), "path_taken")
+        .when(~F.col("__found").eqNullSafe(F.col("sha256")), "other_digest")
+    )
+
+    def write(frames):
+        import hashlib
+
+        import pandas as pd
+        from pyarrow import fs as arrow_fs
+
+        there, root = arrow_fs.FileSystem.from_uri(staging if "://" in staging else "file://" + staging)
+        for frame in frames:
+            told = []
+            for path, digest, trouble, data in frame.itertuples(index=False, name=None):
+                if trouble is None and hashlib.sha256(data).hexdigest() != digest:
+                    trouble = "other_digest"
+                if trouble is None:
+                    own, final = f"{root}/parts/{uuid.uuid4().hex}", f"{root}/tree/{path}"
+                    there.create_dir(f"{root}/parts", recursive=True)
+                    with there.open_output_stream(own) as out:
+                        out.write(data)
+                    there.create_dir(final.rsplit("/", 1)[0], recursive=True)
+                    there.move(own, final)
+                told.append((path, digest, len(data) if data is not None else None, trouble))
+            yield pd.DataFrame(told, columns=["path", "sha256", "size", "problem"]).astype({"size": "Int64"})
+
+    rows = chosen.select("path", "sha256", problem.alias("problem"), "content").mapInPandas(write, "path string, sha256 string, size long, problem string")
+    own, _ = _path(spark, staging)
+    try:
+        rows.write.parquet(f"{staging}/extracted")
+        bad = spark.read.parquet(f"{staging}/extracted").where("problem IS NOT NULL").groupBy("problem").count().collect()  # at most one row for each kind of problem
+        if bad:
+            raise ValueError("not extracted: " + ", ".join(f"{r['count']} {r['problem']}" for r in sorted(bad, key=lambda r: r["problem"])))
+        fs.delete(_path(spark, f"{staging}/parts")[0], True)
+        jvm = spark.sparkContext._jvm
+        none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(own, target, none)  # refuses a target that is there
+    except Exception:
+        fs.delete(own, True)
+        raise
+    return spark.read.parquet(f"{folder}/extracted").select("path", "sha256", "size")
