@@ -167,7 +167,44 @@ def place_classes(rows: DataFrame, row: str, cols: list[str]) -> DataFrame:
     return rows.join(least, same).drop(*[f"__{c}" for c in cols])
 
 
-def signal_pairs(sources: DataFrame, nodes: DataFrame, least: int = 20) -> DataFrame:
+def _base(c: str) -> Column:
+    return F.substring_index(c, "/", -1)
+
+
+def _by_name(nodes: DataFrame) -> DataFrame:
+    """node, __b: the base names of a node's path and of its original one."""
+    b = nodes.select(F.col("class_id").alias("node"), "path", "original").distinct()
+    return b.select("node", F.explode(F.array_distinct(F.array(_base("path"), _base("original")))).alias("__b")).where("__b IS NOT NULL")
+
+
+def _by_digest(places: DataFrame, out: str) -> DataFrame:
+    return places.where("digest IS NOT NULL").select("digest", F.col("class_id").alias(out)).distinct()
+
+
+def evaluations(sources: DataFrame, nodes: DataFrame, most: int, width: int = 1024) -> DataFrame:
+    """source, hits, evaluated, omitted: how many of each source's candidates a budget for all of them reaches.
+
+    A hit is a node class with the base name, or one digest that both have, so
+    hits follow from the counts of the two indexes and no pair is made.  Sources
+    use the budget up in the order of their ids; ids are whole numbers, and one
+    row for each `width` of them meets in one task.
+    """
+    names = _by_name(nodes).groupBy("__b").agg(F.count("*").alias("__n"))
+    digests = _by_digest(nodes, "node").groupBy("digest").agg(F.count("*").alias("__n"))
+    own = sources.select(F.col("class_id").alias("source"), "path").distinct()
+    near = own.select("source", _base("path").alias("__b")).join(names, "__b").select("source", "__n")
+    equal = _by_digest(sources, "source").join(digests, "digest").select("source", "__n")
+    hits = near.unionByName(equal).groupBy("source").agg(F.sum("__n").alias("__hits"))
+    every = own.select("source").distinct().join(hits, "source", "left").select("source", F.coalesce("__hits", F.lit(0)).cast("long").alias("hits"), F.floor(F.col("source") / width).alias("__cell"))
+    before = lambda w: F.coalesce(F.sum("hits").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = every.groupBy("__cell").agg(F.sum("hits").alias("hits"))
+    offsets = cells.select("__cell", before(Window.orderBy("__cell")).alias("__offset"))
+    told = every.withColumn("__own", before(Window.partitionBy("__cell").orderBy("source"))).join(offsets, "__cell")
+    evaluated = F.greatest(F.lit(0).cast("long"), F.least("hits", F.lit(most).cast("long") - F.col("__own") - F.col("__offset")))
+    return told.select("source", "hits", evaluated.alias("evaluated")).withColumn("omitted", F.col("hits") - F.col("evaluated"))
+
+
+def signal_pairs(sources: DataFrame, nodes: DataFrame, least: int = 20, budget: DataFrame | None = None) -> DataFrame:
     """source, node, digest, score, rank of classes of places.
 
     sources have class_id, path and digest, nodes also original, the path before
@@ -175,20 +212,32 @@ def signal_pairs(sources: DataFrame, nodes: DataFrame, least: int = 20) -> DataF
     one with a digest for those that both have it.  Candidates share the digest
     or a base name; the index of path suffixes finds no others, as a source's
     path that ends a node's path has its base name too.
+
+    budget, from `evaluations`: a source without a candidate left makes no pair,
+    and the one at which the budget ends only its first ones, by node and then
+    digest, the base name last.
     """
-    base = lambda c: F.substring_index(c, "/", -1)
-    ext = lambda c: F.lower(F.regexp_extract(base(c), r"^.+(\.[^.]*)$", 1))
+    ext = lambda c: F.lower(F.regexp_extract(_base(c), r"^.+(\.[^.]*)$", 1))
+
+    def candidates(some: DataFrame) -> DataFrame:
+        near = some.select(F.col("class_id").alias("source"), _base("path").alias("__b")).distinct().join(_by_name(nodes), "__b").select("source", "node", F.lit(None).cast("string").alias("digest"))
+        return near.unionByName(_by_digest(some, "source").join(_by_digest(nodes, "node"), "digest").select("source", "node", "digest"))
+
     a = sources.select(F.col("class_id").alias("source"), F.col("path").alias("own")).distinct()
     b = nodes.select(F.col("class_id").alias("node"), "path", "original").distinct()
-    named = b.select("node", F.explode(F.array_distinct(F.array(base("path"), base("original")))).alias("__b")).where("__b IS NOT NULL")
-    near = a.select("source", base("own").alias("__b")).join(named, "__b").select("source", "node", F.lit(None).cast("string").alias("digest"))
-    told = lambda df, out: df.where("digest IS NOT NULL").select("digest", F.col("class_id").alias(out)).distinct()
-    equal = told(sources, "source").join(told(nodes, "node"), "digest").select("source", "node", "digest")
-    found = near.unionByName(equal).join(a, "source").join(b, "node")
+    if budget is None:
+        found = candidates(sources)
+    else:
+        whole = budget.where("evaluated = hits").select(F.col("source").alias("class_id"))
+        found = candidates(sources.join(whole, "class_id", "left_semi"))
+        last = budget.where("evaluated > 0 AND omitted > 0").select("source", "evaluated").first()  # one source at most
+        if last is not None:
+            found = found.unionByName(candidates(sources.where(F.col("class_id") == last.source)).orderBy("node", F.asc_nulls_last("digest")).limit(last.evaluated))
+    found = found.join(a, "source").join(b, "node")
     ends = lambda c: F.endswith(F.col(c), F.concat(F.lit("/"), "own"))
     signals = [
         (F.col("digest").isNotNull(), 100), ((F.col("original") == F.col("own")) | ends("original"), 70), (F.col("path") == F.col("own"), 60), (ends("path"), 40),
-        ((base("path") == base("own")) | (base("original") == base("own")), 20), ((ext("own") != "") & ((ext("path") == ext("own")) | (ext("original") == ext("own"))), 5),
+        ((_base("path") == _base("own")) | (_base("original") == _base("own")), 20), ((ext("own") != "") & ((ext("path") == ext("own")) | (ext("original") == ext("own"))), 5),
     ]
     score = sum((F.when(hit, w).otherwise(0) for hit, w in signals), F.lit(0))
     w = Window.partitionBy("source").orderBy(F.desc("score"), "node", F.asc_nulls_last("digest"))
