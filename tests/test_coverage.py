@@ -39,8 +39,9 @@ def all_paths(edges, start, goal, depth):
     return sorted(out, key=lambda p: (len(p), p))
 
 
-def test_routes_against_all_paths(spark):
-    rng = random.Random(1)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_routes_against_all_paths(spark, seed):
+    rng = random.Random(seed)
     edges = {(rng.randrange(9), rng.randrange(9)) for _ in range(24)}
     known = [x for x in range(9) if x not in (2, 7)]
     pairs = [(a, b) for a in range(9) for b in (0, 3, 7, 11)]
@@ -70,7 +71,7 @@ def test_routes_end_in_a_dense_graph(spark):
 # ---- source matching
 
 
-@pytest.mark.parametrize("most", [0, 23])
+@pytest.mark.parametrize("most", [0, 1, 7, 23, 10_000])
 def test_budget_of_evaluations(spark, most):
     rng = random.Random(5)
     path = lambda: rng.choice(["a/", "b/", ""]) + rng.choice(["x.js", "y.js", "index.html"])
