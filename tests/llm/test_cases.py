@@ -4,8 +4,11 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +248,38 @@ def test_repeats_of_a_long_text(spark):
     assert got == [(1, 1_000_000, 0), (2, 200_010, 200_000), (3, 100_000, 0), (4, 61, 60), (4, 61, 60)]
 
 
+def parsed(texts):
+    """All runs of the texts that meet, as they are sent, in one bucket."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    sent = pa.Table.from_batches(suffix_dedup._parse(50, 1, 1)(iter([batch])))
+    return sent.filter(pa.compute.equal(sent.column("sort"), suffix_dedup.MEETS))
+
+
+def test_runs_are_sent_in_little_memory_and_few_bytes():
+    """4 MB of text: what a task holds at once, and what a run of about 18 bytes costs the shuffle."""
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abcdefghij "), 8192)) for _ in range(512)]
+    parsed(texts[:8])
+    tracemalloc.start()
+    sent = parsed(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    runs = sum(sent.column("n").to_pylist())
+    assert peak < 100e6, peak
+    assert sum(len(x) for c in ("docs", "starts", "lefts", "rights", "phrase", "left", "right") for x in sent.column(c).to_pylist()) <= 22 * runs
+
+
+def test_only_pieces_that_may_share_a_window_go_on():
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("abcdefghij "), 70))
+    common, passage = "a phrase of 22 letters", "a passage of more than fifty bytes that two documents hold in other places"
+    texts = [word() + common + word() for _ in range(300)]  # anchors recur, no 50 bytes do
+    meet = suffix_dedup._meet(50, 1)
+    assert meet(parsed(texts)).num_rows == 0
+    marks = meet(parsed([*texts, word() + passage + word(), word() + passage + word()])).to_pylist()
+    assert any(r["kind"] == suffix_dedup.OPEN for r in marks) and sum(r["bytes"] for r in marks) < 1000
+
+
 # -- toxicity
 
 

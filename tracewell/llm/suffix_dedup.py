@@ -10,25 +10,30 @@ a document with a smaller id; strings are judged on the input.
    windows can only repeat between runs of the same anchor, and the corpus
    falls into buckets of runs that can be judged apart.
 2. Whole copies.  Runs meet at their anchor's hash bucket.  A run of which a
-   smaller document has an equal copy is repeated as a whole.  What is left is
-   one holder of each distinct run; if its anchor occurs in another distinct
-   run, it goes on, else all of it is unique.
-3. Prefix-free parsing of each bucket's runs.  Every place whose rolling hash
-   over `PARSE` bytes is 0 modulo `MODULUS` is a trigger; a phrase goes from
-   one trigger to the end of the next.  The suffix array of the dictionary of
-   distinct phrases and that of the parse (each run as a sequence of phrases)
-   come from prefix doubling; a window's place in corpus order is the rank of
-   its phrase's suffix, then the rank of the parse that follows.  No suffix
-   that ends in a trigger is a prefix of another, so this is the order of the
-   bytes; neighbours that share `size` bytes form a class, whose least document
-   keeps them.
+   smaller document has an equal copy is repeated as a whole; what is left is
+   one holder of each distinct run.  A window reaches from its anchor at least
+   half of the other bytes to the left, or more than the rest to the right, and
+   brings those bytes along; so the windows of a run fall into a left and a
+   right piece, and a piece can only share a window with one whose anchor has
+   the same bytes on that side.  Pieces whose side occurs in another document
+   go on; all others are unique.
+3. Prefix-free parsing of each bucket's pieces, dealt by their sides.  Every
+   place whose rolling hash over `PARSE` bytes is 0 modulo `MODULUS` is a
+   trigger; a phrase goes from one trigger to the end of the next.  The suffix
+   array of the dictionary of distinct phrases and that of the parse (each
+   piece as a sequence of phrases) come from prefix doubling; a window's place
+   in corpus order is the rank of its phrase's suffix, then the rank of the
+   parse that follows.  No suffix that ends in a trigger is a prefix of
+   another, so this is the order of the bytes; neighbours that share `size`
+   bytes form a class, whose least document keeps them.
 4. Removal.  The repeated windows of each document are painted over its bytes.
 
 Copies shrink before they travel: of equal runs in one batch only that of
 the least document is sent.  Texts are shuffled twice, in buckets whose number
-grows with the bytes of all texts; no task holds more than its bucket.  Stages
-are written to the shared folder and deleted after their last use, but for the
-marks that the result reads.
+grows with the bytes of all texts; no task holds more than its bucket.  Runs
+and marks travel sorted by document, as differences in the fewest bytes.
+Stages are written to the shared folder and deleted after their last use, but
+for the marks that the result reads.
 
 Defined cases: null texts are empty; texts shorter than `size` lose nothing;
 rows without an id lose nothing and repeat nothing.  An id names one document:
@@ -47,15 +52,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import hashing
-from tracewell.llm.common import forget, fresh, slices, stored
+from tracewell.llm.common import fresh, slices, stored
 
 TRIGGER = 16
 #: Bytes of a phrase trigger, and one in how many places is one.
 PARSE, MODULUS = 8, 64
-#: About so many bytes of text fall into a bucket of documents.
-BUCKET_BYTES = 32 << 20
-BATCH_BYTES = 2 << 20
-MARKS = "dbucket int, docs binary, starts binary, wins binary, kind int"
+#: About so many bytes of text fall into a bucket of documents, and of pieces that go on into one of theirs.
+BUCKET_BYTES, PIECE_BYTES = 8 << 20, 1 << 19
+#: Bytes of text that a task hashes at once, and of which it sends the runs together.
+SLICE_BYTES, BATCH_BYTES = 1 << 18, 4 << 20
+MARKS = "dbucket int, n int, base long, docs binary, starts binary, wins binary, sides binary, kind int, bytes long"
 WHOLE, OPEN = 0, 1
 #: Columns that `remove` adds.
 MADE = ("n_bytes", "n_removed", "n_spans", "kept", "removed")
@@ -63,11 +69,11 @@ MEETS, SETTLED = 0, 1
 
 
 def runs(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """First window, number of windows, anchor hash and hash of each run."""
+    """First window, windows of the left and of the right piece, anchor hash, hash, and left and right side of each run (0: no such piece)."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < size:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, *[none.astype(np.uint64)] * 2, *[none.astype(np.uint32)] * 2
     p = hashing.Prefix(data)
     h = p.of(np.arange(n - TRIGGER + 1), np.arange(TRIGGER, n + 1))
     width = size - TRIGGER + 1
@@ -97,14 +103,37 @@ def runs(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...
     count = np.diff(np.append(first, m))
     own = inside[first]
     first, count = first[own], count[own]
-    return first, count, h[at[first]], p.of(first, first + count + size - 1)
+    anchor = at[first].astype(np.int64)
+    half = width // 2  # bytes left of the anchor that a window of the left piece has; one of the right piece has width - half bytes right of it
+    left = np.clip(anchor - half + 1 - first, 0, count)
+    sides = [np.zeros(len(first), np.uint32) for _ in range(2)]
+    for side, own, x, y in ((sides[0], left > 0, anchor - half, anchor + TRIGGER), (sides[1], left < count, anchor, anchor + TRIGGER + width - half)):
+        side[own] = (p.of(x[own], y[own]) >> hashing.U(32)).astype(np.uint32) | np.uint32(1)
+    return first, left, count - left, h[at[first]], p.of(first, first + count + size - 1), *sides
 
 
-def _split(bucket: np.ndarray, cols: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
-    order = np.argsort(bucket, kind="stable")
+def _dense(x: np.ndarray) -> bytes:
+    return x.astype(np.min_scalar_type(x.max())).tobytes()
+
+
+def _split(bucket: np.ndarray, docs: np.ndarray, starts: np.ndarray, dense: list[np.ndarray], plain: list[np.ndarray]) -> Iterator[tuple]:
+    """Rows of each bucket: its number, how many, the least document, then binary columns, of numbers in the fewest bytes or as they are."""
+    order = np.lexsort((starts, docs, bucket))
     names, at = np.unique(bucket[order], return_index=True)
     for b, x, y in zip(names, at, np.append(at, len(order))[1:], strict=True):
-        yield int(b), [c[order[x:y]].tobytes() for c in cols]
+        o = order[x:y]
+        d = docs[o].astype(np.int64).view(np.uint64)
+        yield int(b), y - x, int(d[:1].view(np.int64)[0]), _dense(np.append(hashing.U(0), d[1:] - d[:-1])), _dense(starts[o]), *(_dense(c[o]) for c in dense), *(c[o].tobytes() for c in plain)
+
+
+def _numbers(t: pa.Table, name: str) -> np.ndarray:
+    """A column that _dense wrote."""
+    return np.concatenate([np.frombuffer(x, f"<u{len(x) // n}").astype(np.int64) for x, n in zip(t.column(name).to_pylist(), t.column("n").to_pylist(), strict=True)] or [np.zeros(0, np.int64)])
+
+
+def _docs(t: pa.Table) -> np.ndarray:
+    out = [np.cumsum(np.frombuffer(x, f"<u{len(x) // n}"), dtype=np.uint64).view(np.int64) + base for x, n, base in zip(*(t.column(c).to_pylist() for c in ("docs", "n", "base")), strict=True)]
+    return np.concatenate(out or [np.zeros(0, np.int64)])
 
 
 def _dbucket(docs: np.ndarray, buckets: int) -> np.ndarray:
@@ -112,34 +141,40 @@ def _dbucket(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (d ^ (d >> 7) ^ (d >> 15) ^ (d >> 31)) % buckets
 
 
+def _sent(held: list[tuple], buckets: int, deal: int) -> pa.RecordBatch:
+    """Of equal runs the one of the least document goes on; the others are settled."""
+    trigger, phrase, left, right, doc, start, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((doc, phrase, trigger))
+    same = np.append(False, (trigger[order][1:] == trigger[order][:-1]) & (phrase[order][1:] == phrase[order][:-1]))
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    own = doc[order] == doc[order][head]
+    keep, gone = order[own], order[~own]
+    rows = [(MEETS, *x) for x in _split((trigger[keep] % np.uint64(buckets)).astype(np.int64), doc[keep], start[keep], [a[keep], b[keep]], [phrase[keep], left[keep], right[keep]])]
+    if len(gone):
+        rows += [(SETTLED, *x, *[b""] * 4) for x in _split(_dbucket(doc[gone], deal), doc[gone], start[gone], [a[gone] + b[gone]], [])]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int32()] * 3 + [pa.int64()] + [pa.binary()] * 7, strict=True)], [x.split()[0] for x in PARSED.split(", ")])
+
+
 def _parse(size: int, buckets: int, deal: int):
     def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(it, "text", BATCH_BYTES):
+        held, bytes_held = [], 0
+        for b in slices(it, "text", SLICE_BYTES):
             data, ends = hashing.flat(b.column("text"))
-            first, count, trigger, phrase = runs(data, ends, size)
-            if not len(first):
-                continue
-            text = hashing.owner(first, ends)
-            doc = b.column("doc_id").to_numpy()[text]
-            start = first - np.append(0, ends[:-1])[text]
-            # Of equal runs the one of the least document goes on; with it the least start.
-            order = np.lexsort((start, doc, phrase, trigger))
-            same = np.append(False, (trigger[order][1:] == trigger[order][:-1]) & (phrase[order][1:] == phrase[order][:-1]))
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-            own = doc[order] == doc[order][head]
-            keep, gone = order[own], order[~own]
-            rows = []
-            for k, cols in _split((trigger[keep] % np.uint64(buckets)).astype(np.int64), [trigger[keep], phrase[keep], doc[keep].astype(np.int64), start[keep].astype("<u4"), count[keep].astype("<u2")]):
-                rows.append((MEETS, k, *cols))
-            for k, cols in _split(_dbucket(doc[gone], deal), [doc[gone].astype(np.int64), start[gone].astype("<u4"), count[gone].astype("<u2")]):
-                rows.append((SETTLED, k, b"", b"", *cols))
-            parts = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int32()), pa.array(parts[1], pa.int32()), *(pa.array(c, pa.binary()) for c in parts[2:])], ["sort", "bucket", "trigger", "phrase", "docs", "starts", "wins"])
+            first, left, right, trigger, phrase, *sides = runs(data, ends, size)
+            if len(first):
+                text = hashing.owner(first, ends)
+                held.append((trigger, phrase, *sides, b.column("doc_id").to_numpy()[text].astype(np.int64), first - np.append(0, ends[:-1])[text], left.astype(np.uint16), right.astype(np.uint16)))
+                bytes_held += len(data)
+            if bytes_held >= BATCH_BYTES:
+                yield _sent(held, buckets, deal)
+                held, bytes_held = [], 0
+        if held:
+            yield _sent(held, buckets, deal)
 
     return fn
 
 
-PARSED = "sort int, bucket int, trigger binary, phrase binary, docs binary, starts binary, wins binary"
+PARSED = "sort int, bucket int, n int, base long, docs binary, starts binary, lefts binary, rights binary, phrase binary, left binary, right binary"
 
 
 def _join(t: pa.Table, name: str, kind) -> np.ndarray:
@@ -147,76 +182,91 @@ def _join(t: pa.Table, name: str, kind) -> np.ndarray:
 
 
 def _marks(rows: list) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:4]), pa.array(cols[4], pa.int32())], ["dbucket", "docs", "starts", "wins", "kind"])
+    """Rows of dbucket, n, base, docs, starts, wins, sides, kind and bytes."""
+    names = [x.split() for x in MARKS.split(", ")]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.table([pa.array(c, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[kind]) for c, (_, kind) in zip(cols, names, strict=True)], [n for n, _ in names])
+
 
+def _shared(side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which sides occur in two documents."""
+    if not len(side):
+        return np.zeros(0, bool)
+    _, group = np.unique(side, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    begins = np.nonzero(np.append(True, np.diff(group[order]) != 0))[0]
+    return (np.minimum.reduceat(doc[order], begins) != np.maximum.reduceat(doc[order], begins))[group]
 
-def _meet(deal: int):
-    """Runs of a bucket: repeated as a whole, to go on, or unique."""
+
+def _meet(size: int, deal: int):
+    """Runs of a bucket: repeated as a whole, with pieces to go on, or unique."""
 
     def fn(t: pa.Table) -> pa.Table:
-        trigger, phrase, doc = _join(t, "trigger", np.uint64), _join(t, "phrase", np.uint64), _join(t, "docs", np.int64)
-        start, wins = _join(t, "starts", "<u4"), _join(t, "wins", "<u2")
-        order = np.lexsort((doc, phrase, trigger))
-        g, p, d = trigger[order], phrase[order], doc[order]
-        new_g = np.append(True, g[1:] != g[:-1])
-        new_p = new_g | np.append(True, p[1:] != p[:-1])
-        place = np.arange(len(order))
-        head = np.maximum.accumulate(np.where(new_p, place, 0))
-        whole = d != d[head]
-        group = np.cumsum(new_g) - 1
-        many = np.bincount(group, new_p)[group] > 1
-        other = np.minimum.reduceat(d, np.nonzero(new_g)[0])[group] != np.maximum.reduceat(d, np.nonzero(new_g)[0])[group]
-        goes_on = ~whole & many & other
-        rows = []
-        for own, kind in ((whole, WHOLE), (goes_on, OPEN)):
-            o = order[own]
-            rows += [(k, *cols, kind) for k, cols in _split(_dbucket(doc[o], deal), [doc[o], start[o], wins[o]])]
+        doc, start, a, b = _docs(t), _numbers(t, "starts"), _numbers(t, "lefts"), _numbers(t, "rights")
+        phrase, left, right = _join(t, "phrase", np.uint64), _join(t, "left", np.uint32), _join(t, "right", np.uint32)
+        order = np.lexsort((doc, right, left, phrase))
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (phrase, left, right, a, b)])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        gone = doc[order] != doc[order][head]
+        o, rest = order[gone], order[~gone]
+        rows = [(*x, b"", WHOLE, 0) for x in _split(_dbucket(doc[o], deal), doc[o], start[o], [a[o] + b[o]], [])] if len(o) else []
+        doc, start, a, b, left, right = (x[rest] for x in (doc, start, a, b, left, right))
+        pieces = []
+        for side, first, wins in ((left, start, a), (right, start + a, b)):
+            own = np.nonzero(side)[0]
+            own = own[_shared(side[own], doc[own])]
+            pieces.append((doc[own], first[own], wins[own], side[own]))
+        doc, start, wins, side = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        if len(doc):
+            place = _dbucket(doc, deal)
+            total = np.bincount(place, wins + size - 1)
+            rows += [(*x, OPEN, int(total[x[0]])) for x in _split(place, doc, start, [wins], [side])]
         return _marks(rows)
 
     return fn
 
 
-def _by_doc(marks: pa.Table, kind: int | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    if kind is not None:
-        marks = marks.filter(pa.compute.equal(marks.column("kind"), kind))
-    doc, start, wins = _join(marks, "docs", np.int64), _join(marks, "starts", "<u4").astype(np.int64), _join(marks, "wins", "<u2").astype(np.int64)
+def _by_doc(marks: pa.Table) -> dict[int, tuple[np.ndarray, ...]]:
+    """Starts, windows and, of pieces that go on, sides of each document."""
+    doc, start, wins, side = _docs(marks), _numbers(marks, "starts"), _numbers(marks, "wins"), _join(marks, "sides", np.uint32)
     order = np.argsort(doc, kind="stable")
     names, at = np.unique(doc[order], return_index=True)
-    return {int(k): (start[order[x:y]], wins[order[x:y]]) for k, x, y in zip(names, at, np.append(at, len(order))[1:], strict=True)}
+    cols = [x[order] for x in (start, wins, side) if len(x) == len(order)]
+    return {int(k): tuple(c[x:y] for c in cols) for k, x, y in zip(names, at, np.append(at, len(order))[1:], strict=True)}
 
 
 def _texts(size: int, buckets: int):
-    """The bytes of the runs that go on, dealt by anchor as before."""
+    """The bytes of the pieces that go on, dealt by their sides."""
 
     def fn(docs: pa.Table, marks: pa.Table) -> pa.Table:
         out, seen = [], set()
-        wanted = _by_doc(marks, OPEN)
-        for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+        wanted = _by_doc(marks)
+        for i, doc in enumerate(docs.column("doc_id").to_pylist()):
             if doc not in wanted or doc in seen:
                 continue
             seen.add(doc)
-            raw = np.frombuffer(text.encode(), np.uint8)
-            start, wins = wanted[doc]
-            first, count, trigger, _ = runs(raw, np.array([len(raw)]), size)
-            at = np.searchsorted(first, start)
-            out.append((np.full(len(start), doc, np.int64), start, wins, trigger[at], [raw[a : a + w + size - 1] for a, w in zip(start.tolist(), wins.tolist(), strict=True)]))
+            raw = np.frombuffer(docs.column("text")[i].as_py().encode(), np.uint8)
+            start, wins, side = wanted[doc]
+            out.append((np.full(len(start), doc, np.int64), start, wins, side, [raw[a : a + w + size - 1] for a, w in zip(start.tolist(), wins.tolist(), strict=True)]))
         rows = []
         if out:
-            doc, start, wins, trigger = (np.concatenate([x[i] for x in out]) for i in range(4))
+            doc, start, wins, side = (np.concatenate([x[i] for x in out]) for i in range(4))
             content = [c for x in out for c in x[4]]
-            bucket = (trigger % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            bucket = (side // np.uint32(2)).astype(np.int64) % buckets
+            order = np.lexsort((start, doc, bucket))  # as _split has it
             names, at = np.unique(bucket[order], return_index=True)
-            for b, x, y in zip(names, at, np.append(at, len(order))[1:], strict=True):
-                o = order[x:y]
-                rows.append((int(b), doc[o].tobytes(), start[o].astype("<u4").tobytes(), wins[o].astype("<u2").tobytes(), np.concatenate([content[i] for i in o]).tobytes()))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "docs", "starts", "wins", "content"])
+            texts = [np.concatenate([content[i] for i in order[x:y]]).tobytes() for x, y in zip(at, np.append(at, len(order))[1:], strict=True)]
+            rows = [(*x, c) for x, c in zip(_split(bucket, doc, start, [wins], []), texts, strict=True)]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        return pa.table([pa.array(c, kind) for c, kind in zip(cols, [pa.int32()] * 2 + [pa.int64()] + [pa.binary()] * 4, strict=True)], [x.split()[0] for x in CONTENT.split(", ")])
 
     return fn
 
 
+CONTENT = "bucket int, n int, base long, docs binary, starts binary, wins binary, content binary"
+
+
 def suffix_ranks(data: np.ndarray, size: int, ends: np.ndarray | None = None) -> np.ndarray:
     """Rank of each suffix by its first `size` bytes, by prefix doubling.
 
@@ -299,10 +349,10 @@ def corpus_order(data: np.ndarray, ends: np.ndarray, at: np.ndarray, size: int)
 
 
 def _classes(size: int, deal: int):
-    """Windows of a bucket's runs that a smaller document holds too."""
+    """Windows of a bucket's pieces that a smaller document holds too."""
 
     def fn(t: pa.Table) -> pa.Table:
-        doc, start, wins = _join(t, "docs", np.int64), _join(t, "starts", "<u4"), _join(t, "wins", "<u2").astype(np.int64)
+        doc, start, wins = _docs(t), _numbers(t, "starts"), _numbers(t, "wins")
         data = _join(t, "content", np.uint8)
         long = wins + size - 1
         ends = np.cumsum(long)
@@ -312,8 +362,13 @@ def _classes(size: int, deal: int):
         who, nth = who[order], nth[order]
         least = np.minimum.reduceat(doc[who], np.nonzero(new)[0])[np.cumsum(new) - 1]
         gone = doc[who] > least
-        d, s = doc[who[gone]], (start[who[gone]] + nth[gone]).astype("<u4")
-        return _marks([(k, *cols, WHOLE) for k, cols in _split(_dbucket(d, deal), [d, s, np.ones(len(d), "<u2")])])
+        d, s = doc[who[gone]], start[who[gone]] + nth[gone]
+        if not len(d):
+            return _marks([])
+        order = np.lexsort((s, d))
+        d, s = d[order], s[order]
+        begins = np.nonzero(np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)))[0]  # of windows in a row
+        return _marks([(*x, b"", WHOLE, 0) for x in _split(_dbucket(d[begins], deal), d[begins], s[begins], [np.diff(np.append(begins, len(d)))], [])])
 
     return fn
 
@@ -327,7 +382,7 @@ def _whole_characters(raw: np.ndarray, cover: np.ndarray) -> np.ndarray:
 
 def _remove(size: int, rest: list[str], characters: bool, doc_id: str, text: str):
     def fn(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        gone = _by_doc(marks, WHOLE)
+        gone = _by_doc(marks)
         n_bytes, n_removed, n_spans, kept, spans = [], [], [], [], []
         for doc, content in zip(docs.column(doc_id).to_pylist(), docs.column(text).to_pylist(), strict=True):
             raw = np.frombuffer(content.encode(), np.uint8)
@@ -353,12 +408,13 @@ def _remove(size: int, rest: list[str], characters: bool, doc_id: str, text: str
     return fn
 
 
-def _meet_or_pass(deal: int):
-    meet = _meet(deal)
+def _meet_or_pass(size: int, deal: int):
+    meet = _meet(size, deal)
 
     def fn(t: pa.Table) -> pa.Table:
         if t.column("sort")[0].as_py() == SETTLED:
-            return pa.table([t.column("bucket"), t.column("docs"), t.column("starts"), t.column("wins"), pa.array([WHOLE] * t.num_rows, pa.int32())], ["dbucket", "docs", "starts", "wins", "kind"])
+            n = t.num_rows
+            return _marks(list(zip(*(t.column(c).to_pylist() for c in ("bucket", "n", "base", "docs", "starts", "lefts")), [b""] * n, [WHOLE] * n, [0] * n, strict=True)))
         return meet(t)
 
     return fn
@@ -376,16 +432,15 @@ def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str =
     spark = docs.sparkSession
     own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))  # buckets of documents, and of runs that meet
-    buckets = 4 * deal + 1  # of dictionaries, whose suffixes take more room
-    met = stored(own.mapInArrow(_parse(size, deal, deal), PARSED).groupBy("sort", "bucket").applyInArrow(_meet_or_pass(deal), MARKS))
-    dealt = own.withColumn("dbucket", _bucket_column("doc_id", "text", deal))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    deal = max(partitions, -(-total // BUCKET_BYTES))  # buckets of documents, and of runs that meet
+    met = stored(own.mapInArrow(_parse(size, deal, deal), PARSED).groupBy("sort", "bucket").applyInArrow(_meet_or_pass(size, deal), MARKS))
     open_marks = met.where(F.col("kind") == OPEN)
-    texts = dealt.groupBy("dbucket").cogroup(open_marks.groupBy("dbucket")).applyInArrow(_texts(size, buckets), "bucket int, docs binary, starts binary, wins binary, content binary")
+    buckets = max(partitions, -(-(open_marks.agg(F.sum("bytes")).first()[0] or 0) // PIECE_BYTES))  # of dictionaries, whose suffixes take more room
+    dealt = own.withColumn("dbucket", _bucket_column("doc_id", "text", deal))
+    texts = dealt.groupBy("dbucket").cogroup(open_marks.groupBy("dbucket")).applyInArrow(_texts(size, buckets), CONTENT)
     found = stored(texts.groupBy("bucket").applyInArrow(_classes(size, deal), MARKS))
-    marks = stored(met.where(F.col("kind") == WHOLE).unionByName(found))
-    forget(met, found)
-    return marks, deal
+    return met.where(F.col("kind") == WHOLE).unionByName(found), deal
 
 
 def remove(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str = "doc_id", characters: bool = False) -> DataFrame:
