@@ -104,3 +104,17 @@ def test_signal_pairs_keep_every_page(spark):
     assert {(r.id, r.class_id) for r in b.collect()} == {(1, 1), (3, 1), (5, 5), (7, 7), (9, 9), (11, 11)}
     got = {tuple(r) for r in match.signal_pairs(a, b).collect()}
     assert got == {(2, 1, "d2", 185, 1), (2, 7, None, 95, 2), (2, 1, None, 85, 3), (2, 5, None, 65, 4), (6, 9, "d3", 100, 1), (8, 11, "d4", 100, 1)}
+
+
+# -- queries whose SQL had made their job smaller: all lines, kinds and units count
+LARGER = "/root/testdata/sf0.01"
+
+
+def test_relational_division_counts_every_line(spark):
+    lines, part = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("lineitem", "part"))
+    brands = dict(part.select("p_partkey", "p_brand").collect())
+    have = {}
+    for who, what in lines.select("l_suppkey", "l_partkey").collect():
+        have.setdefault(who, set()).add(brands[what])
+    want = {(who, len(b)) for who, b in have.items() if len(b) == len(set(brands.values()))}
+    assert {tuple(r) for r in catalog.QUERIES["relational_division"](spark, LARGER).collect()} == want and len(want) == 100
