@@ -118,3 +118,13 @@ def test_relational_division_counts_every_line(spark):
         have.setdefault(who, set()).add(brands[what])
     want = {(who, len(b)) for who, b in have.items() if len(b) == len(set(brands.values()))}
     assert {tuple(r) for r in catalog.QUERIES["relational_division"](spark, LARGER).collect()} == want and len(want) == 100
+
+
+def test_comparable_payloads_compare_to_the_unit(spark):
+    totals = {}
+    for r in spark.read.parquet(f"{LARGER}/events.parquet").select("user_id", "event_type", "ts", "value").collect():
+        n, total = totals.setdefault((r.user_id, r.event_type), {}).get(r.ts.day < 16, (0, 0.0))
+        totals[r.user_id, r.event_type][r.ts.day < 16] = (n + 1, total + r.value)
+    want = {k: t[True][0] == t[False][0] and round(t[True][1]) == round(t[False][1]) for k, t in totals.items() if len(t) == 2}
+    told = catalog.QUERIES["comparable_payloads"](spark, LARGER).collect()
+    assert {(r.user_id, r.event_type): r.exact for r in told} == want and any(r.same and not r.exact for r in told)

@@ -11,15 +11,16 @@ from tracewell.plans.catalog import query
 from tracewell.sources import table
 
 
-@query("""WITH f AS (SELECT user_id, event_type, count(*) AS n, round(sum(value) / 100) AS total, min(event_id) AS volatile FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL), g AS (SELECT user_id, event_type, count(*) AS n, round(sum(value) / 100) AS total, min(event_id) AS volatile FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY ALL)
-SELECT user_id, event_type, f.n = g.n AND f.total = g.total AS same FROM f JOIN g USING (user_id, event_type)""")
+@query("""WITH f AS (SELECT user_id, event_type, count(*) AS n, round(sum(value)) AS total, round(sum(value) / 100) AS hundreds, min(event_id) AS volatile FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL), g AS (SELECT user_id, event_type, count(*) AS n, round(sum(value)) AS total, round(sum(value) / 100) AS hundreds, min(event_id) AS volatile FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY ALL)
+SELECT user_id, event_type, f.n = g.n AND f.hundreds = g.hundreds AS same, f.n = g.n AND f.total = g.total AS exact FROM f JOIN g USING (user_id, event_type)""")
 def comparable_payloads(spark, d):
-    """Payloads of two captures without their volatile field."""
+    """Payloads of two captures without their volatile field: the same to the hundred, and exactly."""
     early = F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-16"))
-    payload = F.struct(F.count("*").alias("n"), F.round(F.sum("value") / 100).alias("total"), F.min("event_id").alias("volatile"))
+    payload = F.struct(F.count("*").alias("n"), F.round(F.sum("value")).alias("total"), F.round(F.sum("value") / 100).alias("hundreds"), F.min("event_id").alias("volatile"))
     p = table(spark, d, "events").groupBy("user_id", "event_type", early.alias("early")).agg(payload.alias("p")).withColumn("p", F.col("p").dropFields("volatile"))
     a, b = (p.where(c).select("user_id", "event_type", F.col("p").alias(n)) for c, n in (("early", "a"), ("NOT early", "b")))
-    return a.join(b, ["user_id", "event_type"]).select("user_id", "event_type", (F.col("a") == F.col("b")).alias("same"))
+    same = lambda left_out: F.col("a").dropFields(left_out) == F.col("b").dropFields(left_out)
+    return a.join(b, ["user_id", "event_type"]).select("user_id", "event_type", same("total").alias("same"), same("hundreds").alias("exact"))
 
 
 @query("""SELECT event_id, 'event' AS source, user_id AS subject_id, epoch_us(ts) // 1000 AS at_ms, event_type AS payload FROM events WHERE event_type IN ('signup', 'error')
