@@ -128,3 +128,19 @@ def test_comparable_payloads_compare_to_the_unit(spark):
     want = {k: t[True][0] == t[False][0] and round(t[True][1]) == round(t[False][1]) for k, t in totals.items() if len(t) == 2}
     told = catalog.QUERIES["comparable_payloads"](spark, LARGER).collect()
     assert {(r.user_id, r.event_type): r.exact for r in told} == want and any(r.same and not r.exact for r in told)
+
+
+def test_hypotheses_take_all_kinds_exactly(spark):
+    told = catalog.QUERIES["hypothesis_join"](spark, LARGER).collect()
+    events = spark.read.parquet(f"{LARGER}/events.parquet").select("user_id", "event_type", "ts", "value").collect()
+    assert {(r.user_id, r.event_type) for r in told if not r.all_kinds} == {(e.user_id, e.event_type) for e in events}
+    n, sums = {}, {}
+    for e in events:
+        early = e.ts.day < 16
+        n.setdefault(e.user_id, {}).setdefault(e.event_type, [0, 0])[early] += 1
+        sums.setdefault(e.user_id, [0.0, 0.0])[early] += e.value
+    for r in (r for r in told if r.all_kinds):
+        counts, (late, early) = n[r.user_id].values(), sums[r.user_id]
+        moved, differs = any(a != b for a, b in counts), round(late) != round(early)
+        want = "unknown" if any(0 in c for c in counts) else {(True, True): "cochanged", (True, False): "static_only", (False, True): "runtime_only", (False, False): "both_unchanged"}[moved, differs]
+        assert (r.exact_pattern, r.exact_verdict) == (want, {"unknown": "unresolved", "cochanged": "consistent"}.get(want, "contradicted"))
