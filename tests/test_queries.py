@@ -1,5 +1,6 @@
 """Every registered query of the reference's operators against DuckDB, on the smallest tables."""
 
+import hashlib
 import numbers
 import os
 
@@ -144,3 +145,13 @@ def test_hypotheses_take_all_kinds_exactly(spark):
         moved, differs = any(a != b for a, b in counts), round(late) != round(early)
         want = "unknown" if any(0 in c for c in counts) else {(True, True): "cochanged", (True, False): "static_only", (False, True): "runtime_only", (False, False): "both_unchanged"}[moved, differs]
         assert (r.exact_pattern, r.exact_verdict) == (want, {"unknown": "unresolved", "cochanged": "consistent"}.get(want, "contradicted"))
+
+
+def test_graph_identity_has_every_line(spark):
+    lines, part = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("lineitem", "part"))
+    target = {r.p_partkey: f"{r.p_type}/{r.p_brand}" for r in part.collect()}
+    edges = {}
+    for who, what in lines.select("l_suppkey", "l_partkey").collect():
+        edges.setdefault(who, set()).add(target[what])
+    want = {k: (len(v), hashlib.sha256(",".join(sorted(v)).encode()).hexdigest()) for k, v in edges.items()}
+    assert {r.node: (r.degree, r.edges_digest) for r in catalog.QUERIES["graph_identity"](spark, LARGER).where("graph = 'whole'").collect()} == want

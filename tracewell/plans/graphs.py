@@ -112,13 +112,18 @@ def change_graph(spark, d):
     return a.union(b).distinct().withColumn("relation", F.lit("supplied_by")).unionByName(moved)
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, p_brand AS dst FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 3 AND l_quantity > 45)
-SELECT s_suppkey AS node, 'n_' || sha256('supplier/' || s_suppkey || '/' || s_name) AS node_id, count(dst) AS degree, sha256(coalesce(string_agg(dst, ',' ORDER BY dst), '')) AS edges_digest, count(dst) = 0 AS dangling FROM supplier LEFT JOIN e ON src = s_suppkey GROUP BY s_suppkey, s_name""")
+@query("""WITH l AS (SELECT l_suppkey AS src, p_type, p_brand, p_size < 3 AND l_quantity > 45 AS small FROM lineitem JOIN part ON p_partkey = l_partkey),
+e AS (SELECT DISTINCT 'whole' AS graph, src, p_type || '/' || p_brand AS dst FROM l UNION ALL SELECT DISTINCT 'small', src, p_brand FROM l WHERE small), n AS (SELECT s_suppkey, s_name, graph FROM supplier, (VALUES ('whole'), ('small')) v(graph))
+SELECT n.graph, s_suppkey AS node, 'n_' || sha256('supplier/' || s_suppkey || '/' || s_name) AS node_id, count(dst) AS degree, sha256(coalesce(string_agg(dst, ',' ORDER BY dst), '')) AS edges_digest, count(dst) = 0 AS dangling FROM n LEFT JOIN e ON src = s_suppkey AND e.graph = n.graph GROUP BY n.graph, s_suppkey, s_name""")
 def graph_identity(spark, d):
-    """Ids of nodes from their content, digests of their sorted edges, and nodes without any."""
-    e = table(spark, d, "lineitem").where("l_quantity > 45").join(table(spark, d, "part").where("p_size < 3").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select(F.col("l_suppkey").alias("s_suppkey"), "p_brand").distinct()
-    g = table(spark, d, "supplier").select("s_suppkey", "s_name").join(e, "s_suppkey", "left").groupBy("s_suppkey", "s_name").agg(F.sort_array(F.collect_list("p_brand")).alias("t"))
+    """Ids of nodes from their content, digests of their sorted edges, and nodes without any: in the graph of all lines, and in that of large orders of small parts."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand", "p_size")
+    small = F.bool_or((F.col("p_size") < 3) & (F.col("l_quantity") > 45)).alias("small")
+    e = table(spark, d, "lineitem").join(part, "l_partkey").groupBy(F.col("l_suppkey").alias("s_suppkey"), "p_type", "p_brand").agg(small)
+    edges = lambda dst: F.sort_array(F.collect_set(dst))
+    g = table(spark, d, "supplier").select("s_suppkey", "s_name").join(e, "s_suppkey", "left").groupBy("s_suppkey", "s_name").agg(edges(F.concat("p_type", F.lit("/"), "p_brand")).alias("whole"), edges(F.when(F.col("small"), F.col("p_brand"))).alias("small"))
+    g = g.select("s_suppkey", "s_name", F.inline(F.array(*[F.struct(F.lit(n).alias("graph"), F.col(n).alias("t")) for n in ("whole", "small")])))
     node_id = F.concat(F.lit("n_"), F.sha2(F.concat_ws("/", F.lit("supplier"), F.col("s_suppkey").cast("string"), "s_name"), 256))
-    return g.select(F.col("s_suppkey").alias("node"), node_id.alias("node_id"), F.size("t").cast("long").alias("degree"), F.sha2(F.array_join("t", ","), 256).alias("edges_digest"), (F.size("t") == 0).alias("dangling"))
+    return g.select("graph", F.col("s_suppkey").alias("node"), node_id.alias("node_id"), F.size("t").cast("long").alias("degree"), F.sha2(F.array_join("t", ","), 256).alias("edges_digest"), (F.size("t") == 0).alias("dangling"))
 
 
