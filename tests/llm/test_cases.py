@@ -269,6 +269,24 @@ def test_runs_are_sent_in_little_memory_and_few_bytes():
     assert sum(len(x) for c in ("docs", "starts", "lefts", "rights", "phrase", "left", "right") for x in sent.column(c).to_pylist()) <= 22 * runs
 
 
+def test_a_bucket_of_runs_meets_in_little_memory():
+    """What a worker holds while the runs of BUCKET_BYTES of text meet, and while PIECE_BYTES of pieces are put in order."""
+    rng = np.random.default_rng(11)
+    letters = np.frombuffer(b"abcdefghij ", np.uint8)
+    texts = [t.tobytes().decode() for t in letters[rng.integers(0, 11, (suffix_dedup.BUCKET_BYTES // 8192, 8192))]]
+    sent, meet = parsed(texts), suffix_dedup._meet(50, 4)
+    pieces = suffix_dedup.PIECE_BYTES // 67
+    content = letters[rng.integers(0, 11, pieces * 67)]
+    row = next(suffix_dedup._split(np.zeros(pieces, int), np.arange(pieces), np.zeros(pieces, int), [np.full(pieces, 18)], []))
+    table = pa.table([[x] for x in (*row, content.tobytes())], [x.split()[0] for x in suffix_dedup.CONTENT.split(", ")])
+    for step, given in ((meet, sent), (suffix_dedup._classes(50, 4), table)):
+        tracemalloc.start()
+        step(given)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 120e6, peak
+
+
 def test_only_pieces_that_may_share_a_window_go_on():
     rng = np.random.default_rng(10)
     word = lambda: "".join(rng.choice(list("abcdefghij "), 70))
