@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes
 its result as Parquet to the shared folder, hands what it reads back to the
 next stage and deletes what that one has read.  All but the last return the
-columns of documents.
+columns of documents.  A stage lowers the bytes of the session's Arrow batches,
+unless they are set (`small_batches`), as its result is computed after it
+returns; `run`, which writes all results itself, sets them back.
 
 Defined cases for all stages: null and empty texts are kept as they are (they
 are not toxic, link with nothing, hold no repeats and no secrets, and pack as
@@ -14,13 +16,25 @@ the second stage keeps one of them.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import ngram_join, packing, secret_scan, suffix_dedup, toxicity
-from tracewell.llm.common import forget, fresh, stored, table
+from tracewell.llm.common import ARROW_BATCH, forget, fresh, small_batches, stored, table
+
+
+def in_small_batches(stage):
+    @wraps(stage)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return staged
 
 
+@in_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores 0.5 or more go."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out("doc_id"))
@@ -29,6 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, out=out).where(F.col(out) < 0.5).select(*docs.columns)
 
 
+@in_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that link (5-word shingles, similarity 0.8) the least id stays, and one row of each repeated document."""
     found = ngram_join.components(docs, n=5, percent=80)
@@ -39,6 +54,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return once.unionByName(again.select(*docs.columns))
 
 
+@in_small_batches
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller id holds too are cut out of the text.
 
@@ -51,6 +67,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
+@in_small_batches
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; no document goes."""
     out = fresh(docs, "__secrets")
@@ -59,6 +76,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenised pieces of the documents and their places in sequences of 2048."""
     import public_tokenizers
@@ -81,7 +99,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        before, docs = docs, stored(stage(spark, docs, sf_dir))
-        forget(before)  # nothing of the input table, which is not stored here
+    given = spark.conf.getAll.get(ARROW_BATCH)
+    try:
+        for _, stage in STAGES:
+            before, docs = docs, stored(stage(spark, docs, sf_dir))
+            forget(before)  # nothing of the input table, which is not stored here
+    finally:
+        if given is None:
+            spark.conf.unset(ARROW_BATCH)
     return docs

@@ -3,7 +3,10 @@
 import collections
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import tracemalloc
 
 import numpy as np
@@ -13,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.llm import exact_topk, ngram_join, packing, pii, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
-from tracewell.llm.common import forget, slices, stored
+from tracewell.llm.common import forget, giving_back, slices, stored
 
 
 def test_slices_keep_rows_and_bounds():
@@ -287,6 +290,30 @@ def test_a_bucket_of_runs_meets_in_little_memory():
         assert peak < 120e6, peak
 
 
+def test_a_worker_returns_its_memory_after_a_group():
+    """Many arrays between two that stay: the C library keeps their pages until it is asked."""
+    code = """
+import numpy as np, pyarrow as pa
+from tracewell.llm.common import giving_back
+def held():
+    return int(open('/proc/self/statm').read().split()[1]) * 4096
+stay = []
+def group(t):
+    own = [np.ones(4096) for _ in range(4096)]
+    stay.append(np.ones(4096))
+    return t
+def pair(a, b):
+    return group(a)
+before, t = held(), pa.table({'x': [1]})
+group(t)
+mid = held()
+assert giving_back(pair)(t, t).equals(giving_back(group)(t)) and giving_back(pair).__code__.co_argcount == 2
+print(mid - before, held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.getcwd()}, check=True).stdout.split()
+    assert 2 * int(out[1]) < int(out[0]), out
+
+
 def test_only_pieces_that_may_share_a_window_go_on():
     rng = np.random.default_rng(10)
     word = lambda: "".join(rng.choice(list("abcdefghij "), 70))

@@ -1,8 +1,9 @@
 """Helpers that the operators of this subpackage share.
 
-Texts move between the JVM and Python in Arrow batches of Spark's default
-bounds; tasks work on slices of them, so that a run of very long texts cannot
-fill a Python worker's memory.  A single text is never cut.
+Texts move between the JVM and Python in Arrow batches of the session's bounds
+(`small_batches` lowers them for a pipeline); tasks work on slices of them, so
+that a run of very long texts cannot fill a Python worker's memory.  A single
+text is never cut.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 #: ASCII white space of the word pattern [^\x20\x09-\x0D]+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of an Arrow batch in a pipeline; a batch ends with the row that passes them.
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(it: Iterator[pa.RecordBatch], column: str, size: int, row: int = 32) -> Iterator[pa.RecordBatch]:
-    """Spark's Arrow batches (64 MB at most) in slices of about `size` bytes of a text or binary column.
+    """Spark's Arrow batches (64 MB at most by default) in slices of about `size` bytes of a text or binary column.
 
     Slices share the batch's memory; what a task computes for one is bounded
     without a change of the session's settings.  One text is never cut; each row
@@ -51,6 +55,36 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def giving_back(fn):
+    """fn of one table or two for applyInArrow; after each group the worker returns its free memory."""
+
+    def one(t: pa.Table) -> pa.Table:
+        try:
+            return fn(t)
+        finally:
+            _give_back()
+
+    def two(a: pa.Table, b: pa.Table) -> pa.Table:
+        try:
+            return fn(a, b)
+        finally:
+            _give_back()
+
+    return one if fn.__code__.co_argcount == 1 else two  # Spark counts the arguments
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at ARROW_BYTES, unless the session names a bound itself.
+
+    A batch is held by the JVM outside its heap, in buffers that double as they
+    fill, and again by the Python worker.  What the C library has once handed to
+    a JVM's threads for buffers of many MB stays with the executor, so stages of
+    one session add up.  The rows and results are the same for any bound.
+    """
+    if ARROW_BATCH not in spark.conf.getAll:
+        spark.conf.set(ARROW_BATCH, str(ARROW_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import hashing
-from tracewell.llm.common import fresh, slices, stored
+from tracewell.llm.common import fresh, giving_back, slices, stored
 
 TRIGGER = 16
 #: Bytes of a phrase trigger, and one in how many places is one.
@@ -434,12 +434,12 @@ def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str =
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     deal = max(partitions, -(-total // BUCKET_BYTES))  # buckets of documents, and of runs that meet
-    met = stored(own.mapInArrow(_parse(size, deal, deal), PARSED).groupBy("sort", "bucket").applyInArrow(_meet_or_pass(size, deal), MARKS))
+    met = stored(own.mapInArrow(_parse(size, deal, deal), PARSED).groupBy("sort", "bucket").applyInArrow(giving_back(_meet_or_pass(size, deal)), MARKS))
     open_marks = met.where(F.col("kind") == OPEN)
     buckets = max(partitions, -(-(open_marks.agg(F.sum("bytes")).first()[0] or 0) // PIECE_BYTES))  # of dictionaries, whose suffixes take more room
     dealt = own.withColumn("dbucket", _bucket_column("doc_id", "text", deal))
-    texts = dealt.groupBy("dbucket").cogroup(open_marks.groupBy("dbucket")).applyInArrow(_texts(size, buckets), CONTENT)
-    found = stored(texts.groupBy("bucket").applyInArrow(_classes(size, deal), MARKS))
+    texts = dealt.groupBy("dbucket").cogroup(open_marks.groupBy("dbucket")).applyInArrow(giving_back(_texts(size, buckets)), CONTENT)
+    found = stored(texts.groupBy("bucket").applyInArrow(giving_back(_classes(size, deal)), MARKS))
     return met.where(F.col("kind") == WHOLE).unionByName(found), deal
 
 
@@ -458,4 +458,4 @@ def remove(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str = "d
     who, what, bucket = (fresh(docs, x) for x in ("__id", "__text", "dbucket"))
     own = docs.select(*rest, F.col(doc_id).cast("long").alias(who), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(what))
     own = own.withColumn(bucket, _bucket_column(who, what, buckets))
-    return own.groupBy(bucket).cogroup(marks.groupBy("dbucket")).applyInArrow(_remove(size, rest, characters, who, what), schema)
+    return own.groupBy(bucket).cogroup(marks.groupBy("dbucket")).applyInArrow(giving_back(_remove(size, rest, characters, who, what)), schema)
