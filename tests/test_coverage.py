@@ -157,3 +157,19 @@ def test_pages(spark):
     m = spark.createDataFrame([(i, "a" if i < 5 else "b") for i in range(7)], "id long, g string")
     page = coverage.paged(m, ["g"], ["id"], F.lit(3))
     assert {tuple(r) for r in coverage.omissions(m, page, ["g"]).collect()} == {("a", 5, 3, 2, False), ("b", 2, 2, 0, True)}
+
+
+@pytest.mark.parametrize("few", [0, 9, 10_000])
+def test_small_fronts_take_one_job_each(spark, few):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(14), rng.randrange(14), rng.choice(["calls", "owns"])) for i in range(34)]
+    entries = graph.turned(spark.createDataFrame(rows, "id long, src long, dst long, relation string"), "ownership")
+    own, seeds, sc = [tuple(r) for r in entries.collect()], [0, 1, 2, 3], spark.sparkContext
+    for bounds in [(9, 8, 2), (99, 99, 9), (3, 99, 9)]:
+        sc.setJobGroup(f"few {few} {bounds}", "")
+        nodes, edges, frontier = graph.traverse(entries, spark.createDataFrame([(s,) for s in seeds], "node long"), *bounds, few=few)
+        jobs = len(sc.statusTracker().getJobIdsForGroup(f"few {few} {bounds}"))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        want = searched(own, seeds, *bounds)
+        assert ({r.node: r.depth for r in nodes.collect()}, {r.id for r in edges.collect()}, {tuple(r) for r in frontier.collect()}) == want
+        assert few < 99 or jobs <= 3 * (2 + max(want[0].values()))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators import coverage, graph, match
+from tracewell.operators.stages import cut
 from tracewell.plans.catalog import query
 from tracewell.sources import table
 
@@ -66,7 +67,7 @@ def traversal_edges(spark, d) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey")
     node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     calls = p.select("p_partkey", F.explode(F.array(F.col("p_partkey") * 2, F.col("p_partkey") * 3)).alias("to")).join(p.select(F.col("p_partkey").alias("to")), "to", "left_semi")
-    calls = calls.select(node("p", "p_partkey").alias("src"), node("p", "to").alias("dst"), F.lit("calls").alias("relation"))
+    calls = cut(calls.select(node("p", "p_partkey").alias("src"), node("p", "to").alias("dst"), F.lit("calls").alias("relation")))  # each front reads them
     lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     every = calls.unionByName(lines.select(node("p", "l_partkey").alias("src"), node("s", "l_suppkey").alias("dst"), F.lit("supplied_by").alias("relation")))
     return every.select(F.concat_ws(">", "src", "dst").alias("id"), "src", "dst", "relation")
