@@ -3,6 +3,7 @@
 import hashlib
 import numbers
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -155,3 +156,19 @@ def test_graph_identity_has_every_line(spark):
         edges.setdefault(who, set()).add(target[what])
     want = {k: (len(v), hashlib.sha256(",".join(sorted(v)).encode()).hexdigest()) for k, v in edges.items()}
     assert {r.node: (r.degree, r.edges_digest) for r in catalog.QUERIES["graph_identity"](spark, LARGER).where("graph = 'whole'").collect()} == want
+
+
+def test_capture_ages_of_any_time_in_any_zone(spark, tmp_path):
+    rng = random.Random(2)
+    edge = [-1501, -1500, -1499, -501, -500, -499, -1, 0, 1, 499, 500, 1500, 59_999_499, 59_999_500, 1_705_881_599_999_499, 1_705_881_600_000_500, 59_999_999, 60_000_000, -30_000_000, -60_000_000, -60_000_001, 1_705_881_600_000_000, 1_705_881_599_999_999, 1_710_054_000_000_000, 253_402_300_799_999_999]
+    at = edge + [rng.randrange(-(10**16), 10**16) for _ in range(300)] + [None]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, make_timestamp(us) AS ts FROM (SELECT unnest(?::BIGINT[]) AS us, unnest(range(?)) AS i)", [at, len(at)])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    want, zone = set(con.execute(f"SELECT event_id, stale, at_ms FROM ({catalog.ORACLE_SQL['capture_ages']})").fetchall()), spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in (zone, "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            assert {tuple(r) for r in catalog.QUERIES["capture_ages"](spark, str(tmp_path)).select("event_id", "stale", "at_ms").collect()} == want, other
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

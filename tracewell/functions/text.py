@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -92,7 +92,17 @@ def property_of_selector(selector: Column) -> Column:
 
 
 def elapsed(ms: Column, bucket: int) -> Column:
-    return (F.floor(ms / bucket) * bucket).cast("long")
+    """ms, rounded down to a multiple of bucket, in whole numbers."""
+    return (ms - F.pmod(ms, F.lit(bucket))).cast("long")
+
+
+def epoch_micros(rows: DataFrame, c: str) -> Column:
+    """Microseconds since 1970; a time without zone is taken as it stands, whatever the session's zone."""
+    t = F.col(c)
+    if rows.schema[c].dataType.typeName() != "timestamp_ntz":
+        return F.unix_micros(t)
+    minutes = F.unix_date(t.cast("date")).cast("long") * 1440 + F.hour(t) * 60 + F.minute(t)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
 
 
 def canonical_json(value: Column) -> Column:
