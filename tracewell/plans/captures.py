@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracewell.functions import text
+from tracewell.functions import scalar, text
 from tracewell.operators import graph, trace
 from tracewell.plans.catalog import query
 from tracewell.sources import table
@@ -16,7 +16,8 @@ SELECT user_id, event_type, f.n = g.n AND f.hundreds = g.hundreds AS same, f.n =
 def comparable_payloads(spark, d):
     """Payloads of two captures without their volatile field: the same to the hundred, and exactly."""
     early = F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-16"))
-    payload = F.struct(F.count("*").alias("n"), F.round(F.sum("value")).alias("total"), F.round(F.sum("value") / 100).alias("hundreds"), F.min("event_id").alias("volatile"))
+    total = scalar.summed(F.col("value"))
+    payload = F.struct(F.count("*").alias("n"), scalar.rounded(total).alias("total"), scalar.rounded(total, 2).alias("hundreds"), F.min("event_id").alias("volatile"))
     p = table(spark, d, "events").groupBy("user_id", "event_type", early.alias("early")).agg(payload.alias("p")).withColumn("p", F.col("p").dropFields("volatile"))
     a, b = (p.where(c).select("user_id", "event_type", F.col("p").alias(n)) for c, n in (("early", "a"), ("NOT early", "b")))
     same = lambda left_out: F.col("a").dropFields(left_out) == F.col("b").dropFields(left_out)
